@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, url_filter
+from . import crf_quality, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept", "lost_words")
 
@@ -44,7 +52,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op9_quality_rules, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op4_crf_quality, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op8_pii, op9_quality_rules, op10_ngram_join)}
 
 WS = r"[\x20\x09-\x0D]+"
 _OP5 = rf"""
