@@ -1,14 +1,736 @@
-"""The engine's queries by name and the SQL that says what they return."""
+"""The engine's queries by name and the SQL that says what they return. Queries run over whole tables."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import stem, text
+from ..operators import cluster, counts, evaluate, langid, plsa, similarity, summary, weights
+from ..sources import readers
+from ..sources.tables import table, written
+from ..streaming import filters
+from .sql import ALPHA, BETA, DF_CUT, K, TF_CUT, chain, folded, query, topic_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+OPTIONS = plsa.Options(K, ALPHA, BETA, max_iter=3)
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = query(sql)
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    c = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+
+
+def s6(x: str, name: str) -> str:
+    return f"CASE WHEN round({x}, 6) = 0 THEN 0.0::DOUBLE ELSE round(({x})::DOUBLE, 6) END AS {name}"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).withColumn("text", F.regexp_replace("text", r"\s+", " "))
+
+
+def tc(spark: SparkSession, d: str) -> DataFrame:
+    return counts.term_counts(docs(spark, d), text.alpha_tokens)
+
+
+def vw(spark: SparkSession, d: str, c: DataFrame, **options: object) -> DataFrame:
+    n, total = weights.corpus_totals(c)
+    return weights.learn_weights(counts.vocabulary(c), n, total, **({"df_cutoff": DF_CUT, "tf_cutoff": TF_CUT} | options))
+
+
+def pc(spark: SparkSession, d: str) -> DataFrame:
+    c = tc(spark, d)
+    return written(c.join(vw(spark, d, c).where("weight > 0").select("term", "weight"), "term"), "pruned")
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", (F.col("doc_id") % K).cast("int").alias("z"))
+
+
+def model(spark: SparkSession, d: str, iterations: int = 1) -> tuple[DataFrame, plsa.Model]:
+    c = pc(spark, d)
+    m = plsa.initialize(c, labels(spark, d), OPTIONS)
+    for _ in range(iterations):
+        m = plsa.em_step(c, m)
+    return c, plsa.replace(m, p_z=plsa.topic_mass(c, m)) if iterations else m
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", F.col("lang").alias("label"))
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------
+
+for _name, _rules in {
+    "normalize_text_docs": text.NORMALIZE_TEXT, "remove_markup_docs": text.REMOVE_MARKUP, "remove_numbers": text.REMOVE_NUMBERS, "remove_caps": text.REMOVE_CAPS,
+    "remove_nonsentential_punct": text.REMOVE_NONSENTENTIAL_PUNCT, "remove_isolated_symbols": text.REMOVE_ISOLATED_SYMBOLS, "remove_word_punct": text.REMOVE_WORD_PUNCT,
+    "remove_twitter_meta": text.REMOVE_TWITTER_META, "remove_punctuation": text.REMOVE_PUNCTUATION, "punct_to_space": text.PUNCT_TO_SPACE,
+}.items():
+    register(_name, f"SELECT doc_id, {chain('text', _rules)} AS out FROM doc")(lambda s, d, rules=_rules: collapsed(s, d).select("doc_id", text.apply(F.col("text"), rules).alias("out")))
+
+_PAGES = r"(SELECT page_id, regexp_replace(html, '\s+', ' ', 'g') AS text FROM pages)"
+for _name, _rules in {"normalize_text": text.NORMALIZE_TEXT, "remove_markup": text.REMOVE_MARKUP}.items():
+    register(_name, f"SELECT page_id, {chain('text', _rules)} AS out FROM {_PAGES}")(lambda s, d, rules=_rules: table(s, d, "pages").select("page_id", text.apply(F.regexp_replace("html", r"\s+", " "), rules).alias("out")))
+
+
+@register("ascii_fold", f"SELECT doc_id, {folded('text')} AS out FROM doc")
+def _ascii_fold(spark: SparkSession, d: str) -> DataFrame:
+    return collapsed(spark, d).select("doc_id", text.ascii_fold(F.col("text")).alias("out"))
+
+
+def topic_docs(spark: SparkSession, d: str) -> DataFrame:
+    return collapsed(spark, d).select("doc_id", "lang", text.normalize_topic(text.normalize_text(F.col("text"))).alias("text"))
+
+
+@register("normalize_topic", "SELECT doc_id, text AS out FROM topic")
+def _normalize_topic(spark: SparkSession, d: str) -> DataFrame:
+    return topic_docs(spark, d).select("doc_id", F.col("text").alias("out"))
+
+
+@register("sent_split", "SELECT doc_id, s AS sentence, count(*)::BIGINT AS n FROM sent WHERE s <> '' GROUP BY doc_id, s")
+def _sent_split(spark: SparkSession, d: str) -> DataFrame:
+    return topic_docs(spark, d).select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
+
+
+_WORDS = f"(SELECT doc_id, unnest(string_split(s, ' ')) AS term FROM (SELECT doc_id, {chain('s', text.REMOVE_WORD_PUNCT)} AS s FROM sent WHERE s <> '') WHERE s <> '' AND s <> ' ')"
+
+
+@register("term_counts", f"SELECT doc_id, term, count(*)::DOUBLE AS cnt FROM {_WORDS} GROUP BY doc_id, term")
+def _term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts.term_counts(topic_docs(spark, d))
+
+
+@register("lang_filter", f"SELECT w.doc_id, term, count(*)::DOUBLE AS cnt FROM {_WORDS} w JOIN documents o ON w.doc_id = o.doc_id WHERE o.lang = 'en' GROUP BY w.doc_id, term")
+def _lang_filter(spark: SparkSession, d: str) -> DataFrame:
+    return counts.term_counts(topic_docs(spark, d).where("lang = 'en'"))
+
+
+_LINES = "SELECT concat_ws(chr(9), doc_id::VARCHAR, {}) AS value FROM documents"
+
+
+def raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as tab-delimited lines; those of French have no text field."""
+    return docs(spark, d).select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.when(F.col("lang") != "fr", F.regexp_replace("text", r"\s+", " "))).alias("value"), F.col("doc_id").alias("line"))
+
+
+@register("ingest_kept_pct", "SELECT round(avg(CASE WHEN lang <> 'fr' THEN 1.0 ELSE 0.0 END)::DOUBLE * 100, 6) AS kept_pct FROM documents")
+def _ingest_kept_pct(spark: SparkSession, d: str) -> DataFrame:
+    return readers.kept_percent(raw_lines(spark, d)).select(F.round("kept_pct", 6).alias("kept_pct"))
+
+
+@register("ingest_messages", r"SELECT doc_id::VARCHAR AS id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\s+$', '') AS msg FROM documents WHERE lang <> 'fr'")
+def _ingest_messages(spark: SparkSession, d: str) -> DataFrame:
+    return readers.to_messages(raw_lines(spark, d), "default", "line")
+
+
+@register("display_filter", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
+def _display_filter(spark: SparkSession, d: str) -> DataFrame:
+    shown = readers.display(table(spark, d, "conversations"), "role", "user")
+    return shown.select(F.from_json("json", "conv_id bigint, turn bigint, text string").alias("j")).select("j.*")
+
+
+@register("term_word_units", "SELECT term, len(list_filter(string_split(term, '_'), lambda x: x <> ''))::INTEGER AS units FROM (SELECT DISTINCT replace(source || '_' || lang, 'src', 'src_') AS term FROM documents)")
+def _term_word_units(spark: SparkSession, d: str) -> DataFrame:
+    terms = docs(spark, d).select(F.regexp_replace(F.concat_ws("_", "source", "lang"), "src", "src_").alias("term")).distinct()
+    return terms.withColumn("units", text.word_units(F.col("term")))
+
+
+@register("unit_substring", "SELECT a, b, (CASE WHEN length(a) > length(b) AND contains('_' || a || '_', '_' || b || '_') THEN 1 WHEN length(a) < length(b) AND contains('_' || b || '_', '_' || a || '_') THEN -1 ELSE 0 END)::INTEGER AS inside FROM (SELECT DISTINCT source || '_' || lang AS a, lang AS b FROM documents)")
+def _unit_substring(spark: SparkSession, d: str) -> DataFrame:
+    pairs = docs(spark, d).select(F.concat_ws("_", "source", "lang").alias("a"), F.col("lang").alias("b")).distinct()
+    return pairs.withColumn("inside", text.unit_substring(F.col("a"), F.col("b")))
+
+
+@register("porter_stem")
+def _porter_stem(spark: SparkSession, d: str) -> DataFrame:
+    return stem.with_stems(tc(spark, d))
+
+
+# --- counts and vocabulary ----------------------------------------------------------------------------------------------
+
+@register("counts_file_lines", "SELECT doc_id, doc_id::VARCHAR || ' ' || string_agg(term || '|' || cnt::VARCHAR, ' ' ORDER BY term) AS line FROM tc GROUP BY doc_id")
+def _counts_file_lines(spark: SparkSession, d: str) -> DataFrame:
+    return readers.counts_lines(tc(spark, d))
+
+
+@register("parse_counts_lines", "SELECT doc_id::VARCHAR AS doc_id, term, cnt FROM tc")
+def _parse_counts_lines(spark: SparkSession, d: str) -> DataFrame:
+    return readers.parse_counts_lines(readers.counts_lines(tc(spark, d)).select(F.col("line").alias("value")))
+
+
+@register("corpus_tf", "SELECT term, sum(cnt)::DOUBLE AS tf FROM tc GROUP BY term")
+def _corpus_tf(spark: SparkSession, d: str) -> DataFrame:
+    return counts.corpus_tf(tc(spark, d))
+
+
+@register("corpus_df", "SELECT term, df FROM voc")
+def _corpus_df(spark: SparkSession, d: str) -> DataFrame:
+    return counts.corpus_df(tc(spark, d))
+
+
+@register("doc_lengths", "SELECT doc_id, n_words FROM len")
+def _doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return counts.doc_lengths(pc(spark, d))
+
+
+@register("vocab", "SELECT term, tf, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM voc")
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return counts.indexed(counts.vocabulary(tc(spark, d)))
+
+
+_STOP = "(SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark)"
+
+
+def stop_list(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.explode(text.alpha_tokens(F.col("text"))).alias("term")).distinct()
+
+
+@register("vocab_minus_stoplist", f"SELECT term, tf, df FROM voc WHERE term NOT IN (SELECT term FROM {_STOP})")
+def _vocab_minus_stoplist(spark: SparkSession, d: str) -> DataFrame:
+    return counts.vocabulary(tc(spark, d), stop_list(spark, d))
+
+
+@register("pruned_vocab", f"SELECT term, {s6('weight', 'weight')}, row_number() OVER (ORDER BY term) - 1 AS idx FROM vw WHERE weight > 0")
+def _pruned_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return counts.prune_vocabulary(vw(spark, d, tc(spark, d))).select("term", r6("weight").alias("weight"), "idx")
+
+
+@register("min_count_prune", "SELECT '<filler>' AS term, 0::BIGINT AS idx UNION ALL SELECT term, row_number() OVER (ORDER BY term) AS idx FROM voc WHERE tf > 5")
+def _min_count_prune(spark: SparkSession, d: str) -> DataFrame:
+    return counts.prune_min_count(tc(spark, d), 5)
+
+
+@register("vocab_augment", f"SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM voc WHERE tf > 5 UNION ALL SELECT term, row_number() OVER (ORDER BY term) - 1 + (SELECT count(*) FROM voc WHERE tf > 5) AS idx FROM {_STOP} WHERE term <> '' AND term NOT IN (SELECT term FROM voc WHERE tf > 5)")
+def _vocab_augment(spark: SparkSession, d: str) -> DataFrame:
+    old = counts.indexed(counts.corpus_tf(tc(spark, d)).where("tf > 5").select("term"))
+    return counts.augment(old, stop_list(spark, d))
+
+
+_MIN = "(SELECT '<filler>' AS term, 0::BIGINT AS idx UNION ALL SELECT term, row_number() OVER (ORDER BY term) AS idx FROM voc WHERE tf > 5)"
+
+
+@register("filler_fallback", f"SELECT doc_id, coalesce(idx, 0) AS idx, sum(cnt)::DOUBLE AS value FROM tc LEFT JOIN {_MIN} USING (term) GROUP BY doc_id, coalesce(idx, 0)")
+def _filler_fallback(spark: SparkSession, d: str) -> DataFrame:
+    c = tc(spark, d)
+    return counts.against_vocabulary(c, counts.prune_min_count(c, 5))
+
+
+@register("load_counts_vs_vocab", f"SELECT doc_id, idx, sum(cnt)::DOUBLE AS value FROM tc JOIN {_MIN} USING (term) GROUP BY doc_id, idx")
+def _load_counts_vs_vocab(spark: SparkSession, d: str) -> DataFrame:
+    c = tc(spark, d)
+    return counts.against_vocabulary(c, counts.prune_min_count(c, 5).where("idx > 0"))
+
+
+@register("feature_set_load", "SELECT source AS term, count(*)::DOUBLE AS weight FROM documents GROUP BY source")
+def _feature_set_load(spark: SparkSession, d: str) -> DataFrame:
+    lines = readers.feature_lines(docs(spark, d).groupBy(F.col("source").alias("term")).agg(F.count("*").cast("double").alias("weight")))
+    return readers.parse_feature_lines(lines)
+
+
+@register("class_set", "SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS class_id FROM (SELECT DISTINCT lang FROM documents)")
+def _class_set(spark: SparkSession, d: str) -> DataFrame:
+    return counts.class_set(docs(spark, d), "lang")
+
+
+@register("class_priors", f"SELECT label, {s6('count(*) / sum(count(*)) OVER ()', 'p_docs')}, {s6('sum(n_words) / sum(sum(n_words)) OVER ()', 'p_words')} FROM len JOIN truth USING (doc_id) GROUP BY label")
+def _class_priors(spark: SparkSession, d: str) -> DataFrame:
+    out = counts.class_priors(counts.doc_lengths(pc(spark, d)).join(truth(spark, d), "doc_id"))
+    return out.select("label", r6("p_docs").alias("p_docs"), r6("p_words").alias("p_words"))
+
+
+@register("stratified_folds", "SELECT doc_id, lang, ((row_number() OVER (ORDER BY lang, doc_id) - 1) % 10)::INTEGER AS fold FROM documents")
+def _stratified_folds(spark: SparkSession, d: str) -> DataFrame:
+    return counts.stratified_folds(docs(spark, d), 10, "lang")
+
+
+@register("jackknife_folds", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 10)::INTEGER AS fold FROM documents")
+def _jackknife_folds(spark: SparkSession, d: str) -> DataFrame:
+    return counts.jackknife_folds(docs(spark, d), 10)
+
+
+# --- weights ------------------------------------------------------------------------------------------------------------
+
+_SMOOTH = f"(1 - exp(ln(0.5) / {TF_CUT} * tf)) * (1 - exp(ln(0.5) / ln({DF_CUT}) * ln(df / n)))"
+for _name, _sql, _options in [
+    ("weights_idf", "-ln(df / n)", {"df_cutoff": 2.0, "tf_cutoff": -1.0}),
+    ("weights_llr", "-ln(tf / total)", {"weighting": weights.LLR, "df_cutoff": 2.0, "tf_cutoff": -1.0}),
+    ("weights_none", "1.0", {"weighting": weights.NONE, "df_cutoff": 2.0, "tf_cutoff": -1.0}),
+    ("weights_hard_cutoff", f"CASE WHEN df / n >= {DF_CUT} OR tf <= {TF_CUT} THEN 0.0 ELSE -ln(df / n) END", {}),
+    ("weights_smooth", f"-ln(df / n) * {_SMOOTH}", {"smooth": True}),
+    ("weights_root", f"sqrt(CASE WHEN df / n >= {DF_CUT} OR tf <= {TF_CUT} THEN 0.0 ELSE -ln(df / n) END)", {"root": True}),
+]:
+    register(_name, f"SELECT term, {s6(_sql, 'weight')} FROM voc, nd")(lambda s, d, options=_options: vw(s, d, tc(s, d), **options).select("term", r6("weight").alias("weight")))
+
+
+def tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return pc(spark, d).select("doc_id", "term", (F.col("cnt") * F.col("weight")).alias("value"))
+
+
+@register("tfidf", f"SELECT doc_id, term, {s6('cnt * weight', 'value')} FROM pc")
+def _tfidf(spark: SparkSession, d: str) -> DataFrame:
+    c = tc(spark, d)
+    return weights.apply_weights(c, vw(spark, d, c).where("weight > 0")).select("doc_id", "term", r6("value").alias("value"))
+
+
+@register("l1_norm", f"SELECT doc_id, term, {s6('cnt / sum(cnt) OVER (PARTITION BY doc_id)', 'value')} FROM pc")
+def _l1_norm(spark: SparkSession, d: str) -> DataFrame:
+    return weights.l1_normalized(pc(spark, d), "cnt").select("doc_id", "term", r6("cnt").alias("value"))
+
+
+@register("l2_norm", f"SELECT doc_id, term, {s6('cnt * weight / sqrt(sum(cnt * weight * cnt * weight) OVER (PARTITION BY doc_id))', 'value')} FROM pc")
+def _l2_norm(spark: SparkSession, d: str) -> DataFrame:
+    return weights.l2_normalized(tfidf(spark, d)).select("doc_id", "term", r6("value").alias("value"))
+
+
+@register("norm_weights", f"SELECT term, {s6('weight / (SELECT avg(abs(weight)) FROM vw WHERE weight > 0)', 'weight')} FROM vw WHERE weight > 0")
+def _norm_weights(spark: SparkSession, d: str) -> DataFrame:
+    return weights.normalized_weights(vw(spark, d, tc(spark, d)).where("weight > 0")).select("term", r6("weight").alias("weight"))
+
+
+@register("map_uniform", "SELECT term, round(((tf + 1) / (SELECT sum(tf) + count(*) FROM voc))::DOUBLE, 12) AS p FROM voc")
+def _map_uniform(spark: SparkSession, d: str) -> DataFrame:
+    return weights.map_uniform(counts.vocabulary(tc(spark, d)), "tf", 1.0).select("term", F.round("p", 12).alias("p"))
+
+
+@register("map_prior", "SELECT term, round((lam * tf / st + (1 - lam) * df / sd)::DOUBLE, 12) AS p FROM voc, (SELECT sum(tf) AS st, sum(df) AS sd, sum(tf) / (sum(tf) + count(*)) AS lam FROM voc)")
+def _map_prior(spark: SparkSession, d: str) -> DataFrame:
+    v = counts.vocabulary(tc(spark, d))
+    total = v.agg(F.sum("df").alias("sd"))
+    return weights.map_prior(v.crossJoin(F.broadcast(total)).withColumn("prior", F.col("df") / F.col("sd")), "tf", "prior", 1.0).select("term", F.round("p", 12).alias("p"))
+
+
+# --- similarity ---------------------------------------------------------------------------------------------------------
+
+#: Searches ask for every document whose id is divisible by 50, against all documents.
+_ASK = "doc_id % 50 = 0"
+_L2 = "(SELECT doc_id, term, cnt * weight / sqrt(sum(cnt * weight * cnt * weight) OVER (PARTITION BY doc_id)) AS v FROM pc)"
+_COS = f"(SELECT a.doc_id AS i, b.doc_id AS j, least(sum(a.v * b.v), 1.0) AS value FROM {_L2} a JOIN {_L2} b USING (term) WHERE a.doc_id % 50 = 0 GROUP BY a.doc_id, b.doc_id)"
+
+
+@register("doc_dot", f"SELECT a.doc_id AS i, b.doc_id AS j, {s6('sum(a.cnt * b.cnt)', 'value')} FROM pc a JOIN pc b USING (term) WHERE a.doc_id % 50 = 0 GROUP BY a.doc_id, b.doc_id")
+def _doc_dot(spark: SparkSession, d: str) -> DataFrame:
+    c = pc(spark, d)
+    return similarity.dot_products(c.where(_ASK), c, "cnt").select("i", "j", r6("value").alias("value"))
+
+
+def cosines(spark: SparkSession, d: str) -> DataFrame:
+    v = tfidf(spark, d)
+    return similarity.cosine(v.where(_ASK), v)
+
+
+@register("cosine_sim", f"SELECT i, j, {s6('value', 'value')} FROM {_COS}")
+def _cosine_sim(spark: SparkSession, d: str) -> DataFrame:
+    return cosines(spark, d).select("i", "j", r6("value").alias("value"))
+
+
+@register("cosine_logdist", f"SELECT i, j, {s6('-ln(value)', 'value')} FROM {_COS}")
+def _cosine_logdist(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.log_distance(cosines(spark, d)).select("i", "j", r6("value").alias("value"))
+
+
+@register("plsa_doc_sim", f"SELECT a.doc_id AS i, b.doc_id AS j, {s6('sum(a.p * b.p)', 'value')} FROM zd1 a JOIN zd1 b USING (z) WHERE a.doc_id % 50 = 0 GROUP BY a.doc_id, b.doc_id")
+def _plsa_doc_sim(spark: SparkSession, d: str) -> DataFrame:
+    _, m = model(spark, d)
+    ask = m.p_zd.where(_ASK).select(F.col("doc_id").alias("i"), F.col("p").alias("a"))  # the query set is stated; every row meets it
+    return ask.crossJoin(m.p_zd).select("i", F.col("doc_id").alias("j"), r6(similarity.dense_dot(F.col("a"), F.col("p"))).alias("value"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings made positive, as topic vectors are."""
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 1e-3).alias("v"))
+
+
+_V = "(SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.001::DOUBLE) AS v FROM embeddings)"
+_VL = f"(SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM {_V})"
+
+
+def pairs_of(v: DataFrame) -> DataFrame:
+    ask = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), F.col("v").alias("a"))
+    return ask.crossJoin(v.select(F.col("vec_id").alias("j"), F.col("v").alias("b")))
+
+
+def _dense(name: str, source: str, sql: str, f: Callable[[Column, Column], Column], normalized: bool) -> None:
+    body = f"SELECT a.vec_id AS i, b.vec_id AS j, {s6(sql, 'value')} FROM {source} a, {source} b WHERE a.vec_id % 50 = 0"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        v = vectors(spark, d)
+        v = v.withColumn("v", similarity.dense_l1(F.col("v"))) if normalized else v
+        return pairs_of(v).select("i", "j", r6(f(F.col("a"), F.col("b"))).alias("value"))
+
+    register(name, body)(run)
+
+
+_dense("dense_inner", _V, "list_inner_product(a.v, b.v)", similarity.dense_dot, False)
+_dense("dense_cosine", _V, "list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v))", similarity.dense_cosine, False)
+_dense("dense_sym_kl", _VL, "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * ln(p[1] / p[2]))) / 2", similarity.dense_symmetric_kl, True)
+_dense("sim_to_dist", _V, "least(-ln(least(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 1.0)), 0.5)", lambda a, b: similarity.to_distance(F.least(similarity.dense_cosine(a, b), F.lit(1.0)), 0.5), False)
+_dense("matrix_lerp", _V, "0.3 * list_inner_product(a.v, b.v) + 0.7 * (list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)))", lambda a, b: 0.3 * similarity.dense_dot(a, b) + 0.7 * similarity.dense_cosine(a, b), False)
+
+
+@register("dense_l1_norm", f"SELECT vec_id, k - 1 AS k, {s6('v[k]', 'value')} FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS k FROM {_VL})")
+def _dense_l1_norm(spark: SparkSession, d: str) -> DataFrame:
+    out = vectors(spark, d).select("vec_id", F.posexplode(similarity.dense_l1(F.col("v"))).alias("k", "value"))
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), r6("value").alias("value"))
+
+
+_TD = {
+    "bhattacharyya": "-ln(sum(sqrt(a.p * b.p)))", "inner": "-ln(sum(a.p * b.p))", "intersection": "-ln(sum(least(a.p, b.p)))", "chebyshev": "max(abs(a.p - b.p))",
+    "soergel": "sum(abs(a.p - b.p)) / sum(greatest(a.p, b.p))", "kulczynski": "sum(abs(a.p - b.p)) / sum(least(a.p, b.p))",
+}
+for _name, _sql in _TD.items():
+    register(f"topic_dist_{_name}", f"SELECT a.z AS i, b.z AS j, {s6(_sql, 'value')} FROM wz1 a JOIN wz1 b USING (term) GROUP BY a.z, b.z")(lambda s, d, kind=_name: similarity.topic_distances(model(s, d)[1].p_wz, kind).select("i", "j", r6("value").alias("value")))
+
+
+@register("matrix_add", f"SELECT a.z AS i, b.z AS j, {s6('sum(abs(a.p - b.p)) / sum(greatest(a.p, b.p)) + max(abs(a.p - b.p))', 'value')} FROM wz1 a JOIN wz1 b USING (term) GROUP BY a.z, b.z")
+def _matrix_add(spark: SparkSession, d: str) -> DataFrame:
+    p = model(spark, d)[1].p_wz
+    return similarity.matrix_add(similarity.topic_distances(p, "soergel"), similarity.topic_distances(p, "chebyshev")).select("i", "j", r6("value").alias("value"))
+
+
+@register("topic_rank", "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY value, (i <> j)::INTEGER, j)::INTEGER AS rank FROM (SELECT a.z AS i, b.z AS j, sum(abs(a.p - b.p)) / sum(least(a.p, b.p)) AS value FROM wz1 a JOIN wz1 b USING (term) GROUP BY a.z, b.z)")
+def _topic_rank(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.topic_ranks(similarity.topic_distances(model(spark, d)[1].p_wz))
+
+
+# --- clustering ---------------------------------------------------------------------------------------------------------
+
+_CENTRE = "SELECT z, term, sum(cnt) * any_value(weight) AS v, any_value(weight) AS w FROM pc JOIN lab USING (doc_id) GROUP BY z, term"
+_KM = f"SELECT doc_id, coalesce(z, 0)::INTEGER AS z FROM documents LEFT JOIN (SELECT doc_id, arg_max(z, s) AS z FROM (SELECT doc_id, z, round(sum(cnt * v * w / nrm), 9) AS s FROM pc JOIN (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY z)) AS nrm FROM ({_CENTRE})) USING (term) GROUP BY doc_id, z ORDER BY doc_id, z) GROUP BY doc_id) USING (doc_id)"
+
+
+@register("kmeans_iter1", _KM)
+def _kmeans_iter1(spark: SparkSession, d: str) -> DataFrame:
+    c = pc(spark, d)
+    return cluster.assign(c, cluster.centroids(c, labels(spark, d), c.select("term", "weight").distinct()), docs(spark, d))
+
+
+def kmeans(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+    c = pc(spark, d)
+    return cluster.kmeans(c, c.select("term", "weight").distinct(), docs(spark, d), K, rounds)
+
+
+register("kmeans_labels")(lambda s, d: kmeans(s, d, 20))
+register("random_clusters")(lambda s, d: kmeans(s, d, 1))
+
+
+def topic_tree(spark: SparkSession, d: str, linkage: str) -> list[cluster.Node]:
+    return cluster.grow_tree(cluster.matrix_of(similarity.topic_distances(model(spark, d)[1].p_wz), K), linkage)
+
+
+for _name in cluster.LINKAGES:
+    register(f"topic_tree_{_name}")(lambda s, d, linkage=_name: cluster.tree_table(s, topic_tree(s, d, linkage)).select("node", "left", "right", r6("height").alias("height"), "leaves"))
+register("tree_cut_labels")(lambda s, d: s.createDataFrame(list(enumerate(cluster.cut(topic_tree(s, d, "max"), 3))), "z int, label int"))
+register("tree_scores")(lambda s, d: cluster.tree_table(s, topic_tree(s, d, "max"), 3).select("node", r6("score").alias("score"), "marked", "x"))
+register("tree_best")(lambda s, d: cluster.tree_table(s, topic_tree(s, d, "max")).where("best").select("node", "leaves"))
+
+
+@register("agglomerative_labels")
+def _agglomerative_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Sources, each as one document of all its words, by average linkage of log cosine distances."""
+    c = pc(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("doc_id"), "term").agg(F.sum(F.col("cnt") * F.col("weight")).alias("value"))
+    names = [r[0] for r in c.select("doc_id").distinct().orderBy("doc_id").collect()]
+    at = {n: i for i, n in enumerate(names)}
+    place = spark.createDataFrame(list(at.items()), "name string, at int")
+    pairs = similarity.log_distance(similarity.square(c.select("doc_id").distinct(), similarity.cosine(c, c), "doc_id"))
+    pairs = pairs.join(F.broadcast(place), F.col("i") == F.col("name")).withColumn("i", F.col("at")).drop("name", "at").join(F.broadcast(place), F.col("j") == F.col("name")).withColumn("j", F.col("at"))
+    return spark.createDataFrame(list(zip(names, cluster.cut(cluster.grow_tree(cluster.matrix_of(pairs, len(names)), "avg"), 4), strict=True)), "source string, label int")
+
+
+register("topic_labels")(lambda s, d: summary.topic_labels(summary.summary(model(s, d)[1])))
+
+# --- pLSA ---------------------------------------------------------------------------------------------------------------
+
+
+def topics(spark: SparkSession, p: list[float]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(map(float, p))), "z int, p double").withColumn("p", r6("p"))
+
+
+def zd(m: plsa.Model) -> DataFrame:
+    return plsa.long(m.p_zd, "doc_id").select("doc_id", "z", r6("p").alias("p"))
+
+
+def wz(m: plsa.Model) -> DataFrame:
+    return plsa.long(m.p_wz, "term").select("term", "z", F.round("p", 9).alias("p"))
+
+
+register("plsa_init_pz", f"SELECT z, {s6('p', 'p')} FROM pz0")(lambda s, d: topics(s, model(s, d, 0)[1].p_z))
+register("plsa_init_pwz", "SELECT term, z, round(p, 9) AS p FROM wz0")(lambda s, d: wz(model(s, d, 0)[1]))
+register("plsa_init_pzd", f"SELECT doc_id, z, {s6('p', 'p')} FROM zd0")(lambda s, d: zd(model(s, d, 0)[1]))
+register("plsa_em_iter1", f"SELECT doc_id, z, {s6('p', 'p')} FROM zd1")(lambda s, d: zd(model(s, d, 1)[1]))
+register("plsa_em_iter1_pwz", "SELECT term, z, round(p, 9) AS p FROM wz1")(lambda s, d: wz(model(s, d, 1)[1]))
+register("plsa_em_iter3", f"SELECT doc_id, z, {s6('p', 'p')} FROM zd3")(lambda s, d: zd(model(s, d, 3)[1]))
+register("plsa_pz", f"SELECT z, {s6('p', 'p')} FROM pz")(lambda s, d: topics(s, model(s, d)[1].p_z))
+register("plsa_pw", "SELECT term, round(p, 9) AS p FROM pw")(lambda s, d: plsa.p_w(model(s, d)[1]).select("term", F.round("p_w", 9).alias("p")))
+
+
+@register("plsa_loglik", f"SELECT {s6('sum(cnt * ln(mix)) / sum(cnt)', 'loglik')} FROM (SELECT doc_id, term, any_value(cnt) AS cnt, any_value(mix) AS mix FROM e1 GROUP BY doc_id, term)")
+def _plsa_loglik(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d)
+    return spark.createDataFrame([(plsa.log_likelihood(c, m),)], "loglik double").select(r6("loglik").alias("loglik"))
+
+
+@register("plsa_reference_model", "SELECT term, z, round((coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY z))::DOUBLE, 9) AS p FROM (SELECT DISTINCT term FROM pc) CROSS JOIN zs LEFT JOIN (SELECT term, z, sum(cnt) AS c FROM pc JOIN lab USING (doc_id) GROUP BY term, z) USING (term, z)")
+def _plsa_reference_model(spark: SparkSession, d: str) -> DataFrame:
+    return wz(plsa.initialize(pc(spark, d), labels(spark, d), plsa.Options(K, 0.0, 0.0), hard=True))
+
+
+@register("plsa_jackknife")
+def _plsa_jackknife(spark: SparkSession, d: str) -> DataFrame:
+    got = plsa.jackknife(pc(spark, d), labels(spark, d), counts.jackknife_folds(docs(spark, d), 3), 3, plsa.Options(K, ALPHA, BETA, max_iter=2))
+    return spark.createDataFrame(list(enumerate(got)), "fold int, loglik double").select("fold", r6("loglik").alias("loglik"))
+
+
+# --- reports ------------------------------------------------------------------------------------------------------------
+
+register("topic_purity", f"SELECT z, {s6('purity', 'purity')} FROM pur")(lambda s, d: summary.topic_purity(model(s, d)[1]).select("z", r6("purity").alias("purity")))
+register("topic_scores", f"SELECT z, {s6('score', 'score')}, {s6('100 * p', 'pct_docs')} FROM sco")(lambda s, d: summary.topic_scores(model(s, d)[1]).select("z", r6("score").alias("score"), r6("pct_docs").alias("pct_docs")))
+register("topic_rank_order", "SELECT z, rank FROM sco")(lambda s, d: summary.topic_scores(model(s, d)[1]).select("z", "rank"))
+register("word_topic_score", "SELECT term, z, round(score, 9) + 0.0 AS score FROM wts")(lambda s, d: summary.word_scores(model(s, d)[1]).select("term", "z", (F.round("score", 9) + 0.0).alias("score")))
+register("global_word_scores", "SELECT term, round(sum(score), 9) + 0.0 AS score FROM wts GROUP BY term")(lambda s, d: summary.global_word_scores(model(s, d)[1]).select("term", (F.round("score", 9) + 0.0).alias("score")))
+
+
+@register("ranked_words", f"SELECT term, {s6('s', 'score')}, c AS count FROM (SELECT term, sum(score) AS s FROM wts GROUP BY term) JOIN (SELECT term, sum(cnt) AS c FROM pc GROUP BY term) USING (term) ORDER BY s DESC, term LIMIT 50")
+def _ranked_words(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d)
+    return summary.ranked_words(m, c).select("term", r6("score").alias("score"), "count")
+
+
+register("signature_words")(lambda s, d: summary.signature_words(model(s, d)[1]))
+register("summary_tsv")(lambda s, d: summary.summary_lines(summary.summary(model(s, d)[1])))
+register("package_topics")(lambda s, d: summary.package_topics(summary.summary(model(s, d)[1])))
+register("lm_matrix")(lambda s, d: summary.lm_matrix(model(s, d)[1]))
+
+
+@register("d2z", "SELECT doc_id, string_agg(printf('%.6f', zd1.p), chr(9) ORDER BY rank) AS line FROM zd1 JOIN sco USING (z) GROUP BY doc_id")
+def _d2z(spark: SparkSession, d: str) -> DataFrame:
+    m = model(spark, d)[1]
+    return summary.d2z(m, summary.topic_scores(m))
+
+
+@register("package_docs", "SELECT doc_id, (arg_max(rank, (zd1.p, -rank)) - 1)::INTEGER AS top_topic, round(max(zd1.p), 6) AS top_p FROM zd1 JOIN sco USING (z) GROUP BY doc_id")
+def _package_docs(spark: SparkSession, d: str) -> DataFrame:
+    m = model(spark, d)[1]
+    return summary.package_docs(m, summary.topic_scores(m)).select("doc_id", "top_topic", F.round(F.array_max("topic_probabilities"), 6).alias("top_p"))
+
+
+@register("topic_entropy", f"SELECT {s6('-sum(p * ln(p))', 'entropy')} FROM (SELECT z, avg(p) AS p FROM zd1 GROUP BY z)")
+def _topic_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return summary.topic_entropy(model(spark, d)[1]).select(r6("entropy").alias("entropy"))
+
+
+@register("parse_topic_line", "SELECT doc_id, (doc_id % 7)::INTEGER AS topic_num, (n_chars % 100 + 0.5)::DOUBLE AS topic_score, 0.25::DOUBLE AS doc_purity, 0.125::DOUBLE AS fraction_of_docs, lang || ' ' || source AS summary_words FROM documents")
+def _parse_topic_line(spark: SparkSession, d: str) -> DataFrame:
+    line = F.format_string("# (%d) %.1f 0.25 12.5 %s %s", F.col("doc_id") % 7, F.col("n_chars") % 100 + 0.5, "lang", "source")
+    return docs(spark, d).select("doc_id", summary.parse_topic_line(line).alias("t")).select("doc_id", "t.*")
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------------
+
+
+def joint(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d)
+    return evaluate.joint_counts(m, counts.doc_lengths(c), truth(spark, d))
+
+
+register("joint_z_t", "SELECT z, label, round(n, 4) AS n FROM jc")(lambda s, d: joint(s, d).select("z", "label", F.round("n", 4).alias("n")))
+register("p_t_given_z", f"SELECT z, label, {s6('n / sum(n) OVER (PARTITION BY z)', 'p')} FROM jc")(lambda s, d: evaluate.given(joint(s, d), "z").select("z", "label", r6("p").alias("p")))
+register("p_z_given_t", f"SELECT z, label, {s6('n / sum(n) OVER (PARTITION BY label)', 'p')} FROM jc")(lambda s, d: evaluate.given(joint(s, d), "label").select("z", "label", r6("p").alias("p")))
+register("z2t_counts", "SELECT label, string_agg(printf('%.4f', n), chr(9) ORDER BY rank) AS line FROM jc JOIN sco USING (z) GROUP BY label")(lambda s, d: z2t(s, d))
+register("true_topics_line")(lambda s, d: evaluate.true_topics(joint(s, d)))
+
+
+def z2t(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d)
+    j = evaluate.joint_counts(m, counts.doc_lengths(c), truth(spark, d)).join(F.broadcast(summary.topic_scores(m).select("z", "rank")), "z")
+    return j.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda x: F.format_string("%.4f", x["n"])), "\t").alias("line"))
+
+
+_H = {"h_z": "SELECT -sum(q * log2(q)) FROM (SELECT sum(n) / (SELECT sum(n) FROM jd) AS q FROM jd GROUP BY z)", "h_t": "SELECT -sum(q * log2(q)) FROM (SELECT sum(n) / (SELECT sum(n) FROM jd) AS q FROM jd GROUP BY label)", "h_zt": "SELECT -sum(q * log2(q)) FROM (SELECT n / (SELECT sum(n) FROM jd) AS q FROM jd)"}
+_METRICS = {"h_t": "h_t", "h_z": "h_z", "i": "i", "h_t_given_z": "h_t - i", "h_z_given_t": "h_z - i", "precision": "i / h_z", "recall": "i / h_t", "nmi": "2 * i / (h_z + h_t)", "ic": "(2 * i - h_z) / h_t", "eir": "(h_t + h_z - 2 * i) / h_t", "p_score": "sqrt(greatest(i / h_z * i / h_t, 0))"}
+
+
+@register("eval_metrics", f"SELECT {', '.join(s6(v, k) for k, v in _METRICS.items())} FROM (SELECT *, h_z + h_t - h_zt AS i FROM (SELECT {', '.join(f'({v}) AS {k}' for k, v in _H.items())}))")
+def _eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.metrics(evaluate.joint_docs(model(spark, d)[1], truth(spark, d))).select(*[r6(c).alias(c) for c in _METRICS])
+
+
+@register("entropy", f"SELECT {s6('-sum(q * log2(q))', 'h')} FROM (SELECT count(*) / sum(count(*)) OVER () AS q FROM documents GROUP BY source)")
+def _entropy(spark: SparkSession, d: str) -> DataFrame:
+    by = docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    return by.crossJoin(by.agg(F.sum("n").alias("all"))).agg(r6(evaluate.entropy(F.col("n") / F.col("all"))).alias("h"))
+
+
+@register("topic_label_purity", f"SELECT z, {s6('(ht - h) / ht', 'purity')} FROM (SELECT z, -sum(p * log2(p)) AS h FROM (SELECT z, n / sum(n) OVER (PARTITION BY z) AS p FROM jc) WHERE p > 0 GROUP BY z), (SELECT -sum(q * log2(q)) AS ht FROM (SELECT sum(n) / (SELECT sum(n) FROM jc) AS q FROM jc GROUP BY label))")
+def _topic_label_purity(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_purity(joint(spark, d)).select("z", r6("purity").alias("purity"))
+
+
+@register("best_doc_map", "SELECT label, z, arg_max(doc_id, (round(p, 9), -doc_id)) AS doc_id FROM zd1 JOIN truth USING (doc_id) GROUP BY label, z")
+def _best_doc_map(spark: SparkSession, d: str) -> DataFrame:
+    m = model(spark, d)[1]
+    return evaluate.best_documents(plsa.replace(m, p_zd=m.p_zd.withColumn("p", F.transform("p", lambda x: F.round(x, 9)))), truth(spark, d))
+
+
+@register("summary_vs_reference")
+def _summary_vs_reference(spark: SparkSession, d: str) -> DataFrame:
+    found = summary.signature_words(model(spark, d)[1]).select(F.explode("terms").alias("term"))
+    return evaluate.compare_stems(stem.with_stems(found), stem.with_stems(stop_list(spark, d)))
+
+
+_NB = "(SELECT term, z, sum(cnt * p) AS c, sum(cnt) AS a FROM pc JOIN zd1 USING (doc_id) GROUP BY term, z)"
+
+
+@register("nb_topic_weights", f"SELECT term, z, {s6('ln(((c + 1) / (cz + v)) / ((a - c + 1) / (n - cz + v)))', 'weight')} FROM {_NB} JOIN (SELECT z, sum(c) AS cz, sum(a) AS n, count(*) AS v FROM {_NB} GROUP BY z) USING (z)")
+def _nb_topic_weights(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d)
+    return evaluate.topic_naive_bayes(m, c).select("term", "z", r6("weight").alias("weight"))
+
+
+@register("linear_score", "SELECT doc_id, z, round(sum(cnt * p)::DOUBLE, 6) AS score FROM pc JOIN wz0 USING (term) GROUP BY doc_id, z")
+def _linear_score(spark: SparkSession, d: str) -> DataFrame:
+    c, m = model(spark, d, 0)
+    return evaluate.linear_scores(c.drop("weight"), plsa.long(m.p_wz, "term").withColumnRenamed("p", "weight")).select("doc_id", "z", F.round("score", 6).alias("score"))
+
+
+# --- language identification --------------------------------------------------------------------------------------------
+
+_DIST = "(SELECT {0}, count(*) AS n FROM documents GROUP BY {0})"
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return langid.corpus(docs(spark, d))
+
+
+def dist(c: DataFrame, by: str) -> DataFrame:
+    return c.groupBy(by).agg(F.count("*").alias("n"))
+
+
+register("lang_dist", "SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang")(lambda s, d: dist(corpus(s, d), "lang"))
+register("domain_dist", "SELECT source AS domain, count(*)::BIGINT AS n FROM documents GROUP BY source")(lambda s, d: dist(corpus(s, d), "domain"))
+register("min_domain_langs", "SELECT lang, count(DISTINCT source)::BIGINT AS domains FROM documents GROUP BY lang HAVING count(DISTINCT source) >= 2")(lambda s, d: langid.min_domain_langs(corpus(s, d), 2))
+register("word_df", "SELECT term, count(*)::BIGINT AS df FROM wd GROUP BY term")(lambda s, d: langid.term_df(corpus(s, d), langid.words))
+register("term_lang_df", "SELECT term, lang, count(*)::BIGINT AS df FROM wd GROUP BY term, lang")(lambda s, d: langid.group_df(corpus(s, d), langid.words, "lang"))
+register("term_domain_df", "SELECT term, domain, count(*)::BIGINT AS df FROM wd GROUP BY term, domain")(lambda s, d: langid.group_df(corpus(s, d), langid.words, "domain"))
+
+_HEX = "(SELECT doc_id, lang, hex(encode(text)) AS h FROM documents)"
+_GRAMS = f"(SELECT doc_id, lang, k, unnest(list_transform(range(0, length(h) // 2 - k + 1), lambda i: substr(h, i::BIGINT * 2 + 1, 2 * k))) AS term FROM {_HEX}, (SELECT unnest([1, 2]) AS k))"
+_GRAM_DF = f"(SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM {_GRAMS} GROUP BY term)"
+GRAMS = langid.byte_ngrams((1, 2))
+
+
+register("ngrams", f"SELECT term, count(*)::BIGINT AS n FROM {_GRAMS} GROUP BY term")(lambda s, d: corpus(s, d).select(F.explode(GRAMS(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+register("ngram_df", f"SELECT term, df FROM {_GRAM_DF}")(lambda s, d: langid.term_df(corpus(s, d), GRAMS))
+register("df_select", f'SELECT "order", term, df FROM (SELECT (length(term) // 2)::INTEGER AS "order", term, df, row_number() OVER (PARTITION BY length(term) ORDER BY df DESC, term) AS r FROM {_GRAM_DF}) WHERE r <= 500')(lambda s, d: langid.select_df(langid.term_df(corpus(s, d), GRAMS), 500, 2))
+register("df_select_overall", f"SELECT term, df FROM {_GRAM_DF} ORDER BY df DESC, term LIMIT 700")(lambda s, d: langid.select_df_overall(langid.term_df(corpus(s, d), GRAMS), 700))
+
+
+def plogp(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN {x} * ln({x}) ELSE 0 END)"
+
+
+_GD = "(SELECT term, domain, df, n FROM (SELECT DISTINCT term FROM wd) CROSS JOIN (SELECT source AS domain, count(*)::DOUBLE AS n FROM documents GROUP BY source) LEFT JOIN (SELECT term, domain, count(*)::DOUBLE AS df FROM wd GROUP BY term, domain) USING (term, domain))"
+_IG_DOMAIN = f"(SELECT term, ln(t) - sn / t - (s1 * (ln(s1) - e1 / s1) + CASE WHEN t - s1 > 0 THEN (t - s1) * (ln(t - s1) - e0 / (t - s1)) ELSE 0 END) / t AS ig FROM (SELECT term, sum(n) AS t, sum({plogp('n')}) AS sn, sum(coalesce(df, 0)) AS s1, sum({plogp('coalesce(df, 0)')}) AS e1, sum({plogp('(n - coalesce(df, 0))')}) AS e0 FROM {_GD} GROUP BY term))"
+_GL = "(SELECT term, lang, coalesce(df, 0) AS a, n, s1, (SELECT count(*)::DOUBLE FROM documents) AS t FROM (SELECT term, count(*)::DOUBLE AS s1 FROM wd GROUP BY term) CROSS JOIN (SELECT lang, count(*)::DOUBLE AS n FROM documents GROUP BY lang) LEFT JOIN (SELECT term, lang, count(*)::DOUBLE AS df FROM wd GROUP BY term, lang) USING (term, lang))"
+
+
+def h2(p: str, q: str) -> str:
+    return f"(CASE WHEN {p} + {q} > 0 THEN ln({p} + {q}) - ({plogp(p)} + {plogp(q)}) / ({p} + {q}) ELSE 0 END)"
+
+
+_IG_LANG = f"(SELECT term, lang, {h2('n', '(t - n)')} - (s1 * {h2('a', '(s1 - a)')} + (t - s1) * {h2('(n - a)', '(t - s1 - n + a)')}) / t AS ig FROM {_GL})"
+
+
+def ig_domain(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    return langid.information_gain(langid.group_df(c, langid.words, "domain"), dist(c, "domain"), "domain")
+
+
+def ig_lang(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    return langid.information_gain_each(langid.group_df(c, langid.words, "lang"), dist(c, "lang"), "lang")
+
+
+register("ig_domain", f"SELECT term, {s6('ig', 'ig')} FROM {_IG_DOMAIN}")(lambda s, d: ig_domain(s, d).select("term", r6("ig").alias("ig")))
+register("ig_lang_bin", f"SELECT term, lang, {s6('ig', 'ig')} FROM {_IG_LANG}")(lambda s, d: ig_lang(s, d).select("term", "lang", r6("ig").alias("ig")))
+_LD = f"(SELECT lang, term, ld FROM (SELECT lang, term, l.ig - o.ig AS ld, row_number() OVER (PARTITION BY lang ORDER BY round(l.ig - o.ig, 9) DESC, term) AS r FROM {_IG_LANG} l JOIN {_IG_DOMAIN} o USING (term)) WHERE r <= 100)"
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    gains = ig_lang(spark, d).join(ig_domain(spark, d).withColumnRenamed("ig", "o"), "term").select("term", "lang", F.round(F.col("ig") - F.col("o"), 9).alias("ig"))
+    return langid.select_ld(gains, None, 100)
+
+
+register("ld_select", f"SELECT lang, term, {s6('ld', 'ld')} FROM {_LD}")(lambda s, d: features(s, d).select("lang", "term", r6("ld").alias("ld")))
+_FEATS = f"(SELECT DISTINCT term FROM {_LD})"
+_SCAN = f"(SELECT doc_id, lang, term, count(*)::BIGINT AS n FROM (SELECT doc_id, lang, unnest(string_split_regex(text, '\\s+')) AS term FROM documents) JOIN {_FEATS} USING (term) GROUP BY doc_id, lang, term)"
+
+
+def trained(spark: SparkSession, d: str) -> tuple[DataFrame, langid.LangidModel]:
+    c = corpus(spark, d)
+    return c, langid.train(c, langid.words, ld_feats=written(features(spark, d), "features"))
+
+
+register("scanner_counts", f"SELECT doc_id, term, n FROM {_SCAN}")(lambda s, d: langid.scan(corpus(s, d), written(features(s, d), "features"), langid.words))
+register("nb_log_pc", f"SELECT lang, {s6('ln(count(*))', 'log_pc')} FROM documents GROUP BY lang")(lambda s, d: langid.log_priors(corpus(s, d)).select("lang", r6("log_pc").alias("log_pc")))
+_PTC = f"(SELECT term, lang, ln(1.0 + coalesce(n, 0)) - ln(v + total) AS log_ptc FROM (SELECT term, lang, n, count(*) OVER (PARTITION BY lang) AS v, sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS total FROM {_FEATS} CROSS JOIN (SELECT DISTINCT lang FROM documents) LEFT JOIN (SELECT term, lang, sum(n) AS n FROM {_SCAN} GROUP BY term, lang) USING (term, lang)))"
+register("nb_log_ptc", f"SELECT term, lang, {s6('log_ptc', 'log_ptc')} FROM {_PTC}")(lambda s, d: trained(s, d)[1].log_ptc.select("term", "lang", r6("log_ptc").alias("log_ptc")))
+register("ptc_softmax", f"SELECT term, lang, round(exp(log_ptc) / sum(exp(log_ptc)) OVER (PARTITION BY lang), 9) AS p FROM {_PTC}")(lambda s, d: langid.softmax_ptc(trained(s, d)[1].log_ptc).select("term", "lang", F.round("p", 9).alias("p")))
+_SOFT = f"(SELECT term, lang, exp(log_ptc) / sum(exp(log_ptc)) OVER (PARTITION BY lang) AS p FROM {_PTC})"
+register("bl_weights", f"WITH soft AS MATERIALIZED {_SOFT} SELECT a.term, a.lang AS lang_a, b.lang AS lang_b, {s6('abs(a.p - b.p) / s', 'weight')} FROM soft a JOIN soft b USING (term) JOIN (SELECT term, sum(p) AS s FROM soft GROUP BY term) USING (term) WHERE a.lang < b.lang".replace("WITH soft AS MATERIALIZED " + _SOFT + " ", "").replace("FROM soft", f"FROM {_SOFT}").replace("JOIN soft", f"JOIN {_SOFT}"))(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
+
+
+@register("langid_classify")
+def _langid_classify(spark: SparkSession, d: str) -> DataFrame:
+    c, m = trained(spark, d)
+    return langid.classify(c, m)
+
+
+@register("langid_rank")
+def _langid_rank(spark: SparkSession, d: str) -> DataFrame:
+    c, m = trained(spark, d)
+    return langid.rank(c, m).select("doc_id", "lang", F.round("score", 4).alias("score"), "rank")
+
+
+@register("feat_weights_table", f"SELECT term, length(term)::INTEGER AS len, df, {s6('ig', 'ig_domain')} FROM {_FEATS} LEFT JOIN (SELECT term, count(*)::BIGINT AS df FROM wd GROUP BY term) USING (term) LEFT JOIN {_IG_DOMAIN} USING (term)")
+def _feat_weights_table(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d).select("term").distinct()
+    dfs = langid.term_df(corpus(spark, d), langid.words).withColumnRenamed("df", "value")
+    return langid.feature_weights(f, {"df": dfs, "ig_domain": ig_domain(spark, d).select("term", r6("ig").alias("value"))})
+
+
+# --- streaming ----------------------------------------------------------------------------------------------------------
+
+@register("stream_lang_filter", "SELECT lang, text, lang || ': ' || text AS line FROM documents WHERE doc_id % 3 = 0 AND lang IN ('en', 'de') AND text <> ''")
+def _stream_lang_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The batch twin of the streaming filter, over documents as JSON lines; the language comes from the table."""
+    lines = docs(spark, d).select("lang", F.to_json(F.struct("text", (F.col("doc_id") % 3).cast("int").alias("retweet_count"), "lang")).alias("value"))
+    langs = lines.select(F.from_json("value", "text string, retweet_count int, lang string").alias("j")).select("j.*")
+    kept = langs.where((F.col("retweet_count") == 0) & F.col("text").isNotNull() & (F.col("text") != ""))
+    return filters.by_language(kept, ["en", "de"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Normalise, count, prune, seed topics by k-means, fit, and report."""
+    from .pipeline import run
+
+    return run(docs(spark, sf_dir).select(F.col("doc_id"), F.col("text").alias("msg")), plsa.Options(K, ALPHA, BETA, max_iter=10)).lines
