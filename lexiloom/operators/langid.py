@@ -23,7 +23,12 @@ def byte_ngrams(orders: tuple[int, ...] = (1, 2, 3, 4), least: int | None = None
     def tokens(text: Column) -> Column:
         h = F.hex(F.encode(text, "UTF-8"))
         n = (F.length(h) / 2).cast("int")
-        grams = [F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i, k=k: F.substring(h, i * 2 + 1, F.lit(2 * k)))).otherwise(F.array().cast("array<string>")) for k in orders]
+
+        def order(k: int) -> Column:
+            found = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.substring(h, i * 2 + 1, F.lit(2 * k)))
+            return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
+
+        grams = [order(k) for k in orders]
         return F.when(n >= short, F.concat(*grams)).otherwise(F.array().cast("array<string>"))
 
     return tokens
