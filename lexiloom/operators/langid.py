@@ -21,11 +21,11 @@ def byte_ngrams(orders: tuple[int, ...] = (1, 2, 3, 4), least: int | None = None
     short = (max(orders) - 1) if least is None else least
 
     def tokens(text: Column) -> Column:
-        h = F.hex(F.encode(text, "UTF-8"))
-        n = (F.length(h) / 2).cast("int")
+        raw = F.encode(text, "UTF-8")  # a slice of bytes costs the same wherever it starts
+        n = F.octet_length(text)
 
         def order(k: int) -> Column:
-            found = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.substring(h, i * 2 + 1, F.lit(2 * k)))
+            found = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.hex(F.substring(raw, i + 1, F.lit(k))))
             return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
 
         grams = [order(k) for k in orders]
