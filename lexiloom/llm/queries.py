@@ -60,5 +60,38 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g') A
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size, sha256(norm) AS text_sha256 FROM n GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM n JOIN g USING (norm)"""
 
-#: In natural order of the operators; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": _OP5}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, v in url_filter.RULES)
+
+
+def _hits(terms: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT" for t in terms) + ")"
+
+
+_OP1 = rf"""
+WITH p AS (SELECT page_id, row_number() OVER () AS n, coalesce(translate(url, '{_UPPER}', '{_LOWER}'), '') AS u,
+  CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, n, u, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES {_RULES}) AS r(rule, verdict, rule_host, rule_path)),
+m AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n),
+c AS (SELECT *, {_hits(url_filter.STRICT)} AS n_strict, {_hits(url_filter.SOFT)} AS n_soft FROM h LEFT JOIN m USING (n))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM c"""
+
+_OP9 = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, source, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, r, source, text, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+v AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS v FROM g),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM v) WHERE n > 1),
+e AS (SELECT r, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM d) GROUP BY r),
+l0 AS (SELECT r, source, text, unnest(lines) AS line FROM w),
+l AS MATERIALIZED (SELECT r, source, md5(text) AS h, lower(regexp_replace(regexp_replace(line, '^{WS}|{WS}$', '', 'g'), '{WS}', ' ', 'g')) AS line FROM l0),
+hosts AS (SELECT source, count(DISTINCT md5(text)) AS host_docs FROM t GROUP BY source),
+often AS (SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, line, host_docs HAVING count(DISTINCT h) > 20 AND count(DISTINCT h) > 0.1 * host_docs),
+lost AS (SELECT r, sum(len(string_split(l.line, ' ')))::BIGINT AS lost_words FROM l JOIN often ON l.source IS NOT DISTINCT FROM often.source AND l.line = often.line GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{WS}', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words FROM w LEFT JOIN e USING (r) LEFT JOIN lost USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_words - lost_words < 0.2 * n_words AS kept FROM f"""
+
+#: In order of the operators; the others are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op5_exact_dedup": _OP5, "op9_quality_rules": _OP9}
