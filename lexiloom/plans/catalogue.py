@@ -672,7 +672,7 @@ def ig_lang(spark: SparkSession, d: str) -> DataFrame:
 
 register("ig_domain", f"SELECT term, {s6('ig', 'ig')} FROM {_IG_DOMAIN}")(lambda s, d: ig_domain(s, d).select("term", r6("ig").alias("ig")))
 register("ig_lang_bin", f"SELECT term, lang, {s6('ig', 'ig')} FROM {_IG_LANG}")(lambda s, d: ig_lang(s, d).select("term", "lang", r6("ig").alias("ig")))
-_LD = f"(SELECT lang, term, ld FROM (SELECT lang, term, l.ig - o.ig AS ld, row_number() OVER (PARTITION BY lang ORDER BY round(l.ig - o.ig, 9) DESC, term) AS r FROM {_IG_LANG} l JOIN {_IG_DOMAIN} o USING (term)) WHERE r <= 100)"
+_LD = f"(SELECT lang, term, ld FROM (SELECT lang, term, round(l.ig - o.ig, 9) AS ld, row_number() OVER (PARTITION BY lang ORDER BY round(l.ig - o.ig, 9) DESC, term) AS r FROM {_IG_LANG} l JOIN {_IG_DOMAIN} o USING (term)) WHERE r <= 100)"
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
