@@ -9,19 +9,24 @@ from .common import written
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node and component (smallest node reached) of every node of edges (a, b). Each round is a written table; rounds grow
-    with the logarithm of a component's diameter."""
+    """node and component (smallest node reached) of every node of edges (a, b). Each round gives a node the smallest of
+    its neighbours and itself, and goes on with the edges between such labels; edges inside a label drop out, so the graph
+    shrinks quickly. A node's component is its label's. Every round is a written table."""
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges-both")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    while True:
-        # The smallest label among a node's neighbours. Both sides of the join are scans, so AQE splits hot nodes.
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        # A label that some node hears is passed on to the node that the old label names, so trees hang together quickly.
-        mine = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("better"))
-        mine = written(mine, "heard")
-        roots = mine.groupBy(F.col("component").alias("root")).agg(F.min("better").alias("root_better"))
-        step = written(mine.join(roots, mine["component"] == roots["root"]).select("node", "component", F.least("better", "root_better").alias("new")), "labels")
-        if step.where("component <> new").isEmpty():
-            return labels
-        labels = step.select("node", F.col("new").alias("component"))
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
+        ends = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).unionByName(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low")))
+        labels = written(ends.groupBy("node").agg(F.least(F.min("low"), F.col("node")).alias("component")), "labels")
+        steps.append(labels)
+        # Both sides of each join are scans, so AQE splits a node with very many edges.
+        left = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+        right = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+        moved = edges.join(left, "a").select("la", "b").distinct().join(right, "b").where("la <> lb")
+        edges = written(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = steps[-1]
+    for labels in reversed(steps[:-1]):
+        final = out.select(F.col("node").alias("n"), F.col("component").alias("f"))
+        out = written(labels.join(final, labels["component"] == F.col("n"), "left").select("node", F.coalesce("f", "component").alias("component")), "labels")
+    return out
