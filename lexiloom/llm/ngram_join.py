@@ -158,14 +158,15 @@ def paired(sig: np.ndarray, key: np.ndarray, kind: np.ndarray, hot: np.ndarray,
     return out, np.stack([sig[go], key[go], kind[go].astype(np.int64).view(np.uint64), in_long[go].astype(np.uint64)])
 
 
-ROWS = "kind int, a long, b long, hot int, origin int, deal long"
+#: kind holds, besides the kind (below 4), 4 for a long list and 8 times the kind that a signature stems from.
+ROWS = "kind int, a long, b long"
 
 
-def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray, hot: np.ndarray, origin: np.ndarray, deal: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     step = 200_000
     for i in range(0, len(kind), step):
         s = slice(i, i + step)
-        yield pa.RecordBatch.from_arrays([pa.array(kind[s].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[s]).view(np.int64)) for x in (a, b)), pa.array(hot[s].astype(np.int32)), pa.array(origin[s].astype(np.int32)), pa.array(np.ascontiguousarray(deal[s]).view(np.int64))], names=["kind", "a", "b", "hot", "origin", "deal"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[s].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[s]).view(np.int64)) for x in (a, b))], names=["kind", "a", "b"])
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -191,8 +192,8 @@ def summaries(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
 
 
 def candidate_rows(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
-    """Rows (kind, a, b): PAIR of two classes' k1 (a < b), or a class (b) that a long list (a) holds; SIGNATURE rows carry
-    spare segments (a: own, b: lower) by class in `origin`'s place. Lists are folded in each block before the shuffle."""
+    """Rows (kind, a, b): PAIR of two classes' k1 (a < b), or a class (b) that a long list (a) holds. Lists are folded in each
+    block before the shuffle."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in merged(batches, 24 << 20):
@@ -207,26 +208,25 @@ def candidate_rows(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
             got = signatures(bounds, hashes, scheme)
             out, go = paired(got["sig"], k1[got["place"]], got["kind"], np.zeros(len(got["sig"]), np.int64), final=False)
             done = np.concatenate(out, axis=1)
-            zero = np.zeros(done.shape[1], np.int64)
-            yield from _rows(done[0].view(np.int64), done[1], done[2], zero, zero, mix(done[1] + mix(done[2])))
-            yield from _rows(np.full(go.shape[1], SIGNATURE), go[0], go[1], go[3].view(np.int64), go[2].view(np.int64), go[0])
+            yield from _rows(done[0].view(np.int64), done[1], done[2])
+            yield from _rows(SIGNATURE + 4 * go[3].view(np.int64) + 8 * go[2].view(np.int64), go[0], go[1])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            mask = pa.compute.equal(batch.column("kind"), SIGNATURE)
+            mask = pa.compute.greater_equal(batch.column("kind"), SIGNATURE)
             held.append(batch.filter(mask))
             yield batch.filter(pa.compute.invert(mask)).select(["kind", "a", "b"])
         if held:
             t = pa.Table.from_batches(held)
-            num = lambda c, to: t.column(c).to_numpy().astype(to)
-            out, _ = paired(t.column("a").to_numpy().view(np.uint64), t.column("b").to_numpy().view(np.uint64), num("origin", np.int64), num("hot", np.int64), final=True)
+            kind = t.column("kind").to_numpy().astype(np.int64)
+            out, _ = paired(t.column("a").to_numpy().view(np.uint64), t.column("b").to_numpy().view(np.uint64), kind // 8, kind // 4 % 2, final=True)
             done = np.concatenate(out, axis=1)
-            zero = np.zeros(done.shape[1], np.int64)
-            for b in _rows(done[0].view(np.int64), done[1], done[2], zero, zero, done[1]):
-                yield b.select(["kind", "a", "b"])
+            yield from _rows(done[0].view(np.int64), done[1], done[2])
 
-    return docs.select("text").mapInArrow(local, ROWS).repartition("deal").mapInArrow(final, "kind int, a long, b long").distinct()
+    # A signature's rows meet; pairs and members of long lists, of which one class may hold many, are spread.
+    deal = F.when(F.col("kind") >= SIGNATURE, F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
+    return docs.select("text").mapInArrow(local, ROWS).repartition(deal).mapInArrow(final, ROWS).distinct()
 
 
 def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
