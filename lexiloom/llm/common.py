@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -32,12 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. It cuts the lineage, so a lost executor costs no recomputation, and
-    non-deterministic columns (row numbers) are fixed from here on."""
+    non-deterministic columns (row numbers) are fixed from here on. The shuffle files behind it are removed once it is
+    written, as nothing reads them again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Gives a setting of the session another value for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -80,10 +94,5 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int, max_row
 
 def small_batches(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """Builds df while Arrow batches are short, so that a batch of very long texts still fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "256")
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):
         return build()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
