@@ -112,6 +112,7 @@ def information_gain_each(by_group: DataFrame, dist: DataFrame, by: str) -> Data
 def select_ld(ig_lang: DataFrame, ig_domain: DataFrame | None, per_lang: int = 300) -> DataFrame:
     """(lang, term, ld): for each language the per_lang terms whose gain on it most exceeds that on domains."""
     x = ig_lang.withColumn("ld", F.col("ig")) if ig_domain is None else ig_lang.join(ig_domain.withColumnRenamed("ig", "ig_domain"), "term").withColumn("ld", F.col("ig") - F.col("ig_domain"))
+    x = x.withColumn("ld", F.round("ld", 9))  # equal gains are equal in whatever order they were summed
     ranked = x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("ld"), "term")))
     return ranked.where(F.col("r") <= per_lang).select("lang", "term", "ld")
 
@@ -151,8 +152,8 @@ def train(docs: DataFrame, tokenizer: Tokenizer | None = None, unit: int = 2, pe
     if ld_feats is None:
         chosen = df_feats if df_feats is not None else select_df(term_df(docs, tokenizer), per_order, unit)
         chosen = written(chosen.select("term"), "langid-df")
-        seen = written(presence(docs, tokenizer).join(chosen, "term", "left_semi"), "langid-presence")
-        by = lambda c: seen.groupBy("term", c).agg(F.count("*").alias("df"))
+        seen = written(presence(docs, tokenizer).join(F.broadcast(chosen), "term", "left_semi").groupBy("term", "lang", "domain").agg(F.count("*").alias("df")), "langid-presence")
+        by = lambda c: seen.groupBy("term", c).agg(F.sum("df").alias("df"))
         dist = lambda c: docs.groupBy(c).agg(F.count("*").alias("n"))
         ld_feats = select_ld(information_gain_each(by("lang"), dist("lang"), "lang"), information_gain(by("domain"), dist("domain"), "domain") if domain_ig else None, per_lang)
     features = written(ld_feats.select("term").distinct(), "langid-features")

@@ -699,18 +699,49 @@ _SOFT = f"(SELECT term, lang, exp(log_ptc) / sum(exp(log_ptc)) OVER (PARTITION B
 register("bl_weights", f"WITH soft AS MATERIALIZED {_SOFT} SELECT a.term, a.lang AS lang_a, b.lang AS lang_b, {s6('abs(a.p - b.p) / s', 'weight')} FROM soft a JOIN soft b USING (term) JOIN (SELECT term, sum(p) AS s FROM soft GROUP BY term) USING (term) WHERE a.lang < b.lang".replace("WITH soft AS MATERIALIZED " + _SOFT + " ", "").replace("FROM soft", f"FROM {_SOFT}").replace("JOIN soft", f"JOIN {_SOFT}"))(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
 
 
+def byte_trained(spark: SparkSession, d: str) -> tuple[DataFrame, langid.LangidModel]:
+    """The whole chain as the reference has it: all byte n-grams of orders 1 to 4 of whole texts, 15,000 an order, 300 a language."""
+    c = corpus(spark, d)
+    return c, langid.train(c)
+
+
 @register("langid_classify")
 def _langid_classify(spark: SparkSession, d: str) -> DataFrame:
-    c, m = trained(spark, d)
+    c, m = byte_trained(spark, d)
     return langid.classify(c, m)
 
 
 @register("langid_rank")
 def _langid_rank(spark: SparkSession, d: str) -> DataFrame:
-    c, m = trained(spark, d)
+    c, m = byte_trained(spark, d)
     return langid.rank(c, m).select("doc_id", "lang", F.round("score", 4).alias("score"), "rank")
 
 
+# The queries above that SQL holds work on words or on orders 1 and 2; these are the same steps of the whole chain.
+BYTES = langid.byte_ngrams()
+register("byte_ngrams")(lambda s, d: corpus(s, d).select(F.explode(BYTES(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+register("byte_ngram_df")(lambda s, d: langid.term_df(corpus(s, d), BYTES))
+register("byte_df_select")(lambda s, d: langid.select_df(langid.term_df(corpus(s, d), BYTES), unit=2))
+register("byte_nb_log_ptc")(lambda s, d: byte_trained(s, d)[1].log_ptc.select("term", "lang", r6("log_ptc").alias("log_ptc")))
+register("byte_ptc_softmax")(lambda s, d: langid.softmax_ptc(byte_trained(s, d)[1].log_ptc).select("term", "lang", F.round("p", 9).alias("p")))
+register("byte_bl_weights")(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(byte_trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
+
+
+@register("byte_scanner_counts")
+def _byte_scanner_counts(spark: SparkSession, d: str) -> DataFrame:
+    c, m = byte_trained(spark, d)
+    return langid.scan(c, m.log_ptc, m.tokenizer)
+
+
+@register("byte_feat_weights_table")
+def _byte_feat_weights_table(spark: SparkSession, d: str) -> DataFrame:
+    c, m = byte_trained(spark, d)
+    f = m.log_ptc.select("term").distinct()
+    by = written(langid.presence(c, BYTES).join(F.broadcast(f), "term").groupBy("term", "domain").agg(F.count("*").alias("df")), "feature-df")
+    gains = langid.information_gain(by, dist(c, "domain"), "domain")
+    return langid.feature_weights(f, {"df": by.groupBy("term").agg(F.sum("df").alias("value")), "ig_domain": gains.select("term", r6("ig").alias("value"))}, 2)
+
+
 @register("feat_weights_table", f"SELECT term, length(term)::INTEGER AS len, df, {s6('ig', 'ig_domain')} FROM {_FEATS} LEFT JOIN (SELECT term, count(*)::BIGINT AS df FROM wd GROUP BY term) USING (term) LEFT JOIN {_IG_DOMAIN} USING (term)")
 def _feat_weights_table(spark: SparkSession, d: str) -> DataFrame:
     f = features(spark, d).select("term").distinct()

@@ -294,3 +294,66 @@ def test_catalogue_follows_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     canon = lambda rows: sorted(tuple("%.9g" % x if isinstance(x, float) else repr(x) for x in row) for row in rows)
     assert canon(map(tuple, df.select(*[f"`{n}`" for n in names]).collect())) == canon(r.fetchall())
+
+
+def byte_grams(t):
+    raw = (t or "").encode()
+    return [raw[i : i + k].hex().upper() for k in (1, 2, 3, 4) for i in range(len(raw) - k + 1)] if len(raw) >= 3 else []
+
+
+def byte_chain(rows, per_order=15000, per_lang=300):
+    """Features and scores of the whole chain by brute force; rows of doc_id, text, lang, source."""
+    counter = lambda xs: {x: xs.count(x) for x in xs}
+    h = lambda ns: -sum(n / sum(ns) * math.log(n / sum(ns)) for n in ns if n)
+    present = [set(byte_grams(r[1])) for r in rows]
+    df = {t: sum(t in p for p in present) for t in set().union(*present)}
+    chosen = [t for k in (2, 4, 6, 8) for t in sorted((t for t in df if len(t) == k), key=lambda t: (-df[t], t))[:per_order]]
+
+    def gain(t, groups):
+        cells = [[sum(g == x and (t in p) == has for g, p in zip(groups, present, strict=True)) for x in sorted(set(groups))] for has in (True, False)]
+        return h(list(counter(groups).values())) - sum(sum(c) / len(rows) * h(c) for c in cells if sum(c))
+
+    langs, feats = sorted({r[2] for r in rows}), set()
+    by_domain = {t: gain(t, [r[3] for r in rows]) for t in chosen}
+    for x in langs:
+        ld = {t: round(gain(t, [r[2] == x for r in rows]) - by_domain[t], 9) for t in chosen}
+        feats |= set(sorted(ld, key=lambda t: (-ld[t], t))[:per_lang])
+    n = {x: dict.fromkeys(feats, 0) for x in langs}
+    for r in rows:
+        for t in byte_grams(r[1]):
+            if t in feats:
+                n[r[2]][t] += 1
+    ptc = {x: {t: math.log(1 + c) - math.log(len(feats) + sum(n[x].values())) for t, c in n[x].items()} for x in langs}
+    prior = {x: math.log(sum(r[2] == x for r in rows)) for x in langs}
+    return feats, ptc, {(r[0], x): prior[x] + sum(ptc[x][t] for t in byte_grams(r[1]) if t in feats) for r in rows for x in langs}
+
+
+def tables(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+#: Texts of languages whose words never repeat; two are too short for any n-gram, one is missing.
+SCARCE = [(i, f"{w}{i} {w}n{i * 7}x", g, f"src{i % 2}") for i, (w, g) in enumerate([("thew", "en"), ("schö", "de"), ("eaux", "fr")] * 3)] + [(20, "ab", "en", "src0"), (21, "", "de", "src1"), (22, None, "en", "src1")]
+
+
+def test_langid_runs_the_whole_chain(spark, tmp_path):
+    d = tables(spark, tmp_path, SCARCE)
+    feats, ptc, scores = byte_chain(SCARCE)
+    got = {(r.doc_id, r.lang): r.score for r in catalogue.QUERIES["langid_rank"](spark, d).collect()}
+    assert got.keys() == scores.keys() and all(got[k] == pytest.approx(v, abs=1e-3) for k, v in scores.items())
+    best = {i: min(sorted(ptc), key=lambda x: (-scores[i, x], x)) for i, *_ in SCARCE}
+    assert {r.doc_id: r.lang for r in catalogue.QUERIES["langid_classify"](spark, d).collect()} == best
+    assert {(r.term, r.lang): r.log_ptc for r in catalogue.QUERIES["byte_nb_log_ptc"](spark, d).collect()} == pytest.approx({(t, x): p for x in ptc for t, p in ptc[x].items()}, abs=1e-5)
+
+
+def test_byte_steps(spark, tmp_path):
+    d = tables(spark, tmp_path, SCARCE)
+    feats, _, _ = byte_chain(SCARCE)
+    run = lambda q: catalogue.QUERIES[q](spark, d).collect()
+    every = [(i, t) for i, s, *_ in SCARCE for t in byte_grams(s)]
+    df = {t: len({i for i, u in every if u == t}) for _, t in every}
+    assert {r.term: r.n for r in run("byte_ngrams")} == {t: sum(u == t for _, u in every) for t in df}
+    assert {r.term: r.df for r in run("byte_ngram_df")} == df == {r.term: r.df for r in run("byte_df_select")}
+    assert {(r.doc_id, r.term): r.n for r in run("byte_scanner_counts")} == {k: every.count(k) for k in every if k[1] in feats}
+    assert {r.term: (r.len, r.df) for r in run("byte_feat_weights_table")} == {t: (len(t) // 2, df[t]) for t in feats}
