@@ -143,6 +143,21 @@ def _ingest_messages(spark: SparkSession, d: str) -> DataFrame:
     return readers.to_messages(raw_lines(spark, d), "default", "line")
 
 
+def whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as tab-delimited lines with their whole texts; a missing text leaves a line of one field."""
+    return docs(spark, d).select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("text", r"\s+", " ")).alias("value"), F.col("doc_id").alias("line"))
+
+
+@register("ingest_all_messages", r"SELECT doc_id::VARCHAR AS id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\s+$', '') AS msg FROM documents WHERE regexp_matches(text, '\S')")
+def _ingest_all_messages(spark: SparkSession, d: str) -> DataFrame:
+    return readers.to_messages(whole_lines(spark, d), "default", "line")
+
+
+@register("ingest_all_kept_pct", r"SELECT round(avg(CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END)::DOUBLE * 100, 6) AS kept_pct FROM documents")
+def _ingest_all_kept_pct(spark: SparkSession, d: str) -> DataFrame:
+    return readers.kept_percent(whole_lines(spark, d)).select(F.round("kept_pct", 6).alias("kept_pct"))
+
+
 @register("display_filter", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 def _display_filter(spark: SparkSession, d: str) -> DataFrame:
     shown = readers.display(table(spark, d, "conversations"), "role", "user")
@@ -760,6 +775,14 @@ def _stream_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.by_language(kept, ["en", "de"])
 
 
+@register("stream_classified_filter")
+def _stream_classified_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming filter's batch twin over every document as an original post, in the language that the classifier finds."""
+    lines = docs(spark, d).select(F.to_json(F.struct("text", F.lit(0).alias("retweet_count"))).alias("value"))
+    rows = written(filters.posts(lines).withColumn("doc_id", F.monotonically_increasing_id()), "posts")
+    return filters.by_language(rows.join(langid.classify(rows, byte_trained(spark, d)[1]), "doc_id"), ["en", "de"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalise, count, prune, seed topics by k-means, fit, and report."""
     from .pipeline import run

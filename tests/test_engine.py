@@ -357,3 +357,24 @@ def test_byte_steps(spark, tmp_path):
     assert {r.term: r.df for r in run("byte_ngram_df")} == df == {r.term: r.df for r in run("byte_df_select")}
     assert {(r.doc_id, r.term): r.n for r in run("byte_scanner_counts")} == {k: every.count(k) for k in every if k[1] in feats}
     assert {r.term: (r.len, r.df) for r in run("byte_feat_weights_table")} == {t: (len(t) // 2, df[t]) for t in feats}
+
+
+def test_ingest_takes_all(spark, tmp_path):
+    d = tables(spark, tmp_path, SCARCE)
+    texts = {str(i): t for i, t, *_ in SCARCE if t}
+    assert "fr" in {r[2] for r in SCARCE} and {r.id: r.msg for r in catalogue.QUERIES["ingest_all_messages"](spark, d).collect()} == texts
+    assert catalogue.QUERIES["ingest_all_kept_pct"](spark, d).collect()[0][0] == pytest.approx(100 * len(texts) / len(SCARCE), abs=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the small tables")
+@pytest.mark.parametrize("name", ["ingest_all_messages", "ingest_all_kept_pct"])
+def test_ingest_follows_sql(spark, name):
+    test_catalogue_follows_sql(spark, name)
+
+
+def test_stream_classifies_every_document(spark, tmp_path):
+    rows = [(i, f"{w} {w}{i}", "fr" if i == 5 else g, f"src{i % 2}") for i, (w, g) in enumerate([("the cat", "en"), ("der hund", "de"), ("le chien", "fr")] * 4)] + [(20, None, "en", "src0"), (21, "", "en", "src0")]
+    _, ptc, scores = byte_chain(rows)
+    best = {i: min(sorted(ptc), key=lambda x: (-scores[i, x], x)) for i, *_ in rows}
+    got = {(r.lang, r.text) for r in catalogue.QUERIES["stream_classified_filter"](spark, tables(spark, tmp_path, rows)).collect()}
+    assert got == {(best[i], t) for i, t, *_ in rows if t and best[i] in ("en", "de")} and len(got) > 4
