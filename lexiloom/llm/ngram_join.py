@@ -10,7 +10,7 @@ band and looks up smaller sets under the bands below.
   a set keeps H + 1 others. A long list sends links to its smallest class only, and its members are kept aside.
 - One-deletion neighbourhoods: empty segments are never indexed. A set with more empty segments than are to spare is also
   indexed by its segments and by each of them less one shingle, so that a segment may differ by one and counts double; if
-  even that is less than H + 1, the set joins the list of all such sets of its band.
+  even that is less than the band's largest H, plus 1, the set joins the list of all such sets of its band.
 - Candidates are verified exactly on the sets.
 - What long lists may have hidden: for sets that had fewer than H + 1 short lists, and lists that still hold several
   components, the lists' members are compared block by block as matrices of 0 and 1. That is the method's worst case.
@@ -114,7 +114,8 @@ def signatures(bounds: np.ndarray, hashes: np.ndarray, scheme: Scheme) -> dict[s
             kinds.append(np.full(len(owner), kind))
             sigs.append(mix(whole[owner] - mixed[at][several] + name[owner], 19))
             reach = np.bincount(of[new], weights=np.where(count > 1, 2, 1), minlength=len(use))
-            rest = use[scarce & (reach < need)]
+            # The partner may be larger than `need` assumes, and both sets of a pair must be in the list.
+            rest = use[scarce & (reach < most + 1)]
             places.append(rest)
             kinds.append(np.full(len(rest), kind))
             sigs.append(mix(band[rest].astype(np.uint64), 23))

@@ -339,6 +339,14 @@ def test_segments_keep_the_promise():
             assert set(got["sig"][got["place"] == 0].tolist()) & set(got["sig"][got["place"] == 1].tolist())
 
 
+def test_crowded_segments_keep_the_promise():
+    """8 and 10 hashes, the one set inside the other (Jaccard 0.8), all in the first segment of every band."""
+    larger = np.arange(1, 11, dtype=np.uint64)
+    for smaller in (larger[:8], larger[2:]):
+        got = ngram_join.signatures(np.array([0, 10, 18]), np.concatenate([larger, smaller]), ngram_join.Scheme(80))
+        assert set(got["sig"][got["place"] == 0]) & set(got["sig"][got["place"] == 1])
+
+
 def test_word_hashes_follow_words():
     texts = [b"The  cat\tsat", b"the CAT sat", b"", b"\xc3\x89t\xc3\xa9", b"\xc3\xa9t\xc3\xa9"]
     got = [w.tolist() for w in shingles.words_by_document(texts)]
