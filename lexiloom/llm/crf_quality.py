@@ -162,10 +162,12 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Field | None, float]:
-    """A field and the share of good rows, from docs (doc_id, text) and labels (doc_id, quality) that are not held out."""
+    """A field and the share of good rows, from docs (doc_id, text) and labels (doc_id, quality) that are not held out.
+    A labelled id gives one row: of repeated labels the lowest, of repeated documents the text with the least hash."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("binary"), "quality").collect()  # bounded by max_train
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).cast("binary").alias("text"), F.first("quality").alias("quality"))
+    rows = [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: r[0])]  # one row a labelled id, so bounded by max_train
     y = np.array([r[1] for r in rows], int)
     return (fit([bytes(r[0]) for r in rows], y), float(y.mean())) if rows else (None, 0.5)
 

@@ -398,6 +398,18 @@ def test_quality_classifier(spark):
     assert crf_quality.scored(d.limit(0), y).count() == 0
 
 
+def test_training_takes_one_row_an_id(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(40)] + [(k, t) for k in range(40) for t in ("one copy more", f"text {k}")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(40)], "doc_id long, quality int")
+    taken = []
+    monkeypatch.setattr(crf_quality, "fit", lambda texts, y: taken.append((texts, y.tolist())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [r[0] for r in spark.range(40).where(~crf_quality.held_out("id")).collect()]
+    crf_quality.train(docs, labels)
+    crf_quality.train(docs, labels, 10)
+    assert taken[0][1] == [i % 2 for i in sorted(ids)] and len(taken[1][0]) == 10
+
+
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(6)
     x, y = rng.integers(32, 127, (3, 12)), np.zeros((3, 12), np.int64)
