@@ -87,7 +87,8 @@ def parse_feature_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     parts = F.filter(F.split(F.col(value), r"\s+"), lambda x: x != "")
     rows = lines.select(parts.alias("p")).where(F.size("p") > 0)
     weighted = F.size("p") > 1
-    mixed = F.min(weighted).over(Window.partitionBy(F.lit(1))) != F.max(weighted).over(Window.partitionBy(F.lit(1)))
+    rows = rows.crossJoin(F.broadcast(rows.agg((F.min(weighted) != F.max(weighted)).alias("mixed"))))  # one row
+    mixed = F.col("mixed")
     weight = F.get("p", F.lit(1)).try_cast("double") if hasattr(F.col("p"), "try_cast") else F.get("p", F.lit(1)).cast("double")
     bad = weighted & (weight.isNull() | F.isnan(weight) | (F.abs(weight) == float("inf")))
     checked = F.when(mixed, F.raise_error(F.lit("weighted and unweighted lines"))).when(bad, F.raise_error(F.lit("weight is not finite"))).otherwise(F.coalesce(weight, F.lit(1.0)))

@@ -378,3 +378,9 @@ def test_stream_classifies_every_document(spark, tmp_path):
     best = {i: min(sorted(ptc), key=lambda x: (-scores[i, x], x)) for i, *_ in rows}
     got = {(r.lang, r.text) for r in catalogue.QUERIES["stream_classified_filter"](spark, tables(spark, tmp_path, rows)).collect()}
     assert got == {(best[i], t) for i, t, *_ in rows if t and best[i] in ("en", "de")} and len(got) > 4
+
+
+def test_feature_lines_are_not_gathered(spark):
+    found = readers.parse_feature_lines(spark.range(100).selectExpr("concat('t', id, ' 2') AS value"))
+    assert "Window" not in found._jdf.queryExecution().toString() and found.agg(F.sum("weight")).collect()[0][0] == 200
+    assert readers.parse_feature_lines(spark.createDataFrame([], "value string")).count() == 0
