@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,16 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary
+    folder, and a cluster gets an error, since its executors could not read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut, its non-deterministic columns are fixed."""
+    """df as a Parquet table in the shared folder. It cuts the lineage, so a lost executor costs no recomputation, and
+    non-deterministic columns (row numbers) are fixed from here on."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables that `written` returned, once what was made of them is written itself; other frames stay."""
+    for df in frames:
+        if path := getattr(df, "table_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
