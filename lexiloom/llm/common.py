@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of every contract: space and the control characters from tab to carriage return.
-WS = r"[\x20\x09-\x0D]+"
-EDGE_WS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
-    return found
+from ..sources.tables import dropped, shared_dir, table, written
 
+__all__ = ["WS", "blocks", "dropped", "fresh", "n_words_of", "shared_dir", "table", "text_or_empty", "trimmed", "words_of", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage, so a lost executor costs no recomputation, and
-    non-deterministic columns (row numbers) are fixed from here on."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of every contract: space and the control characters from tab to carriage return.
+WS = r"[\x20\x09-\x0D]+"
+_WS_CHARS = " \t\n\x0b\f\r"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -50,15 +30,21 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
+def trimmed(text: Column) -> Column:
+    """A text without white space at its ends. A pattern bound to the end would look at an inner run from each of its
+    characters; this takes time in proportion to the text."""
+    return F.btrim(text, F.lit(_WS_CHARS))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null if it has none."""
-    bare = F.regexp_replace(text, EDGE_WS, "")
+    bare = trimmed(text)
     return F.when(F.length(bare) > 0, F.split(bare, WS))
 
 
 def n_words_of(text: Column) -> Column:
-    bare = F.regexp_replace(text, EDGE_WS, "")
-    return F.when(F.length(bare) > 0, F.size(F.split(bare, WS))).otherwise(0).cast("long")
+    """Number of words, counted without making them."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int, max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
@@ -76,14 +62,3 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int, max_row
                 at, held = i, 0
             held += int(n)
         yield batch.slice(at)
-
-
-def small_batches(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
-    """Builds df while Arrow batches are short, so that a batch of very long texts still fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "256")
-    try:
-        return build()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, text_or_empty
+from .common import blocks, text_or_empty
 from .shingles import word_hashes
 
 #: Labelled rows that a model is fitted on at most.
@@ -184,5 +184,5 @@ def scored(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
             score = field.score(texts) if field else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(score, 0, 1))], names=["doc_id", "score"])
 
-    out = small_batches(documents.sparkSession, lambda: docs.mapInArrow(run, f"doc_id {kind}, score double"))
+    out = docs.mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

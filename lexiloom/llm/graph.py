@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,15 @@ def connected(edges: DataFrame) -> DataFrame:
         left = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
         right = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
         moved = edges.join(left, "a").select("la", "b").distinct().join(right, "b").where("la <> lb")
+        before = edges
         edges = written(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        dropped(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    dropped(edges)
     out = steps[-1]
     for labels in reversed(steps[:-1]):
-        final = out.select(F.col("node").alias("n"), F.col("component").alias("f"))
+        last, final = out, out.select(F.col("node").alias("n"), F.col("component").alias("f"))
         out = written(labels.join(final, labels["component"] == F.col("n"), "left").select("node", F.coalesce("f", "component").alias("component")), "labels")
+        dropped(last, labels)
     return out

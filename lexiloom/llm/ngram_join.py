@@ -11,10 +11,16 @@ band and looks up smaller sets under the bands below.
 - One-deletion neighbourhoods: empty segments are never indexed. A set with more empty segments than are to spare is also
   indexed by its segments and by each of them less one shingle, so that a segment may differ by one and counts double; if
   even that is less than the band's largest H, plus 1, the set joins the list of all such sets of its band.
-- Candidates are verified exactly on the sets.
+- Signatures travel packed: a block of texts sends each bucket (a range of signatures) one row of sorted differences. A
+  bucket holds `BUCKET` signatures on average, whatever the input, and is settled by itself.
+- Candidates are first held to what is cheap: sizes, and the shingles that fall into each of 64 cells, whose differences
+  add up to no more than the symmetric difference. Sets are read again only for pairs that pass, and compared whole.
 - What long lists may have hidden: for sets that had fewer than H + 1 short lists, and lists that still hold several
   components, the lists' members are compared block by block as matrices of 0 and 1. That is the method's worst case.
 
+Words and shingles stand as 64-bit hashes: the join is exact on these, and two different shingles of two documents count as
+one only where their hashes meet.
+
 Documents without words have no shingles and link with nothing. Rows with a null id get their figures, but no component
 and no part in links; rows that share an id are one node. Empty tables give empty results; other columns don't matter."""
 
@@ -28,16 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, small_batches, text_or_empty, written
+from .common import blocks, dropped, fresh, text_or_empty, written
 from .graph import connected
 from .shingles import mix, shingle_sets, sums
 
 #: A list of more classes is long.
 HOT = 8
-PAIR, HOT_OWN, HOT_LOWER, SIGNATURE = 0, 1, 2, 3
+PAIR, HOT_OWN, HOT_LOWER, SPARE = 0, 1, 2, 3
 BAND_RATIO = 1.3
-#: Classes and columns of a block's matrix.
-BLOCK, COLUMNS = 1000, 8192
+#: More segments than any set has.
+MANY = 1 << 28
+#: Bytes of text that a task indexes at a time, and signatures of a bucket on average.
+TEXTS, BUCKET = 12 << 20, 2 << 20
+#: Cells of a set's sketch, four to a long.
+CELLS = 64
+SKETCH = [f"s{i}" for i in range(CELLS // 4)]
+#: Classes, shingles and columns of a block's matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 1 << 20, 8192
 
 
 @dataclass(frozen=True)
@@ -159,15 +172,74 @@ def paired(sig: np.ndarray, key: np.ndarray, kind: np.ndarray, hot: np.ndarray,
     return out, np.stack([sig[go], key[go], kind[go].astype(np.int64).view(np.uint64), in_long[go].astype(np.uint64)])
 
 
-#: kind holds, besides the kind (below 4), 4 for a long list and 8 times the kind that a signature stems from.
 ROWS = "kind int, a long, b long"
-
-
-def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+#: A packed row: signatures of one kind (below 4; 4 more for long lists) that fall into one bucket, or finished rows (8 more).
+PACKED = "bucket int, kind int, a binary, b binary, keys binary"
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by bytes of one rank, so that the high ones, mostly zero, compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct columns, in order."""
+    x = x[:, np.lexsort(x[::-1])]
+    return x[:, np.concatenate([np.ones(min(1, x.shape[1]), bool), (x[:, 1:] != x[:, :-1]).any(axis=0)])]
+
+
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def packed(done: np.ndarray, go: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Finished rows (kind, a, b) and signatures (sig, key, kind, hot) of a block as packed rows."""
+    out: list[tuple] = []
+    place = bucket_of(mix(done[1] + mix(done[2], 3), 43), buckets)
+    done = distinct(np.stack([place, *done]))
+    edges = np.flatnonzero(np.concatenate([[True], (done[:2, 1:] != done[:2, :-1]).any(axis=0), [True]])) if done.shape[1] else [0]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        bucket, kind = done[:2, lo]
+        out.append((int(bucket), 8 + int(kind), done[2, lo:hi].tobytes(), done[3, lo:hi].tobytes(), None))
+    flag = go[2] + np.uint64(4) * go[3]
+    for kind in np.unique(flag):
+        sig, key = go[:2, flag == kind]
+        order = np.argsort(sig, kind="stable")
+        sig, key = sig[order], key[order]
+        place = bucket_of(sig, buckets)
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])), [len(sig)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            keys, at = np.unique(key[lo:hi], return_inverse=True)
+            steps = np.diff(sig[lo:hi], prepend=np.uint64(0))
+            out.append((int(place[lo]), int(kind), planes(steps), planes(at.astype(np.uint32)), keys.tobytes()))
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "a", "b", "keys"])
+
+
+def unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The finished rows (kind, a, b) and signatures (sig, key, kind, hot) of packed rows (kind, a, b, keys)."""
+    done, go = [np.empty((3, 0), np.uint64)], [np.empty((4, 0), np.uint64)]
+    for kind, a, b, keys in rows:
+        if kind >= 8:
+            x = np.frombuffer(a, np.uint64)
+            done.append(np.stack([np.full(len(x), kind - 8, np.uint64), x, np.frombuffer(b, np.uint64)]))
+        else:
+            sig = np.cumsum(from_planes(a, np.uint64), dtype=np.uint64)
+            key = np.frombuffer(keys, np.uint64)[from_planes(b, np.uint32)]
+            go.append(np.stack([sig, key, np.full(len(sig), kind % 4, np.uint64), np.full(len(sig), kind // 4, np.uint64)]))
+    return np.concatenate(done, axis=1), np.concatenate(go, axis=1)
+
+
+def _rows(done: np.ndarray) -> Iterator[pa.RecordBatch]:
     step = 200_000
-    for i in range(0, len(kind), step):
-        s = slice(i, i + step)
-        yield pa.RecordBatch.from_arrays([pa.array(kind[s].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[s]).view(np.int64)) for x in (a, b))], names=["kind", "a", "b"])
+    for i in range(0, done.shape[1], step):
+        kind, a, b = done[:, i : i + step]
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b))], names=["kind", "a", "b"])
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -179,25 +251,36 @@ def set_keys(bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(sums(mix(hashes, 29), bounds), 31), mix(sums(mix(hashes, 37), bounds), 41)
 
 
-def summaries(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2, spare_own and spare_lower of every row."""
+def sketches(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall into each cell, up to 65,535, as longs of four cells."""
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * CELLS + (mix(hashes, 47) % np.uint64(CELLS)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 65535).astype(np.uint16)
+    return counts.reshape(n, CELLS).view(np.int64)
+
+
+def summaries(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 and the sketch of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
             bounds, hashes = shingle_sets(_binary(batch.column("text")), k)
             k1, k2 = set_keys(bounds, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n_shingles", "k1", "k2"])
+            cells = sketches(bounds, hashes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in cells.T)], names=["doc_id", "n_shingles", "k1", "k2", *SKETCH])
 
-    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def candidate_rows(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
-    """Rows (kind, a, b): PAIR of two classes' k1 (a < b), or a class (b) that a long list (a) holds. Lists are folded in each
+def candidate_rows(docs: DataFrame, scheme: Scheme, k: int, buckets: int) -> DataFrame:
+    """Rows (kind, a, b): PAIR of two classes' k1 (a < b); a class (b) that a long list (a) holds; and SPARE, how many
+    segments a class (a) has to spare under its own and the lower bands (high and low half of b). Lists are folded in each
     block before the shuffle."""
+    half = lambda spare: np.clip(spare, -MANY, MANY) + MANY
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in merged(batches, 24 << 20):
+        for texts in merged(batches, TEXTS):
             bounds, hashes = shingle_sets(texts, k)
             k1, _ = set_keys(bounds, hashes)
             _, first = np.unique(k1, return_index=True)  # copies in a block count once
@@ -208,26 +291,32 @@ def candidate_rows(docs: DataFrame, scheme: Scheme, k: int) -> DataFrame:
                 k1 = k1[first]
             got = signatures(bounds, hashes, scheme)
             out, go = paired(got["sig"], k1[got["place"]], got["kind"], np.zeros(len(got["sig"]), np.int64), final=False)
-            done = np.concatenate(out, axis=1)
-            yield from _rows(done[0].view(np.int64), done[1], done[2])
-            yield from _rows(SIGNATURE + 4 * go[3].view(np.int64) + 8 * go[2].view(np.int64), go[0], go[1])
+            spare = ((half(got["spare_own"]) << 32) | half(got["spare_lower"])).view(np.uint64)
+            out.append(np.stack([np.full(len(k1), SPARE, np.uint64), k1, spare]))
+            yield packed(np.concatenate(out, axis=1), go, buckets)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []
+        last = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            done, go = unpacked(held)
+            held.clear()
+            out, _ = paired(go[0], go[1], go[2].view(np.int64), go[3].view(np.int64), final=True)
+            yield from _rows(distinct(np.concatenate([done, *out], axis=1)))
+
         for batch in batches:
-            mask = pa.compute.greater_equal(batch.column("kind"), SIGNATURE)
-            held.append(batch.filter(mask))
-            yield batch.filter(pa.compute.invert(mask)).select(["kind", "a", "b"])
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last and held:
+                    yield from settled()
+                last = bucket
+                held.append(tuple(row))
         if held:
-            t = pa.Table.from_batches(held)
-            kind = t.column("kind").to_numpy().astype(np.int64)
-            out, _ = paired(t.column("a").to_numpy().view(np.uint64), t.column("b").to_numpy().view(np.uint64), kind // 8, kind // 4 % 2, final=True)
-            done = np.concatenate(out, axis=1)
-            yield from _rows(done[0].view(np.int64), done[1], done[2])
+            yield from settled()
 
-    # A signature's rows meet; pairs and members of long lists, of which one class may hold many, are spread.
-    deal = F.when(F.col("kind") >= SIGNATURE, F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
-    return docs.select("text").mapInArrow(local, ROWS).repartition(deal).mapInArrow(final, ROWS).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("text").mapInArrow(local, PACKED).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(final, ROWS).distinct()
 
 
 def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
@@ -244,19 +333,23 @@ def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]
         yield held
 
 
-def spares(sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """k1, spare_own and spare_lower from k1 and set."""
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b: k1) that sizes and sketches do not rule out. Both sides of each join are scans, so AQE splits a class
+    that many pairs name."""
+    cells = F.array(*SKETCH)
+    left = classes.select(F.col("k1").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), cells.alias("sa"))
+    right = classes.select(F.col("k1").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), cells.alias("sb"))
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = pairs.join(left, pairs["a"] == left["ka"]).join(right, (F.col("b") == right["kb"]) & sized).where("ra <> rb").select("a", "b", "na", "nb", "sa", "sb")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                raw = part.column("set").to_pylist()
-                bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
-                got = signatures(bounds, np.frombuffer(b"".join(raw), "<u8"), scheme)
-                yield pa.RecordBatch.from_arrays([part.column("k1"), pa.array(got["spare_own"]), pa.array(got["spare_lower"])], names=["k1", "spare_own", "spare_lower"])
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            sa, sb = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, CELLS).astype(np.int64) for c in ("sa", "sb"))
+            keep = pa.array(np.abs(sa - sb).sum(axis=1) <= Scheme(percent).differ(na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return sets.select("k1", "set").mapInArrow(count, "k1 long, spare_own long, spare_lower long")
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -302,40 +395,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def join_classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The table of rows (doc_id, n_shingles, k1, k2) and the links between classes' representatives (a, b)."""
+def join_classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of rows (doc_id, n_shingles, k1, k2, sketch), the classes (k1, k2, rep, n, sketch) and the links between
+    classes' representatives (a, b)."""
     spark, scheme = df.sparkSession, Scheme(percent)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = written(small_batches(spark, lambda: summaries(docs, scheme, k)), "join-rows")
+    found = written(summaries(docs, k), "join-rows")
     docs = docs.where(F.col("doc_id").isNotNull())
-    classes = written(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "join-classes")
-    rows = written(small_batches(spark, lambda: candidate_rows(docs, scheme, k)), "join-candidates")
-    hot = rows.where(F.col("kind") != PAIR)
+    by = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("k1", "k2")
+    classes = written(by.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in SKETCH)), "join-classes")
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(1, -(-shingles // (parts * BUCKET)))  # a set has about as many signatures as shingles
+    rows = written(candidate_rows(docs, scheme, k, buckets), "join-candidates")
     alike = classes.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("a"), F.col("k1").alias("b"))
-    pairs = written(rows.where(F.col("kind") == PAIR).select("a", "b").unionByName(alike), "join-pairs")
+    pairs = written(plausible(rows.where(F.col("kind") == PAIR).select("a", "b").unionByName(alike), classes, percent), "join-pairs")
     named = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    sets = written(small_batches(spark, lambda: sets_of(docs, classes.join(named, "k1", "left_semi"), k)), "join-sets")
-    links = written(small_batches(spark, lambda: verified(pairs, sets, percent)), "join-links")
-    if hot.isEmpty():
-        return found, links
-    return found, links.unionByName(hidden(hot, sets, links, scheme))
-
-
-def hidden(hot: DataFrame, sets: DataFrame, links: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links that long lists (hot: kind, a: signature, b: k1) may have hidden: between components of links, where one of the
-    two sets had too few short lists."""
-    spark = hot.sparkSession
+    sets = written(sets_of(docs, classes.join(named, "k1", "left_semi"), k), "join-sets")
+    links = written(verified(pairs, sets, percent), "join-links")
+    dropped(pairs, sets)
+    if rows.where(F.col("kind").isin(HOT_OWN, HOT_LOWER)).isEmpty():
+        return found, classes, links
+    more = hidden(docs, rows, classes, links, scheme, k)
+    dropped(rows)
+    return found, classes, links.unionByName(more)
+
+
+def hidden(docs: DataFrame, rows: DataFrame, classes: DataFrame, links: DataFrame, scheme: Scheme, k: int) -> DataFrame:
+    """Links that long lists (of rows) may have hidden: between components of links, where one of the two sets had too few
+    short lists."""
+    hot = rows.where(F.col("kind").isin(HOT_OWN, HOT_LOWER))
+    spare = rows.where(F.col("kind") == SPARE).select(F.col("a").alias("k1"), (F.shiftright("b", 32) - MANY).alias("spare_own"), (F.col("b").bitwiseAND((1 << 32) - 1) - MANY).alias("spare_lower"))
     lost = hot.groupBy(F.col("b").alias("k1")).agg(*(F.sum((F.col("kind") == c).cast("int")).alias(n) for c, n in ((HOT_OWN, "own"), (HOT_LOWER, "lower"))))
-    few = small_batches(spark, lambda: spares(sets.join(lost, "k1", "left_semi"), scheme)).join(lost, "k1").where("own > spare_own OR lower > spare_lower").select("k1").distinct()
+    few = spare.join(lost, "k1").where("own > spare_own OR lower > spare_lower").select("k1").distinct()
     labels = connected(links)
-    reps = sets.select("k1", "rep").groupBy("k1").agg(F.min("rep").alias("rep"))
+    reps = classes.groupBy("k1").agg(F.min("rep").alias("rep"))
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", F.coalesce("component", "rep").alias("component"))
     members = hot.select("a", F.col("b").alias("k1")).distinct().join(named, "k1").join(few.withColumn("few", F.lit(True)), "k1", "left")
     members = written(members.withColumn("few", F.coalesce("few", F.lit(False))), "join-hot")
     mixed = members.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("few").alias("any")).where("low <> high AND any").select("a")
-    members = written(members.join(mixed, "a", "left_semi"), "join-mixed")
-    groups = connected_lists(members)
-    return between_blocks(groups, sets, scheme.percent)
+    left = written(members.join(mixed, "a", "left_semi"), "join-mixed")
+    groups = connected_lists(left)
+    sets = written(sets_of(docs, classes.join(groups.select("k1").distinct(), "k1", "left_semi"), k), "join-sets")
+    out = between_blocks(groups.join(classes.groupBy("k1").agg(F.max("n").alias("n")), "k1"), sets, scheme.percent)
+    dropped(members, left, groups, sets, labels)
+    return out
 
 
 def connected_lists(members: DataFrame) -> DataFrame:
@@ -347,11 +451,12 @@ def connected_lists(members: DataFrame) -> DataFrame:
 
 
 def between_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of a group. A group is cut into blocks of `BLOCK` classes, and a task compares two blocks at
-    a time: a product of two 0-1 matrices counts the common shingles of all their pairs. It returns links that tie
-    components together, one fewer than components at most, and never the pairs themselves."""
+    """Links between components of a group (k1, component, few, grp, n). A group is cut into blocks of `BLOCK` classes or
+    `BLOCK_SHINGLES` shingles, and a task compares two blocks at a time: a product of two 0-1 matrices counts the common
+    shingles of all their pairs. It returns links that tie components together, one fewer than components at most, and
+    never the pairs themselves."""
     kind = sets.schema["rep"].dataType.simpleString()
-    sizes = groups.groupBy("grp").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    sizes = groups.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = groups.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("k1", "component", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -363,8 +468,9 @@ def between_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
         pdf = pdf.sort_values("rep", kind="stable")
         sets_ = [np.frombuffer(x, "<u8") for x in pdf["set"]]
         n = np.array([len(x) for x in sets_])
-        _, at = np.unique(np.concatenate(sets_), return_inverse=True)
-        row = np.repeat(np.arange(len(sets_)), n)
+        _, at, held = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        shared = held > 1  # a shingle of one set alone is common to no pair
+        row, at = np.repeat(np.arange(len(sets_)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
         common = np.zeros((len(sets_), len(sets_)), np.float32)
         for low in range(0, int(at.max(initial=-1)) + 1, COLUMNS):  # a bounded part of the universe at a time
             use = (at >= low) & (at < low + COLUMNS)
@@ -393,15 +499,14 @@ def between_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links), class_k1 and class_k2 (its
     class; documents of one class have one and the same set)."""
-    found, links = join_classes(df, id_col, text_col, shingle, percent)
+    found, classes, links = join_classes(df, id_col, text_col, shingle, percent)
     rows = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = written(classes, "join-classes")
     # An id with several rows ties their classes together.
     shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared"))
-    ties = rows.join(shared, F.col("doc_id") == F.col("shared"), "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ties = rows.join(shared, F.col("doc_id") == F.col("shared"), "left_semi").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = connected(links.unionByName(ties))
     named = written(classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), "join-named")
+    dropped(labels, classes, links)
     # Both sides are scans: AQE splits the partition of a class that holds a large part of all rows.
     full = found.select("doc_id", "n_shingles", F.col("k1").alias("class_k1"), F.col("k2").alias("class_k2"))
     out = full.join(named, (F.col("class_k1") == F.col("k1")) & (F.col("class_k2") == F.col("k2")), "left")

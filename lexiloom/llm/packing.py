@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, text_or_empty, written
+from .common import blocks, text_or_empty, written
 from .tokenizer import byte_bpe, default_path
 
 #: Pieces that one task packs; what stays open at a task's end is at most open_bins sequences.
@@ -81,7 +81,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int,
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(df.sparkSession, lambda: rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
+    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -144,7 +144,7 @@ def sequences(df: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col
                     out.append(ids[a:b].astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "piece", "ids"])
 
-    ids = small_batches(df.sparkSession, lambda: rows.mapInArrow(cut, f"doc_id {kind}, piece int, ids array<long>"))
+    ids = rows.mapInArrow(cut, f"doc_id {kind}, piece int, ids array<long>")
     found = placed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
     # A sequence holds `capacity` ids at most, so its list is bounded.
     return found.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bilstm
 from .bilstm import KINDS, PAD
-from .common import blocks, fresh, small_batches, text_or_empty
+from .common import blocks, fresh, text_or_empty
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -212,7 +212,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagg
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_rows(0), as_rows(1)], names=["doc_id", "base", "spans"])
 
     spans = "array<struct<start:bigint,end:bigint,kind:string>>"
-    return small_batches(df.sparkSession, lambda: docs.mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}"))
+    return docs.mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}")
 
 
 def digest(found: DataFrame) -> DataFrame:

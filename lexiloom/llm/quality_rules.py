@@ -2,19 +2,22 @@
 
 Lines are hashed after lower-casing, trimming and collapsing white space. For each host (source) the distinct documents
 that hold a line are counted; copies of one text count as one document, so a copied clean text is left to deduplication.
-A line is above the limit when it is in more than `min_docs` documents and in more than `max_share` of the host's
-distinct documents. Such lines are removed, and a document that keeps less than `min_left` of its words is rejected; so is
-one that fails the base rules.
+A line is above the limits when it is in more than `min_docs` documents and in more than `max_share` of the host's
+distinct documents, or in more than `max_docs` documents of a host of any size. Such lines are removed from the text, and a
+document that keeps less than `min_left` of its words is rejected; so is one that fails the base rules. Figures and base
+rules are about the text as it came.
 
 Null and empty texts: all figures 0, base_failed. Null hosts are one host of their own. Rows are told apart by a row
 number of this operator's written table, so repeated ids and rows are each judged; empty tables give empty results."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGE_WS, WS, fresh, n_words_of, text_or_empty, words_of, written
+from .common import WS, fresh, n_words_of, text_or_empty, trimmed, words_of, written
 
 WINDOW = 5
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -38,43 +41,63 @@ def figures(df: DataFrame, text: str) -> DataFrame:
     # A repeated window covers WINDOW words, less what the next one covers too.
     covered = F.aggregate(F.zip_with(F.col("__at"), F.slice("__at", 2, F.greatest(F.size("__at"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
     out = out.withColumn("n_repeat_words", F.when(F.col("__repeats"), covered).otherwise(0).cast("long"))
-    line = lambda x: F.struct(F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(x, EDGE_WS, ""), WS, " "))).alias("h"), n_words_of(x).cast("int").alias("w"))
-    out = out.withColumn("lines", F.transform("__lines", line))
+    out = out.withColumn("lines", F.transform("__lines", lambda x: F.struct(line_hash(x).alias("h"), n_words_of(x).cast("int").alias("w"))))
     return out.drop("__words", "__hashes", "__lines", "__windows", "__repeats", "__sorted", "__at")
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.regexp_replace(trimmed(line), WS, " ")))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def frequent_lines(rows: DataFrame, max_share: float, min_docs: int) -> DataFrame:
-    """host and h of the lines above the limit, from rows of host, text_hash and lines. Counts are folded before every
+@dataclass(frozen=True)
+class Limits:
+    """Of lines: share of a host's distinct documents together with a number of them, and a number that is too many for a
+    host of any size. Of documents: the share of words that must be left."""
+
+    max_share: float = 0.1
+    min_docs: int = 5
+    max_docs: int = 10_000
+    min_left: float = 0.2
+
+
+def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+    """host and h of the lines above the limits, from rows of host, text_hash and lines. Counts are folded before every
     shuffle, so a line that all documents hold sends one row a task."""
     hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     held = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = held.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    limit = F.col("docs") > max_share * F.col("host_docs")
-    return counts.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).where(limit).select("host", "h")
+    counts = held.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > limits.min_docs)
+    above = (F.col("docs") > limits.max_share * F.col("host_docs")) | (F.col("docs") > limits.max_docs)
+    return counts.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).where(above).select("host", "h")
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, min_docs: int = 20, min_left: float = 0.2) -> DataFrame:
-    """One row a document: doc_id, host, text_hash, FIGURES, lost_words, base_failed, kept."""
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
+    """One row a document: doc_id, host, text_hash, FIGURES, lost_words, gone (hashes of its removed lines, null for none),
+    base_failed, kept."""
     slim = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"), text_or_empty(text_col).alias("__text"))
     rows = figures(slim.withColumn("text_hash", F.xxhash64("__text")), "__text").drop("__text").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "quality-figures")
-    above = written(frequent_lines(rows, max_share, min_docs), "quality-lines").select(F.col("host").alias("__host"), F.col("h").alias("__h"))
+    above = written(frequent_lines(rows, limits), "quality-lines").select(F.col("host").alias("__host"), F.col("h").alias("__h"))
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    lost = lines.join(above, F.col("host").eqNullSafe(F.col("__host")) & (F.col("h") == F.col("__h"))).groupBy(F.col("row").alias("__row")).agg(F.sum("w").alias("lost_words"))
+    # A document's hashes are as many as its own lines at most.
+    lost = lines.join(above, F.col("host").eqNullSafe(F.col("__host")) & (F.col("h") == F.col("__h"))).groupBy(F.col("row").alias("__row")).agg(F.sum("w").alias("lost_words"), F.collect_set("h").alias("gone"))
     judged = rows.drop("lines").join(lost, F.col("row") == F.col("__row"), "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
-    depleted = F.col("n_words") - F.col("lost_words") < min_left * F.col("n_words")
+    depleted = F.col("n_words") - F.col("lost_words") < limits.min_left * F.col("n_words")
     judged = judged.withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "host", "text_hash", *FIGURES, "lost_words", "base_failed", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "host", "text_hash", *FIGURES, "lost_words", "gone", "base_failed", "kept")
 
 
-def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
-    """The rows of df that the rules keep, with all columns of df. The verdict hangs on host and text alone, so rows are
-    matched by id, host and text."""
-    a, b, c = (fresh(df, x) for x in ("__rid", "__rhost", "__rhash"))
-    out = quality_rules(df, id_col, text_col, host_col, **limits).where(~F.col("kept")).select(F.col("doc_id").alias(a), F.col("host").alias(b), F.col("text_hash").alias(c))
+def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
+    """The rows of df that the rules keep, with all columns of df and texts without their removed lines. What happens to a row
+    hangs on host and text alone, so rows are matched by id, host and text."""
+    a, b, c, stays, gone = (fresh(df, x) for x in ("__rid", "__rhost", "__rhash", "__stays", "__gone"))
+    touched = quality_rules(df, id_col, text_col, host_col, limits).where(~F.col("kept") | F.col("gone").isNotNull())
+    keyed = touched.groupBy(F.col("doc_id").alias(a), F.col("host").alias(b), F.col("text_hash").alias(c)).agg(F.first("kept").alias(stays), F.first("gone").alias(gone))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(a)) & F.col(f"`{host_col}`").eqNullSafe(F.col(b)) & (F.xxhash64(text_or_empty(text_col)) == F.col(c))
-    return df.join(out, same, "left_anti")
+    text = F.col(f"`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(gone), line_hash(x))), "\n")
+    out = df.join(keyed, same, "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(left)).select(*[F.col(f"`{x}`") for x in df.columns])

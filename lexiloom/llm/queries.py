@@ -79,7 +79,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN n_strict > 0 OR n_
 
 _OP9 = rf"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS r, source, coalesce(text, '') AS text FROM documents),
-w AS MATERIALIZED (SELECT doc_id, r, source, text, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+w AS MATERIALIZED (SELECT doc_id, r, source, text, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM t),
 g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
 v AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS v FROM g),
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM v) WHERE n > 1),
@@ -87,7 +88,7 @@ e AS (SELECT r, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n_repeat_words FR
 l0 AS (SELECT r, source, text, unnest(lines) AS line FROM w),
 l AS MATERIALIZED (SELECT r, source, md5(text) AS h, lower(regexp_replace(regexp_replace(line, '^{WS}|{WS}$', '', 'g'), '{WS}', ' ', 'g')) AS line FROM l0),
 hosts AS (SELECT source, count(DISTINCT md5(text)) AS host_docs FROM t GROUP BY source),
-often AS (SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, line, host_docs HAVING count(DISTINCT h) > 20 AND count(DISTINCT h) > 0.1 * host_docs),
+often AS (SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, line, host_docs HAVING count(DISTINCT h) > 5 AND (count(DISTINCT h) > 0.1 * host_docs OR count(DISTINCT h) > 10000)),
 lost AS (SELECT r, sum(len(string_split(l.line, ' ')))::BIGINT AS lost_words FROM l JOIN often ON l.source IS NOT DISTINCT FROM often.source AND l.line = often.line GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{WS}', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words FROM w LEFT JOIN e USING (r) LEFT JOIN lost USING (r))

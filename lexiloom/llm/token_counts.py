@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, text_or_empty
+from .common import blocks, text_or_empty
 from .tokenizer import byte_bpe, default_path
 
 SHARES = "block long, bucket int, docs binary, tokens binary, counts binary, pre_tokens array<string>, ids array<{}>, sizes array<long>"
@@ -159,9 +159,6 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-
-    def build() -> DataFrame:
-        shares = frequencies(rows, path, buckets).repartition(buckets, "bucket")
-        return totals(sums(shares, path).repartition("block"), rows.schema["doc_id"].dataType.simpleString())
-
-    return small_batches(spark, build).withColumn("over_limit", F.col("n_tokens") > limit)
+    shares = frequencies(rows, path, buckets).repartition(buckets, "bucket")
+    out = totals(sums(shares, path).repartition("block"), rows.schema["doc_id"].dataType.simpleString())
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
