@@ -5,7 +5,10 @@ symbols, bars, repeated words, repeated lines, lengths). Weights are trained in
 conditional likelihood; a training line bears its document's label. A text's score is the mean of its lines' forward-
 backward marginals of good, weighted by length.
 
-The field is fitted on at most `max_train` labelled rows, the first by a hash of the id; every text is scored whole. Null
+The field is fitted on at most `max_train` labelled rows, the first by a hash of the id, as long as their lines do not exceed
+`max_lines` together; every text is scored whole. Texts become figures of their lines on executors, and only the figures of
+the rows that are fitted on come to the driver. A training line bears its document's label, so transitions learn how much
+neighbouring lines agree. Null
 and empty texts, and texts without words, are one empty line. Rows that repeat an id are scored each; labels that are null
 are not used; with fewer than two classes in training all scores are the share of good ones (0.5 without any). Empty tables
 give empty results; other columns and their names don't matter."""
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_or_empty
+from .common import blocks, dropped, text_or_empty, written
 from .shingles import word_hashes
 
-#: Labelled rows that a model is fitted on at most.
-MAX_TRAIN = 4000
+#: Labelled rows, and lines of all of them, that a model is fitted on at most.
+MAX_TRAIN, MAX_LINES = 4000, 200_000
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -132,11 +135,11 @@ def marginals(emission: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> tu
     return good, np.exp(pair).sum(axis=0), float(total[bounds[:-1]].sum())
 
 
-def fit(texts: list[bytes], labels: np.ndarray, steps: int = 250, rate: float = 0.08, decay: float = 1e-3) -> Field | None:
-    """A field from texts and their labels (1: good); None with fewer than two classes."""
+def fit(bounds: np.ndarray, x: np.ndarray, labels: np.ndarray, steps: int = 250, rate: float = 0.08, decay: float = 1e-3) -> Field | None:
+    """A field from texts as their bounds in lines and the lines' figures, and the texts' labels (1: good); None with fewer
+    than two classes."""
     if len(set(labels.tolist())) < 2:
         return None
-    bounds, x, _ = line_figures(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     phi = with_neighbours((x - mean) / scale, bounds)
     y = np.repeat(labels.astype(float), np.diff(bounds))
@@ -151,7 +154,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 250, rate: float =
     for step in range(1, steps + 1):
         moves = params[-4:].reshape(2, 2)
         good, pairs, _ = marginals(phi @ params[:-4], bounds, moves)
-        grad = np.concatenate([phi.T @ (y - good), (seen - pairs).ravel()]) / len(texts) - decay * params
+        grad = np.concatenate([phi.T @ (y - good), (seen - pairs).ravel()]) / len(labels) - decay * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(mean, scale, params[:-4], params[-4:].reshape(2, 2))
@@ -161,15 +164,32 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Field | None, float]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> tuple[Field | None, float]:
     """A field and the share of good rows, from docs (doc_id, text) and labels (doc_id, quality) that are not held out.
     A labelled id gives one row: of repeated labels the lowest, of repeated documents the text with the least hash."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     chosen = chosen.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).cast("binary").alias("text"), F.first("quality").alias("quality"))
-    rows = [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: r[0])]  # one row a labelled id, so bounded by max_train
-    y = np.array([r[1] for r in rows], int)
-    return (fit([bytes(r[0]) for r in rows], y), float(y.mean())) if rows else (None, 0.5)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 2 << 20):
+            bounds, x, _ = line_figures(batch.column("text").cast(pa.binary()).to_pylist())
+            raw = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("hash"), pa.array(np.diff(bounds)), pa.array(raw, pa.binary())], names=["doc_id", "quality", "hash", "lines", "x"])
+
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("hash"), "text")
+    made = written(found.mapInArrow(figures, f"doc_id {kind}, quality int, hash long, lines long, x binary"), "quality-train")
+    sizes = made.groupBy("doc_id").agg(F.min_by("lines", "hash").alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # max_train rows
+    within = np.cumsum([r.lines for r in sizes]) <= max_lines
+    ids = [r.doc_id for r, w in zip(sizes, within, strict=True) if w]
+    use = made.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")), "doc_id")
+    rows = sorted(use.groupBy("doc_id").agg(F.min_by("x", "hash").alias("x"), F.first("quality").alias("quality")).collect())
+    dropped(made)
+    if not rows:
+        return None, 0.5
+    y = np.array([r.quality for r in rows], int)
+    x = [np.frombuffer(r.x, "<f4").reshape(-1, N_FIGURES).astype(float) for r in rows]
+    return fit(np.concatenate([[0], np.cumsum([len(p) for p in x])]), np.concatenate(x), y), float(y.mean())
 
 
 def scored(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -6,12 +6,14 @@ fraction as inclusion probability. Fractions become 0 or 1 by the cube method, b
 documents: within a block of one source, a step moves the fractions of three documents along the null space of the two
 constraints until one of them is whole (flight). At most two fractions of a block stay; they form the blocks of the next
 round, so a source of any size shrinks several hundredfold a round. The last block of a source ends with the landing: of
-the four ways to round two fractions, the one with the least imbalance, then one exchange of two documents at most.
+the four ways to round two fractions, the one with the least imbalance, then exchanges of a taken document for another one
+of the block, each the best there is, until none brings the words nearer to the target. The last fractions may belong to
+long documents; the exchanges make up for these.
 
 Sources in order of code points, null last. Null and empty texts have size 0 and are taken 0 words. Draws come from a
-generator seeded by source and block, over documents from the longest to the shortest (so that what is left to the
-landing is small) and by a hash, so reruns agree. Rows that repeat an id stay rows
-of their own. Empty tables give empty results; other columns and their names don't matter. The table of sources is held by
+generator seeded by source and block, over documents from the longest to the shortest and by a hash of id, size and text,
+so reruns agree. Rows that repeat an id stay rows of their own; rows alike in id and text, of which it does not matter which
+one is taken, are dealt to blocks by their row number too, so that many of them fill many blocks. Empty tables give empty results; other columns and their names don't matter. The table of sources is held by
 the driver and sent to executors only up to `max_sources` rows; beyond that the operator stops with an error."""
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, n_words_of, text_or_empty, written
@@ -28,6 +30,8 @@ from .common import fresh, n_words_of, text_or_empty, written
 BLOCK = 4000
 WEIGHTS = (5.0, 2.0, 1.0)
 EDGE = 1e-9
+#: Exchanges of two documents in a landing at most; each one brings the words nearer.
+EXCHANGES = 100
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: Iterable[float] = WEIGHTS, max_repeat: float = 3.0) -> dict[str | None, float]:
@@ -83,22 +87,28 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Rounds the last fractions (two at most) so that words, then documents, stay nearest to their expectation, and then
-    exchanges one chosen for one unchosen document if that brings the words nearer."""
+    exchanges a chosen for an unchosen document as long as that brings the words nearer."""
     at = np.flatnonzero((p > EDGE) & (p < 1 - EDGE))
     ways = [np.array([(w >> k) & 1 for k in range(len(at))], float) for w in range(1 << len(at))]
     best = min(ways, key=lambda x: (abs(float(((x - p[at]) * size[at]).sum())), abs(float((x - p[at]).sum()))))
     out = np.round(p)
     out[at] = best
     over = float(((best - p[at]) * size[at]).sum())
-    chosen, others = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
-    if over and len(chosen) and len(others):
+    for _ in range(EXCHANGES):
+        chosen, others = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+        if not over or not len(chosen) or not len(others):
+            break
         others = others[np.argsort(size[others], kind="stable")]
         want = size[chosen] - over
         near = np.searchsorted(size[others], want)
-        pairs = [(abs(want[i] - size[others[k]]), i, k) for i in range(len(chosen)) for k in (near[i] - 1, near[i]) if 0 <= k < len(others)]
-        left, i, k = min(pairs)
-        if left < abs(over):
-            out[chosen[i]], out[others[k]] = 0, 1
+        at = np.clip(np.stack([near - 1, near]), 0, len(others) - 1)
+        gap = np.abs(size[others][at] - want)
+        side, i = divmod(int(np.argmin(gap)), len(chosen))
+        if gap[side, i] >= abs(over):
+            break
+        gone, come = chosen[i], others[at[side, i]]
+        out[gone], out[come] = 0, 1
+        over += size[come] - size[gone]
     return out
 
 
@@ -135,9 +145,21 @@ def cube(units: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Iterable[float] = WEIGHTS, max_repeat: float = 3.0, block: int = BLOCK, max_sources: int = 100_000) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words_of(text_or_empty(text_col)).alias("size"))
-    sized = written(sized.withColumn("row", F.xxhash64("doc_id", "size", F.lit(3))), "mix-sizes")
-    return mixed(sized, weights, max_repeat, block, max_sources)
+    sized = sizes(df, id_col, text_col, source_col, F.monotonically_increasing_id())
+    return mixed(spread(sized), weights, max_repeat, block, max_sources)
+
+
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, rid: Column) -> DataFrame:
+    """doc_id, source, size, rid (row number) and row (a hash of id and text) as a written table."""
+    text, doc = text_or_empty(text_col), F.col(f"`{id_col}`")
+    return written(df.select(doc.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words_of(text).alias("size"), rid.alias("rid"), F.xxhash64(doc, text).alias("row")), "mix-sizes")
+
+
+def spread(sized: DataFrame) -> DataFrame:
+    """sized with the row number in the hash of rows that repeat; these are few, or else copies of few."""
+    several = sized.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row")
+    told = sized.join(several, F.col("row") == F.col("__row"), "left")
+    return told.withColumn("row", F.when(F.col("__row").isNull(), F.col("row")).otherwise(F.xxhash64("row", "rid"))).drop("__row", "rid")
 
 
 def mixed(sized: DataFrame, weights: Iterable[float], max_repeat: float, block: int, max_sources: int) -> DataFrame:
@@ -163,9 +185,8 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: rows of df, each as often as it is taken, with all columns of df."""
     row, rid, copies = (fresh(df, c) for c in ("__row", "__rid", "__copies"))
     keyed = written(df.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
-    sized = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words_of(text_or_empty(text_col)).alias("size"), F.col(row).alias("rid"))
-    sized = written(sized.withColumn("row", F.xxhash64("doc_id", "size", F.lit(3))), "mix-sizes")
-    chosen = mixed(sized.select(F.struct("doc_id", "rid").alias("doc_id"), "source", "size", "row"), *(options.get(k, v) for k, v in (("weights", WEIGHTS), ("max_repeat", 3.0), ("block", BLOCK), ("max_sources", 100_000))))
-    taken = chosen.where("copies > 0").select(F.col("doc_id.rid").alias(rid), F.col("copies").alias(copies))
+    sized = sizes(keyed, id_col, text_col, source_col, F.col(row)).withColumn("doc_id", F.col("rid"))
+    chosen = mixed(spread(sized), *(options.get(k, v) for k, v in (("weights", WEIGHTS), ("max_repeat", 3.0), ("block", BLOCK), ("max_sources", 100_000))))
+    taken = chosen.where("copies > 0").select(F.col("doc_id").alias(rid), F.col("copies").alias(copies))
     out = keyed.join(taken, F.col(row) == F.col(rid))
     return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in df.columns])

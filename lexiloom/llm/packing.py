@@ -1,10 +1,11 @@
 """Best-fit packing of documents into token sequences, online and in bounded space.
 
 Documents become ids (the library's, then one end id) and are cut only if longer than a sequence: into whole sequences
-from the end, so the first piece may be shorter. Pieces are dealt out to tasks at random and arrive in runs of `RUN`, each
-from the longest to the shortest: a piece goes into the open sequence it fills best, at once and for good. Open sequences are held in stacks by free space, and a bitset
-with a bit for each space that occurs, so the best fit is one shift and one lowest-bit step. At most `open_bins` stay
-open; beyond that the fullest closes first. A task's state does not grow with its input, and no piece waits for another.
+from the end, so the first piece may be shorter. Pieces are dealt out to tasks at random. A task holds back `RUN` of them and
+lets them arrive from the longest to the shortest; each then goes into the open sequence it fills best, at once and for
+good. Open sequences are held in stacks by free space, and a bitset with a bit for each space that occurs, so the best fit
+is one shift and one lowest-bit step. At most `open_bins` stay open; beyond that the fullest closes first. A task's state
+does not grow with its input: it is one run and the open sequences.
 
 A null text is empty: one piece with the end id alone. Rows are told apart by a row number, so repeated ids are packed
 each; an empty table gives an empty result; other columns and their names don't matter."""

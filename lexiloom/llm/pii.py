@@ -11,6 +11,7 @@ their names don't matter."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -25,8 +26,12 @@ from . import bilstm
 from .bilstm import KINDS, PAD
 from .common import blocks, fresh, text_or_empty
 
+# The base patterns. What follows an address's @ is looked for first, and its part before the @ by going back
+# from there; an IP address starts after no digit. So neither looks at a long run from each of its characters.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -56,11 +61,25 @@ def valid(kind: str, s: str) -> bool:
     return bool(EMAIL.fullmatch(s)) or bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", s))
 
 
+def emails(text: str) -> list[Span]:
+    out: list[Span] = []
+    done = at = 0
+    while (at := text.find("@", at)) >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        found = DOMAIN.match(text, at) if start < at else None
+        if found:
+            out.append((start, found.end(), "email"))
+            done = found.end()
+        at = max(at + 1, done)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """By start, then kind in the order of KINDS."""
     out: list[Span] = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out += emails(text)
     if DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if valid(kind, m[0])]
@@ -91,15 +110,22 @@ def spans_of(labels: np.ndarray) -> list[Span]:
 
 def reconcile(text: str, base: list[Span], found: list[tuple[int, Span]]) -> list[Span]:
     """base and those of found (with the distance from their window's edge) that are valid and free of other spans."""
-    taken = [(a, b) for a, b, _ in base]
+    taken: list[tuple[int, int]] = []  # disjoint and sorted
+    for a, b, _ in sorted(base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     out = list(base)
     best: dict[Span, int] = {}
     for far, span in found:
         best[span] = max(far, best.get(span, 0))
     for (a, b, kind), _ in sorted(best.items(), key=lambda x: (-x[1], x[0])):
         whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if whole and TRIGGER.search(text, a, b) and valid(kind, text[a:b]) and all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        at = bisect.bisect_left(taken, (a, a))
+        free = (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a)
+        if whole and free and TRIGGER.search(text, a, b) and valid(kind, text[a:b]):
+            taken.insert(at, (a, b))
             out.append((a, b, kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -5,14 +5,18 @@ Version 1 deals slots out by number. `rebalance` edits the map from the slots' b
 exchange of slots brings the fullest and the emptiest shard closer; `add_shard` moves slots into a new shard only. The map
 has SLOTS entries whatever the data, so the driver may hold it and executors get it by broadcast.
 
-Null ids and texts hash like any value (size of a null text: 1). Rows that repeat an id and text share a slot and get
-places of their own there. Empty tables give empty results; other columns and their names don't matter."""
+With a folder for its map, `shard` goes on from the map's last version there: records stay in the slots they have, slots in
+the shards they are in, but for those that the new version moves, and the new version is stored beside the old ones.
+
+Null ids and texts hash like any value (size of a null text: 1). Rows that repeat an id and text are dealt to slots by their
+row number too, so that many of them fill many slots; equal texts of different ids are not kept together. Empty tables give
+empty results; other columns and their names don't matter."""
 
 from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,7 +29,20 @@ def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
     """doc_id, size, text_crc32 and virtual_slot of every row."""
     text = text_or_empty(text_col)
     slim = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return slim.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    return slim.withColumn("virtual_slot", slot_of(slots, "doc_id", "text_crc32"))
+
+
+def slot_of(slots: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("int")
+
+
+def spread(rows: DataFrame, slots: int) -> DataFrame:
+    """records (with rid, their row number) with another slot for rows that repeat an id, size and checksum."""
+    same = ("doc_id", "text_crc32", "size")
+    several = rows.groupBy(*(F.col(c).alias("__" + c) for c in same)).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n").withColumn("__again", F.lit(True))
+    match = [F.col(c).eqNullSafe(F.col("__" + c)) for c in same]
+    told = rows.join(several, match[0] & match[1] & match[2], "left")
+    return told.withColumn("virtual_slot", F.when(F.col("__again"), slot_of(slots, "doc_id", "text_crc32", "rid")).otherwise(F.col("virtual_slot"))).drop("__again", "rid", *("__" + c for c in same))
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -81,9 +98,28 @@ def add_shard(slot_map: list[int], shards: int) -> list[int]:
     return out
 
 
-def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
-    """The stored form of a map: a row for each version and slot."""
-    return written(spark.createDataFrame([(v, slot, shard) for v, m in versions.items() for slot, shard in enumerate(m)], "version int, virtual_slot int, shard int").coalesce(1), "slot-map")
+MAP = "version int, virtual_slot int, shard int"
+
+
+def map_table(spark: SparkSession, version: int, slot_map: list[int]) -> DataFrame:
+    return spark.createDataFrame([(version, slot, at) for slot, at in enumerate(slot_map)], MAP).coalesce(1)
+
+
+def save_map(spark: SparkSession, path: str, version: int, slot_map: list[int]) -> None:
+    """Stores a version of a map: a row for each slot, in a folder of its own, so that older versions stay as they are."""
+    map_table(spark, version, slot_map).write.mode("errorifexists").parquet(f"{path}/v{version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """A stored version of a map, by default the last one; None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(place)) if fs.exists(place) else []
+    if version is None and not found:
+        return None
+    version = found[-1] if version is None else version
+    rows = spark.read.schema(MAP).parquet(f"{path}/v{version}").collect()  # one row a slot
+    return version, [r.shard for r in sorted(rows, key=lambda r: r.virtual_slot)]
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -94,17 +130,26 @@ def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[in
     return n_bytes, n_rows
 
 
-def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, version, shard and the row's place in its shard, gapless from 0."""
-    rows = written(records(df, id_col, text_col, slots), "shard-records")
+def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, version, shard and the row's place in its shard, gapless from 0. The map
+    starts from the last version in map_path, whose new version is stored there; without one, from slots dealt by number."""
+    spark = df.sparkSession
+    rows = written(records(df, id_col, text_col, slots).withColumn("rid", F.monotonically_increasing_id()), "shard-records")
+    rows = spread(rows, slots)
     n_bytes, n_rows = slot_totals(rows, slots)
-    first = first_map(shards, slots)
-    versions = {1: first, 2: rebalance(first, n_bytes, shards)}
+    stored = load_map(spark, map_path) if map_path else None
+    version, before = stored or (1, first_map(shards, slots))
+    if map_path and not stored:
+        save_map(spark, map_path, version, before)
+    current = rebalance(before, n_bytes, shards)
+    if current != before:
+        version += 1
+        if map_path:
+            save_map(spark, map_path, version, current)
     starts, used = [], [0] * shards
-    for slot, at in enumerate(versions[2]):
+    for slot, at in enumerate(current):
         starts.append((slot, used[at]))
         used[at] += n_rows[slot]
-    spark = df.sparkSession
-    current = map_table(spark, versions).where("version = 2").join(spark.createDataFrame(starts, "virtual_slot int, start long"), "virtual_slot")
+    placed = map_table(spark, version, current).join(spark.createDataFrame(starts, "virtual_slot int, start long"), "virtual_slot")
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("place", place).join(F.broadcast(current), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "version", "shard", (F.col("start") + F.col("place")).alias("place"))
+    return rows.withColumn("place", place).join(F.broadcast(placed), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "version", "shard", (F.col("start") + F.col("place")).alias("place"))

@@ -26,6 +26,10 @@ from .tokenizer import byte_bpe, default_path
 SHARES = "block long, bucket int, docs binary, tokens binary, counts binary, pre_tokens array<string>, ids array<{}>, sizes array<long>"
 #: A block ends at so many bytes of text or rows, or after one longer row.
 BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 8192
+#: Bytes of text whose pre-tokens meet in one bucket, on average.
+BUCKET_BYTES = 64 << 20
+#: Distinct pre-tokens whose counts a task remembers.
+KNOWN = 1_000_000
 
 
 def frequencies(rows: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -110,6 +114,8 @@ def sums(shares: DataFrame, path: str) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces = byte_bpe(path), {"": 1}
         for batch in batches:
+            if len(pieces) > KNOWN:  # counts of pre-tokens seen before; frequent ones soon return
+                pieces = {"": 1}
             partial = []
             for docs, tokens, counts, names in zip(*(batch.column(c).to_pylist() for c in ("docs", "tokens", "counts", "pre_tokens")), strict=True):
                 if names is None:
@@ -120,34 +126,41 @@ def sums(shares: DataFrame, path: str) -> DataFrame:
                     if (k := pieces.get(name)) is None:
                         k = pieces[name] = bpe.n_pieces(name)
                     n[i] = k
-                partial.append(np.bincount(np.frombuffer(docs, "<i4"), weights=n[np.frombuffer(tokens, "<i4")] * np.frombuffer(counts, "<i4")).astype("<i8").tobytes())
+                total = np.bincount(np.frombuffer(docs, "<i4"), weights=n[np.frombuffer(tokens, "<i4")] * np.frombuffer(counts, "<i4")).astype("<i8")
+                at = np.flatnonzero(total)  # with many buckets a share has tokens of few documents
+                partial.append(at.astype("<i8").tobytes() + total[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(partial, pa.binary()), batch.column("ids"), batch.column("sizes")], names=["block", "partial", "ids", "sizes"])
 
     return shares.mapInArrow(add, f"block long, partial binary, ids {kind}, sizes array<long>")
 
 
 def totals(partials: DataFrame, kind: str) -> DataFrame:
-    """doc_id, n_bytes and n_tokens from partials dealt by block. A task holds one array a block."""
+    """doc_id, n_bytes and n_tokens from partials dealt and sorted by block. A task holds one block at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[int, pa.RecordBatch] = {}
-        total: dict[int, np.ndarray] = {}
+        last: int | None = None
+        total = np.zeros(0, np.int64)
+        own: pa.RecordBatch | None = None
+
+        def block() -> pa.RecordBatch:
+            names, sizes = own.column("ids").flatten(), own.column("sizes").flatten()
+            return pa.RecordBatch.from_arrays([names, sizes, pa.array(np.concatenate([total, np.zeros(len(names), np.int64)])[: len(names)])], names=["doc_id", "n_bytes", "n_tokens"])
+
         for batch in batches:
-            for i, (block, partial) in enumerate(zip(batch.column("block").to_pylist(), batch.column("partial").to_pylist(), strict=True)):
+            for i, (number, partial) in enumerate(zip(batch.column("block").to_pylist(), batch.column("partial").to_pylist(), strict=True)):
+                if number != last and last is not None:
+                    yield block()
+                    total, own = np.zeros(0, np.int64), None
+                last = number
                 if partial is None:
-                    ids[block] = batch.slice(i, 1)
+                    own = batch.slice(i, 1)
                     continue
-                got = np.frombuffer(partial, "<i8")
-                if len(had := total.get(block, got[:0])) < len(got):
-                    had = np.concatenate([had, np.zeros(len(got) - len(had), np.int64)])
-                had[: len(got)] += got
-                total[block] = had
-        for block, row in ids.items():
-            names, sizes = row.column("ids").flatten(), row.column("sizes").flatten()
-            n = np.zeros(len(names), np.int64)
-            if block in total:
-                n[: len(total[block])] = total[block]
-            yield pa.RecordBatch.from_arrays([names, sizes, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+                at, n = np.frombuffer(partial, "<i8").reshape(2, -1)
+                if len(at) and at[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(at[-1] + 1 - len(total), np.int64)])
+                total[at] += n
+        if last is not None:
+            yield block()
 
     return partials.mapInArrow(add, f"doc_id {kind}, n_bytes long, n_tokens long")
 
@@ -156,9 +169,11 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row a document: doc_id, n_bytes, n_tokens, over_limit."""
     spark = df.sparkSession
     path = path or default_path()
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
+    if not buckets:  # a task's share does not grow with the input
+        n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     shares = frequencies(rows, path, buckets).repartition(buckets, "bucket")
-    out = totals(sums(shares, path).repartition("block"), rows.schema["doc_id"].dataType.simpleString())
+    out = totals(sums(shares, path).repartition("block").sortWithinPartitions("block"), rows.schema["doc_id"].dataType.simpleString())
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -31,17 +31,18 @@ class ByteBpe:
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.special}
         self.pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.encoding = tiktoken.Encoding(path, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.marks = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")  # the longest first
         self.path = path
         self.pieces = regex.compile(self.pattern)
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """The text in parts without special strings, each with the id of the special string after it (None at the end)."""
         out: list[tuple[str, int | None]] = []
-        while found := [(at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0]:
-            at, _, s = min(found)
-            out.append((text[:at], self.special[s]))
-            text = text[at + len(s) :]
-        return [*out, (text, None)]
+        done = 0
+        for m in self.marks.finditer(text):
+            out.append((text[done : m.start()], self.special[m[0]]))
+            done = m.end()
+        return [*out, (text[done:], None)]
 
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)

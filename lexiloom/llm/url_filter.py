@@ -12,13 +12,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The rules of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "casino", "jackpot", "warez", "malware", "phishing")
-SOFT = ("adult", "sex", "nude", "erotic", "dating", "bet", "betting", "poker", "slots", "loan", "payday", "crack", "keygen", "torrent", "pills", "viagra", "replica", "free", "win", "track")
+#: The default vocabulary; `read_vocabulary` reads another one.
+STRICT = (
+    "porn", "porno", "pornhub", "xxx", "xxxvideos", "hentai", "camgirl", "camgirls", "camsex", "livecams", "escort", "escorts", "callgirls", "blowjob", "milf",
+    "bdsm", "fetish", "hardcore", "nsfw", "onlyfans", "sexcam", "sexcams", "sexshop", "sextube", "upskirt", "voyeur", "casino", "jackpot",
+    "roulette", "blackjack", "baccarat", "sportsbook", "bookmaker", "slotmachine", "warez", "malware", "phishing", "spyware", "ransomware", "botnet", "carding",
+    "cvv", "fullz", "darkweb", "keylogger", "xanax", "tramadol", "oxycontin", "cialis", "levitra",
+)
+SOFT = (
+    "adult", "adults", "sex", "sexy", "nude", "nudes", "naked", "erotic", "erotica", "dating", "hookup", "hookups", "singles", "lingerie", "webcam", "webcams", "mature",
+    "bet", "bets", "betting", "odds", "poker", "slots", "bingo", "lottery", "gamble", "gambling", "wager", "loan", "loans", "payday", "credit", "debt", "forex", "binary",
+    "crypto", "airdrop", "crack", "cracked", "cracks", "keygen", "serial", "nulled", "torrent", "torrents", "pirate", "proxy", "unblocked", "pills", "pharmacy", "viagra",
+    "steroids", "weightloss", "diet", "detox", "cbd", "replica", "replicas", "rolex", "cheap", "discount", "coupon", "free", "giveaway", "prize", "win", "winner",
+    "bonus", "earn", "cash", "click", "track", "tracker", "affiliate", "popup", "redirect", "spam", "seo", "backlinks",
+)
 SCHEMA = "host string, path string, rule string, verdict string, n_strict long, n_soft long"
 
 
@@ -82,6 +96,19 @@ class Vocabulary:
         return strict, len(found) - strict
 
 
+def read_vocabulary(spark: SparkSession, path: str, max_terms: int = 1_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms from lines of a term, a tab and `strict` or `soft`. Each task builds the automaton, so more than
+    max_terms lines are an error; so are other weights."""
+    part = F.split("value", "\t")
+    lines = spark.read.text(path).where("value <> ''").select(part[0].alias("term"), F.get(part, F.lit(1)).alias("weight"))
+    rows = lines.distinct().limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"more than {max_terms} terms")
+    if odd := {r.weight for r in rows} - {"strict", "soft"}:
+        raise ValueError(f"weights are strict or soft, not {odd}")
+    return tuple(tuple(sorted(r.term for r in rows if r.weight == w)) for w in ("strict", "soft"))
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, strict: tuple = STRICT, soft: tuple = SOFT, soft_limit: int = 2) -> DataFrame:
     """One row a page: id, host, path, rule, verdict (allow or block), n_strict, n_soft."""
     slim = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
@@ -104,5 +131,6 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def allowed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", **options: object) -> DataFrame:
     """The pages that the filter allows, with all their columns. Rows of one id stand or fall together."""
-    blocked = url_filter(pages, id_col, url_col, **options).where("verdict = 'block'").select(F.col("page_id").alias("__id")).distinct()
-    return pages.join(blocked, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
+    key = fresh(pages, "__id")
+    blocked = url_filter(pages, id_col, url_col, **options).where("verdict = 'block'").select(F.col("page_id").alias(key)).distinct()
+    return pages.join(blocked, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_anti")

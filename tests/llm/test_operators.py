@@ -136,6 +136,14 @@ def test_sequences_round_trip(spark, library):
         assert made[r.sequence_id][r.offset : r.offset + r.length] == ids[r.start : r.start + r.length]
 
 
+def test_packing_is_tight(spark):
+    """Against the least number of sequences that the tokens could fill."""
+    rng = np.random.default_rng(7)
+    slim = spark.createDataFrame([(i, int(n), i) for i, n in enumerate(np.minimum(2048, rng.lognormal(5.5, 1, 4000).astype(int) + 1))], "doc_id long, length long, row long")
+    got = packing.place(slim, 2048, 4096, 50_000).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert len(got) <= 1.01 * sum(r[1] for r in got) / 2048 + 2 and max(r[1] for r in got) <= 2048
+
+
 def test_open_bins_are_bounded_and_best_fit():
     bins = packing.OpenBins(10, 3)
     assert [bins.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
@@ -183,6 +191,28 @@ def test_sharding(spark, docs):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_slot_map_is_stored(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id as doc_id", "repeat('x', cast(id % 89 * 5 as int)) as text")
+    path = str(tmp_path / "map")
+    first = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.shard(rows, map_path=path).collect()}
+    again = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.shard(rows, map_path=path).collect()}
+    assert first == again and {v for *_, v in first.values()} == {2}  # balanced already: no new version
+    more = rows.union(spark.range(5000, 5400).selectExpr("id as doc_id", "repeat('y', 3000) as text"))
+    grown = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.shard(more, map_path=path).collect()}
+    maps = [sharding.load_map(spark, path, v)[1] for v in (1, 2, 3)]
+    assert sharding.load_map(spark, path) == (3, maps[2]) and maps[0] == sharding.first_map(16) and sharding.load_map(spark, str(tmp_path / "none")) is None
+    still = [s for s in range(sharding.SLOTS) if maps[1][s] == maps[2][s]]
+    assert len(still) > sharding.SLOTS // 2 and all(grown[i][0] == s and grown[i][1] == maps[2][s] for i, (s, _, _) in first.items())
+
+
+def test_sharding_figures(spark):
+    rows = [(i, t) for i, t, _ in TEXTS] + [(7, "again")] * 300
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), slots=64).collect()
+    want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert len({r.virtual_slot for r in got if r.doc_id == 7}) > 30  # repeats of a row fill many slots
+
+
 def test_slot_maps():
     first = sharding.first_map(16)
     grown = sharding.add_shard(first, 16)
@@ -213,12 +243,31 @@ def test_mixing(spark, docs):
         target[source] = t
         assert words == copies * size <= 3 * size
     assert all(abs(taken[s] - t) <= 60 for s, t in target.items())
-    assert mixing.mix_documents(d).count() == sum(x[5] for x in a)
+    # of the same blocks: how many documents a target's words take hangs on the draws
+    assert mixing.mix_documents(d, block=200).count() == sum(x[5] for x in a)
     rows = mixing.mix(docs.union(docs.where("doc_id = 8"))).collect()
     assert len(rows) == len(TEXTS) + 1 and all(r.size == len(WORD.findall(dict((i, t) for i, t, _ in TEXTS)[r.doc_id] or "")) for r in rows)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_landing_is_near():
+    """Two long documents are left by the flight; exchanges bring the words to within a few of what was wanted."""
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        size = np.concatenate([rng.integers(1, 300, 200), [20_011, 9_013]]).astype(float)
+        p = np.concatenate([rng.integers(0, 2, 200), [0.4, 0.7]]).astype(float)
+        out = mixing.land(p, size)
+        assert set(out) <= {0.0, 1.0} and abs((out * size).sum() - (p * size).sum()) < 300
+    few = mixing.land(np.array([0.5, 0.5]), np.array([10.0, 10.0]))
+    assert few.sum() == 1
+
+
+def test_repeated_rows_fill_blocks(spark):
+    d = spark.createDataFrame([(1, "one two three", "a")] * 900 + [(2 + i, "w " * (i % 50 + 1), "b") for i in range(300)], "doc_id long, text string, source string")
+    sized = mixing.spread(mixing.sizes(d, "doc_id", "text", "source", __import__("pyspark").sql.functions.monotonically_increasing_id()))
+    assert sized.count() == 1200 == sized.select("row").distinct().count()
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     size = rng.integers(1, 500, 300).astype(float)
@@ -255,13 +304,44 @@ def test_frequent_lines(spark):
     rows = [(i, "Shared   line of ten words that many documents of host hold\n" + (own(i) if i % 2 else "tail"), "h") for i in range(60)]
     rows += [(100 + i, "copied text that stands in many rows but is one single document only", "h") for i in range(60)]
     rows += [(200, "shared line of ten words that many documents of host hold", "other")]
-    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), min_docs=20, max_share=0.1).collect()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), limits=quality_rules.Limits(0.1, 20)).collect()}
     assert all(got[i].kept == bool(i % 2) and got[i].lost_words == 11 for i in range(60))
     assert all(got[100 + i].kept for i in range(60)) and got[200].kept
-    kept = quality_rules.quality_filter(frame(spark, rows))
+    kept = quality_rules.quality_filter(frame(spark, rows), limits=quality_rules.Limits(0.1, 20))
     assert kept.count() == 91 and kept.columns == ["doc_id", "text", "source"]
 
 
+def test_lines_are_removed(spark):
+    """The filter's texts, by brute force over hosts, lines and distinct texts."""
+    rng = np.random.default_rng(3)
+    common = ["Subscribe to  our newsletter", "all rights reserved by the owners of this very site and its partners", "subscribe TO our newsletter "]
+    rows = []
+    for i in range(240):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 11)) for _ in range(int(rng.integers(0, 4)))]
+        lines = own + [common[int(k)] for k in rng.integers(0, 3, int(rng.integers(0, 3)))] + ([""] if i % 5 == 0 else [])
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines) if i % 40 else None, "abc"[i % 3] if i % 7 else None))
+    rows += [(500 + i, rows[1][1], rows[1][2]) for i in range(30)]
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    for limits in (quality_rules.Limits(), quality_rules.Limits(max_share=0.9, min_docs=3, max_docs=12)):
+        hosts, held = collections.defaultdict(set), collections.defaultdict(set)
+        for _, t, h in rows:
+            hosts[h].add(t or "")
+            for x in (t or "").split("\n"):
+                if WORD.search(x):
+                    held[h, norm(x)].add(t)
+        above = {k for k, d in held.items() if len(d) > limits.min_docs and (len(d) > limits.max_share * len(hosts[k[0]]) or len(d) > limits.max_docs)}
+        want = {}
+        for i, t, h in rows:
+            n, *_, repeats = figures(t)
+            left = [x for x in (t or "").split("\n") if (h, norm(x)) not in above]
+            lost = n - sum(len(WORD.findall(x)) for x in left)
+            if n >= 10 and 100 * repeats <= 20 * n and not n - lost < limits.min_left * n:
+                want[i] = "\n".join(left)
+        got = {r.doc_id: r.text for r in quality_rules.quality_filter(frame(spark, rows), limits=limits).collect()}
+        assert above and got == want and any(t != dict((i, t) for i, t, _ in rows)[k] for k, t in got.items())
+
+
 # --- n-gram join
 
 
@@ -402,12 +482,13 @@ def test_training_takes_one_row_an_id(spark, monkeypatch):
     rows = [(i, f"text {i}") for i in range(40)] + [(k, t) for k in range(40) for t in ("one copy more", f"text {k}")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(40)], "doc_id long, quality int")
     taken = []
-    monkeypatch.setattr(crf_quality, "fit", lambda texts, y: taken.append((texts, y.tolist())))
+    monkeypatch.setattr(crf_quality, "fit", lambda bounds, x, y: taken.append((bounds[1:], y.tolist())))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = [r[0] for r in spark.range(40).where(~crf_quality.held_out("id")).collect()]
     crf_quality.train(docs, labels)
     crf_quality.train(docs, labels, 10)
-    assert taken[0][1] == [i % 2 for i in sorted(ids)] and len(taken[1][0]) == 10
+    crf_quality.train(docs, labels, 10, max_lines=7)  # every text is one line
+    assert taken[0][1] == [i % 2 for i in sorted(ids)] and len(taken[1][0]) == 10 and len(taken[2][0]) == 7
 
 
 def test_gradient_is_the_slope():
@@ -459,6 +540,49 @@ def test_pii_digest(spark, tagger):
     assert pii.find_pii(empty(spark), tagger=tagger).count() == 0
 
 
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(t):
+    """Base spans by the patterns as they are stated."""
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 12 <= len(d) <= 19 and luhn(d)) or (kind == "phone" and 9 <= len(d) <= 15):
+                out.append((m.start(), order, m.end(), kind))
+    return [(a, b, kind) for a, _, b, kind in sorted(out)]
+
+
+def test_base_spans_follow_the_patterns():
+    rng = np.random.default_rng(12)
+    parts = ["a", "Z9", ".", "@", "@@", "-", "+", "+1", "1.2.3.4", "300.1.1.1", "12", "4111 1111 1111 1111", " ", "(", ")", "x@y.z", "a.b@c", "%", "é", "0.0.0.0.0", "5500-0000-0000-0004", "..", "_"]
+    for _ in range(3000):
+        t = "".join(parts[int(k)] for k in rng.integers(0, len(parts), int(rng.integers(1, 14))))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of one kind of character: patterns that look again from each character would take hours."""
+    import time
+
+    n = 1 << 20
+    runs = ["x" + " " * n + "y", "x" * n, "7" * n, "x@ " + "a" * n, "@" * n, "1." * (n // 2), "<|endoftext|>" * (n // 13), "+" * n, "\n" * n, "a@" * (n // 2)]
+    began = time.time()
+    for t in runs:
+        pii.base_spans(t)
+    d = frame(spark, [(i, t, "h") for i, t in enumerate(runs)]).repartition(4)
+    assert mixing.mix(d).count() == len(runs)
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(d).collect()} == {i: len(WORD.findall(t)) for i, t in enumerate(runs)}
+    assert quality_rules.quality_filter(d).count() == 0
+    bpe = tokenizer.byte_bpe(tokenizer.default_path())
+    assert bpe.parts(runs[6]) == [("", bpe.special["<|endoftext|>"])] * (n // 13) + [("", None)]
+    assert time.time() - began < 240
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
