@@ -354,7 +354,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """rep, k1 and set (sorted 64-bit hashes, packed) of some classes (k1, k2, rep), read again from their documents."""
-    wanted = classes.select("rep").distinct()
+    # A table's size is known to the planner: below Spark's threshold it is broadcast and no text is shuffled.
+    wanted = written(classes.select("rep").distinct(), "join-wanted")
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text")
     kind = rows.schema["rep"].dataType.simpleString()
 
@@ -517,5 +518,5 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df less those that link, over others or not, to a smaller id; with all columns of df."""
     gone = fresh(df, "__gone")
-    out = components(df, id_col, text_col, shingle, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    out = written(components(df, id_col, text_col, shingle, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "join-gone")
     return df.join(out, F.col(f"`{id_col}`") == F.col(gone), "left_anti")

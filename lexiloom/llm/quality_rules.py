@@ -96,6 +96,7 @@ def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a, b, c, stays, gone = (fresh(df, x) for x in ("__rid", "__rhost", "__rhash", "__stays", "__gone"))
     touched = quality_rules(df, id_col, text_col, host_col, limits).where(~F.col("kept") | F.col("gone").isNotNull())
     keyed = touched.groupBy(F.col("doc_id").alias(a), F.col("host").alias(b), F.col("text_hash").alias(c)).agg(F.first("kept").alias(stays), F.first("gone").alias(gone))
+    keyed = written(keyed, "quality-touched")  # of known size: broadcast below Spark's threshold, else joined by a shuffle
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(a)) & F.col(f"`{host_col}`").eqNullSafe(F.col(b)) & (F.xxhash64(text_or_empty(text_col)) == F.col(c))
     text = F.col(f"`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(gone), line_hash(x))), "\n")
