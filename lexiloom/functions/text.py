@@ -61,12 +61,12 @@ WORDS_FOR = {
     "\u03c0": " pi ", "\u20ac": " euros ", "\u2154": "2/3",
 }
 LETTERS_FOR = {
-    "\u00c6": "AE", "\u00e6": "ae", "\u0152": "Oe", "\u0153": "oe", "\u00df": "ss", "\u00d0": "Th", "\u00de": "Th", "\u00f0": "th", "\u00fe": "th", "\u00d7": "x",
+    "\u00c6": "AE", "\u00e6": "ae", "\u0152": "oe", "\u0153": "oe", "\u0184": "b", "\u0185": "b", "\u0189": "D", "\u018b": "d", "\u0196": "I", "\u00df": "ss", "\u00d0": "Th", "\u00de": "Th", "\u00f0": "th", "\u00fe": "th", "\u00d7": "x",
     "\u00d8": "O", "\u00f8": "o", "\u0110": "D", "\u0111": "d", "\u0126": "H", "\u0127": "h", "\u0131": "i", "\u0138": "k", "\u013f": "L", "\u0141": "L", "\u0140": "l", "\u0142": "l",
     "\u0149": "n", "\u014a": "N", "\u014b": "n", "\u0166": "T", "\u0167": "t", "\u0195": "hv", "\u0226": "a", "\u0227": "a", "\u0391": "A", "\u03a4": "T", "\u0441": "c", "\u1f7b": "u",
     "\u00b4": "'", "\u2018": "'", "\u2019": "'", "\u2032": "'", "\u2010": "-", "\u2011": "-", "\u2212": "-", "\u2029": "\n",
 }
-SPACE_FOR = "\u00aa\u00ba\u00b2\u00b3\u00b9\u2116\u2122\u2024\u2025\u2026\u018d\u018e\u018f\u0194\u019b\u019c"
+SPACE_FOR = "\u00aa\u00ba\u00b2\u00b3\u00b9\u2116\u2122\u203c\u2047\u2048\u2049\u2024\u2025\u2026\u018d\u018e\u018f\u0194\u019b\u019c"
 DOMAIN = [(0xA0, 0x19F), (0x226, 0x227), (0x391, 0x391), (0x3A4, 0x3A4), (0x3A9, 0x3A9), (0x3B2, 0x3B2), (0x3BC, 0x3BC), (0x3C0, 0x3C0), (0x441, 0x441), (0x1E25, 0x1E25), (0x1ECB, 0x1ECB), (0x1F7B, 0x1F7B), (0x2000, 0x206F), (0x20AC, 0x20AC), (0x2116, 0x2116), (0x2122, 0x2122), (0x2154, 0x2154), (0x2212, 0x2212), (0xFB01, 0xFB01)]
 
 
@@ -118,7 +118,8 @@ FOLD_TAIL: list[Rule] = [*TIDY, (r"\s+.$", ".")]
 
 
 def ascii_fold(column: Column) -> Column:
-    """Characters to ASCII, others to a space, then tidied; a final token of one character becomes a full stop."""
+    """Characters to ASCII, others to a space, then tidied; a final token of one character becomes a full stop. The column is
+    named once, so a chain of steps is not evaluated again for each."""
     table = folding()
     folded = column
     for c, s in table.items():
@@ -127,7 +128,7 @@ def ascii_fold(column: Column) -> Column:
     single = {c: s for c, s in table.items() if len(s) == 1}
     folded = F.translate(folded, "".join(single), "".join(single.values()))
     folded = F.regexp_replace(folded, r"[^\x00-\x7E]", " ")
-    return apply(F.when(column.rlike(r"[^\x00-\x7E]"), folded).otherwise(column), FOLD_TAIL)
+    return apply(folded, FOLD_TAIL)
 
 
 #: The topic normalisation, step by step: any list of Column -> Column may stand in its place.
@@ -137,7 +138,7 @@ TOPIC_STEPS: list[Callable[[Column], Column]] = [ascii_fold, remove_markup, remo
 def normalize_topic(column: Column, steps: Sequence[Callable[[Column], Column]] = TOPIC_STEPS) -> Column:
     for step in steps:
         column = step(column)
-    return F.when(column == " ", "").otherwise(column)
+    return apply(column, [(r"\A \z", "")])
 
 
 def sentences(column: Column) -> Column:

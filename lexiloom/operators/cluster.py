@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 
 def seed_labels(docs: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -30,11 +30,14 @@ def centroids(counts: DataFrame, labels: DataFrame, weights: DataFrame) -> DataF
 
 
 def assign(counts: DataFrame, centres: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each document's nearest cluster, the smallest among equals; documents without terms of any centre get 0. The centres
-    of a term are one row, so counts stay one row a term."""
-    by_term = centres.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("z", "value"))).alias("m"))  # a term has a value a cluster at most
-    scores = counts.join(by_term, "term").select("doc_id", "cnt", F.explode("m").alias("z", "v")).groupBy("doc_id", "z").agg(F.sum(F.col("cnt") * F.col("v")).alias("s"))
-    best = scores.groupBy("doc_id").agg(F.max_by("z", F.struct("s", -F.col("z"))).alias("best"))
+    """Each document's nearest cluster, the smallest among equals; documents without terms of any centre get 0. A term's
+    centres are one array, so counts stay one row a term and a document's scores are sums beside each other."""
+    k = (centres.agg(F.max("z")).first()[0] or 0) + 1
+    values = F.map_from_entries(F.collect_list(F.struct("z", "value")))  # a term has a value a cluster at most
+    by_term = centres.groupBy("term").agg(values.alias("m")).select("term", F.array(*[F.coalesce(F.col("m")[i], F.lit(0.0)) for i in range(k)]).alias("v"))
+    scores = counts.join(by_term, "term").groupBy("doc_id").agg(*[F.sum(F.col("cnt") * F.col("v")[i]).alias(f"s{i}") for i in range(k)])
+    s = F.array(*[f"s{i}" for i in range(k)])
+    best = scores.select("doc_id", (F.array_position(s, F.array_max(s)) - 1).alias("best"))
     return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("best", F.lit(0)).cast("int").alias("z"))
 
 
@@ -44,6 +47,8 @@ def kmeans(counts: DataFrame, weights: DataFrame, docs: DataFrame, k: int, max_i
     for _ in range(max_iter):
         new = written(assign(counts, centroids(counts, labels, weights), docs), "kmeans")
         same = new.exceptAll(labels.select("doc_id", F.col("z").cast("int").alias("z"))).isEmpty()
+        if labels is not start:
+            dropped(labels)
         labels = new
         if same:
             break
@@ -105,7 +110,7 @@ def grow_tree(matrix: np.ndarray, linkage: str = "max") -> list[Node]:
 
 
 def matrix_of(distances: DataFrame, n: int) -> np.ndarray:
-    """A small distance table (i, j, value) as a matrix; its size is checked first."""
+    """A small distance table (i, j, value) as a matrix; its size is checked first. Trees are for the topics of a model."""
     if n > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
     out = np.zeros((n, n))

@@ -7,13 +7,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import written
 
 Tokenizer = Callable[[Column], Column]
+#: Lengths of terms that are sorted one by one.
+MAX_ORDERS = 16
 
 
 def byte_ngrams(orders: tuple[int, ...] = (1, 2, 3, 4), least: int | None = None) -> Tokenizer:
@@ -66,10 +68,17 @@ def term_df(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 
 def select_df(dfs: DataFrame, per_order: int = 15000, unit: int = 1) -> DataFrame:
-    """The per_order terms of highest document frequency of each length (in `unit` characters)."""
-    order = (F.length("term") / unit).cast("int")
-    ranked = dfs.withColumn("order", order).withColumn("r", F.row_number().over(Window.partitionBy("order").orderBy(F.desc("df"), "term")))
-    return ranked.where(F.col("r") <= per_order).select("order", "term", "df")
+    """The per_order terms of highest document frequency of each length (in `unit` characters). Each order is a sort with a
+    limit, which every task cuts for itself; lengths beyond MAX_ORDERS, as words may have, are ranked by a window."""
+    found = written(dfs.withColumn("order", (F.length("term") / unit).cast("int")), "df-orders")
+    orders = [r[0] for r in found.select("order").distinct().limit(MAX_ORDERS + 1).collect()]
+    if len(orders) > MAX_ORDERS:
+        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("order").orderBy(F.desc("df"), "term")))
+        return ranked.where(F.col("r") <= per_order).select("order", "term", "df")
+    out = found.limit(0)
+    for k in orders:
+        out = out.unionByName(found.where(F.col("order") == k).orderBy(F.desc("df"), "term").limit(per_order))
+    return out.select("order", "term", "df")
 
 
 def select_df_overall(dfs: DataFrame, n: int) -> DataFrame:
@@ -161,6 +170,18 @@ def train(docs: DataFrame, tokenizer: Tokenizer | None = None, unit: int = 2, pe
     return LangidModel(written(log_priors(docs), "langid-pc"), written(log_likelihoods(found, docs, features), "langid-ptc"), tokenizer)
 
 
+def save(model: LangidModel, path: str, orders: tuple[int, ...] | None = (1, 2, 3, 4)) -> None:
+    """Writes a model's tables and what its tokenizer is: byte n-grams of these orders, or words (None)."""
+    model.log_pc.write.mode("overwrite").parquet(f"{path}/log_pc")
+    model.log_ptc.write.mode("overwrite").parquet(f"{path}/log_ptc")
+    model.log_pc.sparkSession.createDataFrame([(list(orders or ()),)], "orders array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/tokenizer")
+
+
+def load(spark: SparkSession, path: str) -> LangidModel:
+    orders = tuple(spark.read.parquet(f"{path}/tokenizer").first()[0])
+    return LangidModel(spark.read.parquet(f"{path}/log_pc"), spark.read.parquet(f"{path}/log_ptc"), byte_ngrams(orders) if orders else words)
+
+
 def scores(docs: DataFrame, model: LangidModel) -> DataFrame:
     """(doc_id, lang, score) of every language, also for documents without features."""
     found = scan(docs, model.log_ptc, model.tokenizer)

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 
 @dataclass(frozen=True)
@@ -85,17 +85,23 @@ def log_likelihood(counts: DataFrame, model: Model) -> float:
 
 
 def em_step(counts: DataFrame, model: Model) -> Model:
-    """One iteration; the likelihood it adds is that of the parameters it came from. Documents without counts stay or become
+    """One iteration, from two joins of counts with both tables, one for each aggregate; only rows of terms and of documents
+    are written, never a row a count. The likelihood it adds is that of the parameters it came from. Documents without counts stay or become
     uniform by smoothing."""
     k, o = model.options.topics, model.options
-    e = written(posteriors(counts, model).withColumn("post", F.transform("joint", lambda x: F.col("cnt") * x / F.col("mix"))).select("doc_id", "term", "cnt", "mix", "post"), "plsa-e")
+    e = posteriors(counts, model).withColumn("post", F.transform("joint", lambda x: F.col("cnt") * x / F.col("mix")))
     share = lambda i: F.col("post")[i]
     by_term = e.groupBy("term").agg(*_sums(k, of=share)).select("term", _array(k, o.beta).alias("p"))
-    by_doc = e.groupBy("doc_id").agg(*_sums(k, of=share)).select("doc_id", _normalized(_array(k, o.alpha)).alias("q"))
+    by_term = written(by_term, "plsa-terms")
+    p_wz = written(normalized_by_topic(by_term, k), "plsa-pwz")
+    dropped(by_term)
+    by_doc = e.groupBy("doc_id").agg(*_sums(k, of=share), F.sum(F.col("cnt") * F.log("mix")).alias("ll"), F.sum("cnt").alias("n")).select("doc_id", _normalized(_array(k, o.alpha)).alias("q"), "ll", "n")
     uniform = F.array(*[F.lit(1.0 / k)] * k)
-    p_zd = model.p_zd.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("q", uniform).alias("p"))
-    likelihood = e.agg(F.sum(F.col("cnt") * F.log("mix")) / F.sum("cnt")).first()[0]
-    return replace(model, p_wz=written(normalized_by_topic(by_term, k), "plsa-pwz"), p_zd=written(p_zd, "plsa-pzd"), likelihoods=(*model.likelihoods, float(likelihood)))
+    whole = written(model.p_zd.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("q", uniform).alias("p"), "ll", "n"), "plsa-pzd")
+    likelihood = whole.agg(F.sum("ll") / F.sum("n")).first()[0]
+    p_zd = whole.select("doc_id", "p")
+    p_zd.table_path = whole.table_path
+    return replace(model, p_wz=p_wz, p_zd=p_zd, likelihoods=(*model.likelihoods, float(likelihood)))
 
 
 def fit(counts: DataFrame, labels: DataFrame, options: Options, held_out: DataFrame | None = None) -> Model:
@@ -105,7 +111,8 @@ def fit(counts: DataFrame, labels: DataFrame, options: Options, held_out: DataFr
     counts = written(counts, "plsa-counts")
     model, slow = initialize(counts, labels, options), 0
     for _ in range(options.max_iter):
-        model = em_step(counts, model)
+        before, model = model, em_step(counts, model)
+        dropped(before.p_wz, before.p_zd)
         if len(model.likelihoods) > 1:
             slow = slow + 1 if model.likelihoods[-1] - model.likelihoods[-2] < options.tolerance else max(0, slow - 1)
             if slow >= options.patience:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, counts, plsa, summary, weights
+from ..operators import cluster, counts, langid, plsa, summary, weights
 from ..sources import readers
 from ..sources.tables import written
 
@@ -23,20 +23,22 @@ class Result:
     posteriors: DataFrame
 
 
-def prepared(messages: DataFrame, lang_filter: str | None = None, lang: DataFrame | None = None) -> DataFrame:
-    """Messages (doc_id, msg) with msg_norm and msg_topic; with a language filter only those that `lang` (doc_id, lang)
-    gives that language."""
+def prepared(messages: DataFrame, lang_filter: str | None = None, lang: DataFrame | None = None, lang_model: langid.LangidModel | None = None) -> DataFrame:
+    """Messages (doc_id, msg) with msg_norm and msg_topic; with a language filter only those that have that language by `lang`
+    (doc_id, lang), or by the model where there is no such table."""
     out = messages.withColumn("msg_norm", text.normalize_text(F.col("msg")))
     if lang_filter and lang_filter != "none":
+        if lang is None and lang_model is None:
+            raise ValueError("a language filter needs languages, or a model that finds them")
         if lang is None:
-            raise ValueError("a language filter needs languages")
+            lang = langid.classify(out.select("doc_id", F.col("msg_norm").alias("text")), lang_model)
         out = out.join(lang.where(F.col("lang") == lang_filter).select("doc_id"), "doc_id", "left_semi")
     return out.withColumn("msg_topic", text.normalize_topic(F.col("msg_norm")))
 
 
-def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: float = 0.25, tf_cutoff: float = 3.0, seeds: str = "kmeans", seed: int = 1, stop: DataFrame | None = None, lang_filter: str | None = None, lang: DataFrame | None = None) -> Result:
+def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: float = 0.25, tf_cutoff: float = 3.0, seeds: str = "kmeans", seed: int = 1, stop: DataFrame | None = None, lang_filter: str | None = None, lang: DataFrame | None = None, lang_model: langid.LangidModel | None = None) -> Result:
     options = options or plsa.Options()
-    ready = prepared(messages, lang_filter, lang)
+    ready = prepared(messages, lang_filter, lang, lang_model)
     c = written(counts.term_counts(ready, text_col="msg_topic"), "counts")
     n, total = weights.corpus_totals(c)
     vocab = weights.learn_weights(counts.vocabulary(c, stop), n, total, df_cutoff=df_cutoff, tf_cutoff=tf_cutoff).where("weight > 0")
@@ -58,11 +60,21 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-tf_cutoff", type=float, default=3.0)
     p.add_argument("-df_cutoff", type=float, default=0.25)
     p.add_argument("-max_iter", type=int, default=500)
+    p.add_argument("-alpha", type=float, default=0.001)
+    p.add_argument("-beta", type=float, default=0.001)
+    p.add_argument("-conv_threshold", type=float, default=0.001)
+    p.add_argument("-seeds", default="kmeans", choices=["kmeans", "random"])
     p.add_argument("-seed", type=int, default=1)
+    p.add_argument("-stop_list", help="file of words that are no features")
+    p.add_argument("-lang_filter", default="none", help="language to keep")
+    p.add_argument("-lang_model", help="folder of a saved language model, for -lang_filter")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     messages = readers.read_messages(spark, a.input_file, a.reader).withColumnRenamed("id", "doc_id")
-    got = run(messages, plsa.Options(a.num_topics, max_iter=a.max_iter), a.df_cutoff, a.tf_cutoff, seed=a.seed)
+    options = plsa.Options(a.num_topics, a.alpha, a.beta, a.max_iter, a.conv_threshold)
+    stop = readers.parse_feature_lines(spark.read.text(a.stop_list)).select("term") if a.stop_list else None
+    model = langid.load(spark, a.lang_model) if a.lang_model else None
+    got = run(messages, options, a.df_cutoff, a.tf_cutoff, a.seeds, a.seed, stop, a.lang_filter, lang_model=model)
     readers.counts_lines(got.counts).select("line").write.mode("overwrite").text(f"{a.output_dir}/counts")
     got.lines.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{a.output_dir}/summary")
     got.posteriors.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line")).write.mode("overwrite").text(f"{a.output_dir}/d2z")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.tables import dropped, written
+
 SCHEMA = "text string, retweet_count int"
 
 
@@ -25,11 +27,13 @@ def stream_posts(spark: SparkSession, path: str) -> DataFrame:
     return posts(spark.readStream.text(path))
 
 
-def run_language_filter(spark: SparkSession, path: str, classifier, name: str, checkpoint: str, langs: list[str] | None = None) -> StreamingQuery:  # noqa: ANN001
-    """Classifies each micro-batch (a function from rows with doc_id and text to doc_id and lang) and keeps the chosen."""
+def run_language_filter(spark: SparkSession, path: str, classifier, out: str, checkpoint: str, langs: list[str] | None = None) -> StreamingQuery:  # noqa: ANN001
+    """Classifies each micro-batch (a function from rows with doc_id and text to doc_id and lang) and keeps the chosen, as
+    Parquet under `out`. A batch has a folder of its own, which a retry of that batch overwrites, so no row comes twice."""
 
     def batch(df: DataFrame, n: int) -> None:
-        rows = df.withColumn("doc_id", F.monotonically_increasing_id())
-        by_language(rows.join(classifier(rows), "doc_id"), langs).write.mode("append").saveAsTable(name)
+        rows = written(df.withColumn("doc_id", F.monotonically_increasing_id()), "stream-batch")  # both sides of the join see one numbering
+        by_language(rows.join(classifier(rows), "doc_id"), langs).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        dropped(rows)
 
     return stream_posts(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -42,6 +42,32 @@ def test_ascii_fold(spark, given, want):
     assert spark.createDataFrame([(given,)], "s string").select(text.ascii_fold(F.col("s"))).first()[0] == want
 
 
+# Fixed values, written down apart from the table that the code builds.
+FOLDED = {"Œ": "oe", "œ": "oe", "\u0184": "b", "\u0185": "b", "\u0189": "D", "\u018b": "d", "\u0196": "I", "\u203c": " ", "\u2047": " ", "\u2048": " ", "\u2049": " ", "é": "e", "Ø": "O", "ß": "ss", "Þ": "Th", "£": " pounds ", "¼": " 1/4 ", "’": "'", "漢": " ", "\u0180": "b", "\u00b2": " "}
+
+
+def test_folding_by_character(spark):
+    rows = spark.createDataFrame([(c, f"xx{c}yy zz") for c in FOLDED], "c string, s string").select("c", text.ascii_fold(F.col("s")).alias("o")).collect()
+    assert {r.c: r.o for r in rows} == {c: " ".join(f"xx{to}yy zz".split()) for c, to in FOLDED.items()}
+
+
+def test_rules_by_example(spark):
+    """Expectations written by hand, not made from the lists of rules."""
+    cases = [
+        (text.normalize_text, r"a\r\nb<br/>c</p>d", "a b c d"), (text.remove_markup, "see http://a.b/c now <b> x", "see now x"), (text.remove_numbers, "in 1,234 days", "in   days"),
+        (text.remove_caps, "the Big apple iPhone", "the   apple i "), (text.punct_to_space, "a,b;c", "a b c"), (text.remove_punctuation, "a,b;c", "abc"), (text.remove_twitter_meta, "hi #tag @me RT you", "hi you"),
+        (text.remove_isolated_symbols, "a $ b", "a b"), (text.remove_word_punct, "end of it. really?", "end of it really"), (text.normalize_topic, "Ünder 5 größe, \"quoted\" words!", " grosse quoted words"), (text.normalize_topic, "A", ""),
+    ]
+    for f, given, want in cases:
+        assert spark.createDataFrame([(given,)], "s string").select(f(F.col("s"))).first()[0] == want, given
+
+
+def test_chain_names_each_step_once(spark):
+    df = spark.createDataFrame([("x",)], "s string").select(text.normalize_topic(text.normalize_text(F.col("s"))).alias("o"))
+    rules = sum(map(len, (text.NORMALIZE_TEXT, text.FOLD_TAIL, text.REMOVE_MARKUP, text.REMOVE_NUMBERS, text.REMOVE_NONSENTENTIAL_PUNCT, text.REMOVE_CAPS, text.REMOVE_ISOLATED_SYMBOLS))) + 3
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= rules
+
+
 def test_tokens(spark):
     row = spark.createDataFrame([('one two. three! "four."five  six.', "a_b__c", "new_york_city", "york")], "s string, t string, a string, b string")
     got = row.select(text.tokens(F.col("s")), text.word_units(F.col("t")), text.unit_substring(F.col("a"), F.col("b")), text.split_string(F.col("s")), text.unit_substring(F.col("b"), F.col("a"))).first()
@@ -266,6 +292,27 @@ def test_stream_follows_batch(spark, tmp_path):
     assert [r.line for r in filters.by_language(found, ["de"]).collect()] == ["de: hallo"]
 
 
+def test_stream_sink_takes_each_row_once(spark, tmp_path):
+    m = langid.train(langs(spark), langid.words, per_lang=20)
+    langid.save(m, str(tmp_path / "model"), None)
+    again = langid.load(spark, str(tmp_path / "model"))
+    (tmp_path / "in").mkdir()
+    for i, t in enumerate(["the dog", "der hund", "the cat"]):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"text": t, "retweet_count": 0}))
+    for _ in range(2):  # a second start finds nothing new
+        q = filters.run_language_filter(spark, str(tmp_path / "in"), lambda rows: langid.classify(rows, again), str(tmp_path / "out"), str(tmp_path / "ck"), ["en"])
+        q.awaitTermination(120)
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["en: the cat", "en: the dog"]
+
+
+def test_language_filter_by_model(spark):
+    m = langid.train(langs(spark), langid.words, per_lang=20)
+    messages = spark.createDataFrame([(1, "the dog and the cat"), (2, "der hund und die katze")], "doc_id long, msg string")
+    assert [r.doc_id for r in pipeline.prepared(messages, "de", lang_model=m).collect()] == [2]
+    with pytest.raises(ValueError, match="needs languages"):
+        pipeline.prepared(messages, "de")
+
+
 def test_whole_pipeline(spark):
     rows = [(i, ("the red apple tree grows tall near water. " if i % 2 else "a fast train line runs past stations. ") * (2 + i % 3)) for i in range(24)]
     got = pipeline.run(spark.createDataFrame(rows, "doc_id long, msg string"), plsa.Options(2, max_iter=4), df_cutoff=0.9, tf_cutoff=1)
