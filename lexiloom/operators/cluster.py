@@ -191,3 +191,15 @@ def tree_table(spark: SparkSession, nodes: list[Node], n_marked: int = 0) -> Dat
     best, top, x = best_nodes(nodes), top_nodes(nodes, n_marked) if n_marked else set(), layout(nodes)
     rows = [(n.node, n.left, n.right, float(n.height), n.leaves, node_score(n), n.node in best, n.node in top, x[n.node]) for n in nodes]
     return spark.createDataFrame(rows, "node int, left int, right int, height double, leaves int, score double, best boolean, marked boolean, x double")
+
+
+NODES = "node int, left int, right int, height double, leaves int"
+
+
+def save_tree(spark: SparkSession, nodes: list[Node], path: str) -> None:
+    spark.createDataFrame([(n.node, n.left, n.right, float(n.height), n.leaves) for n in nodes], NODES).write.mode("overwrite").parquet(path)
+
+
+def load_tree(spark: SparkSession, path: str) -> list[Node]:
+    """The nodes of a saved tree, which has twice MAX_ITEMS at most."""
+    return [Node(*r) for r in spark.read.parquet(path).select("node", "left", "right", "height", "leaves").orderBy("node").collect()]

@@ -9,6 +9,14 @@ from pyspark.sql.window import Window
 from .plsa import Model, long
 
 
+def checked_labels(model: Model, labels: DataFrame) -> DataFrame:
+    """labels, if every document of the model has one and no other document has; else an error."""
+    docs, named = model.p_zd.select("doc_id").withColumn("d", F.lit(1)), labels.select("doc_id").withColumn("l", F.lit(1))
+    if not docs.join(named, "doc_id", "full").where("d IS NULL OR l IS NULL").isEmpty():
+        raise ValueError("documents and labels differ")
+    return labels
+
+
 def joint_counts(model: Model, lengths: DataFrame, labels: DataFrame) -> DataFrame:
     """(z, label, n): words of documents by topic and label, from n_words and label by document."""
     docs = lengths.join(labels, "doc_id")

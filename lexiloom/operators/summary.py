@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stem import with_stems
+from .evaluate import label_purity, true_topics
 from .plsa import Model, long, p_w
 
 
@@ -80,10 +81,15 @@ def summary(model: Model) -> DataFrame:
     return topic_scores(model).join(signature_words(model), "z", "left").select("rank", "z", "score", "purity", "pct_docs", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
-def summary_lines(topics: DataFrame) -> DataFrame:
-    """The report's lines by rank; its header is HEADER."""
+def summary_lines(topics: DataFrame, joint: DataFrame | None = None) -> DataFrame:
+    """The report's lines by rank; its header is HEADER. With joint counts of topics and labels a line also has the topic's
+    label purity, and its true topics are a column."""
     head = F.format_string("%4d\t%5.2f\t%5.3f\t%5.2f", F.col("rank") - 1, F.col("score"), F.col("purity"), F.col("pct_docs"))
-    return topics.select("rank", F.concat_ws("\t", head, F.array_join("terms", "\t")).alias("line"))
+    if joint is None:
+        return topics.select("rank", F.concat_ws("\t", head, F.array_join("terms", "\t")).alias("line"))
+    pure, true = label_purity(joint).withColumnRenamed("purity", "label_purity"), true_topics(joint).withColumnRenamed("line", "true_topics")
+    head = F.concat(head, F.coalesce(F.format_string(" %5.3f ", F.col("label_purity")), F.lit("")))
+    return topics.join(pure, "z", "left").join(true, "z", "left").select("rank", F.concat_ws("\t", head, F.array_join("terms", "\t")).alias("line"), "true_topics")
 
 
 HEADER = "\t".join(["index", "topic_score", "doc_purity", "percent_docs", *(f"summary{i}" for i in range(10))])

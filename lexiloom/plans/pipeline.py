@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, counts, langid, plsa, summary, weights
+from ..operators import cluster, counts, evaluate, langid, plsa, summary, weights
 from ..sources import readers
 from ..sources.tables import written
 
@@ -36,7 +36,8 @@ def prepared(messages: DataFrame, lang_filter: str | None = None, lang: DataFram
     return out.withColumn("msg_topic", text.normalize_topic(F.col("msg_norm")))
 
 
-def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: float = 0.25, tf_cutoff: float = 3.0, seeds: str = "kmeans", seed: int = 1, stop: DataFrame | None = None, lang_filter: str | None = None, lang: DataFrame | None = None, lang_model: langid.LangidModel | None = None) -> Result:
+def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: float = 0.25, tf_cutoff: float = 3.0, seeds: str = "kmeans", seed: int = 1, stop: DataFrame | None = None, lang_filter: str | None = None, lang: DataFrame | None = None, lang_model: langid.LangidModel | None = None, truth: DataFrame | None = None) -> Result:
+    """With truth (doc_id, label) the report's lines have label purities and true topics."""
     options = options or plsa.Options()
     ready = prepared(messages, lang_filter, lang, lang_model)
     c = written(counts.term_counts(ready, text_col="msg_topic"), "counts")
@@ -48,7 +49,8 @@ def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: flo
     labels = cluster.kmeans(kept, kept.select("term", "weight").distinct(), docs, options.topics, rounds, seed)
     model = plsa.fit(kept.select("doc_id", "term", "cnt"), labels, options)
     topics = written(summary.summary(model), "topics")
-    return Result(c, model, topics, summary.summary_lines(topics), summary.d2z(model, topics))
+    joint = evaluate.joint_counts(model, counts.doc_lengths(c), truth) if truth is not None else None
+    return Result(c, model, topics, summary.summary_lines(topics, joint), summary.d2z(model, topics))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -107,6 +107,21 @@ def parse_labelled_files(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(F.size(parts) > 0).select(parts[0].alias("path"), F.when(bad, F.raise_error(F.lit("labels are missing or repeated"))).otherwise(labels).alias("labels"))
 
 
+def parse_file_list(lines: DataFrame, value: str = "value") -> DataFrame:
+    """path, the first word of every line of a file list. A line without one is an error."""
+    path = F.regexp_extract(F.col(value), r"^[ \t\r]*([^ \t\r]*)", 1)
+    return lines.select(F.when(path == "", F.raise_error(F.lit("line without a path")).cast("string")).otherwise(path).alias("path"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Long counts of text files with a term and a value on each line, by path. A value that is no finite number is an error."""
+    parts = F.split(F.trim(F.col("value")), r"\s+")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), parts.alias("p")).where("p[0] <> ''")
+    cnt = F.get("p", F.lit(1)).try_cast("double")
+    bad = cnt.isNull() | F.isnan(cnt) | (F.abs(cnt) == float("inf"))
+    return rows.select("doc_id", F.col("p")[0].alias("term"), F.when(bad, F.raise_error(F.lit("value is not finite")).cast("double")).otherwise(cnt).alias("cnt"))
+
+
 def parse_dense_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(F.transform(F.filter(F.split(F.col(value), r"\s+"), lambda x: x != ""), lambda x: x.cast("double")).alias("vector"))
 

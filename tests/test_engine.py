@@ -313,6 +313,36 @@ def test_language_filter_by_model(spark):
         pipeline.prepared(messages, "de")
 
 
+def test_lists_vectors_and_trees(spark, tmp_path):
+    assert [r.path for r in readers.parse_file_list(spark.createDataFrame([("a/b x",), (" c",)], "value string")).collect()] == ["a/b", "c"]
+    with pytest.raises(Exception, match="without a path"):
+        readers.parse_file_list(spark.createDataFrame([(" ",)], "value string")).collect()
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "one.txt").write_text("a 2\nb 0.5\n\n")
+    (tmp_path / "v" / "two.txt").write_text("a 1\n")
+    got = sorted((r.doc_id.rsplit("/", 1)[1], r.term, r.cnt) for r in readers.read_vectors(spark, str(tmp_path / "v")).collect())
+    assert got == [("one.txt", "a", 2.0), ("one.txt", "b", 0.5), ("two.txt", "a", 1.0)]
+    (tmp_path / "bad.txt").write_text("a x\n")
+    with pytest.raises(Exception, match="not finite"):
+        readers.read_vectors(spark, str(tmp_path / "bad.txt")).collect()
+    tree = cluster.grow_tree(np.array([[0, 1, 4], [1, 0, 5], [4, 5, 0]], float), "avg")
+    cluster.save_tree(spark, tree, str(tmp_path / "tree"))
+    assert cluster.load_tree(spark, str(tmp_path / "tree")) == tree
+
+
+def test_report_with_truth(spark):
+    topics = spark.createDataFrame([(1, 0, 2.5, 0.5, 60.0, ["a", "b"]), (2, 1, 1.0, 0.25, 40.0, ["c"])], "rank int, z int, score double, purity double, pct_docs double, terms array<string>")
+    joint = spark.createDataFrame([(0, "x", 4.0), (1, "y", 4.0)], "z int, label string, n double")
+    got = summary.summary_lines(topics, joint).orderBy("rank").collect()
+    assert [(r.line, r.true_topics) for r in got] == [("   0\t 2.50\t0.500\t60.00 1.000 \ta\tb", "x:100.0"), ("   1\t 1.00\t0.250\t40.00 1.000 \tc", "y:100.0")]
+    assert "true_topics" not in summary.summary_lines(topics).columns
+    model = plsa.Model(None, spark.createDataFrame([(1, [1.0])], "doc_id long, p array<double>"), [1.0], plsa.Options(1))
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, label string")
+    assert evaluate.checked_labels(model, labels.limit(1)).count() == 1
+    with pytest.raises(ValueError, match="differ"):
+        evaluate.checked_labels(model, labels)
+
+
 def test_whole_pipeline(spark):
     rows = [(i, ("the red apple tree grows tall near water. " if i % 2 else "a fast train line runs past stations. ") * (2 + i % 3)) for i in range(24)]
     got = pipeline.run(spark.createDataFrame(rows, "doc_id long, msg string"), plsa.Options(2, max_iter=4), df_cutoff=0.9, tf_cutoff=1)
