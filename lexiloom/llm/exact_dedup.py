@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, fresh, text_or_empty, written
+from .common import WS, text_or_empty, written
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -50,11 +50,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
-    """The rows of df that stay, with all columns of df."""
-    h, sha, keep, n = (fresh(df, c) for c in ("__h", "__sha", "__keep", "__n"))
-    groups = written(proven(content_groups(df, id_col, text_col, content_hash)), "exact-proven").select(F.col("h").alias(h + "g"), F.col("text_sha256").alias(sha + "g"), F.col("keep_id").alias(keep), F.col("group_size").alias(n))
-    keyed = df.withColumns({h: content_hash(normalised(text_col)), sha: F.sha2(normalised(text_col), 256)})
-    # The id is one of the join's keys, so the rows of a hot group are spread and only one of them meets a partner.
-    kept = keyed.join(groups, (F.col(h) == F.col(h + "g")) & (F.col(sha) == F.col(sha + "g")) & F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
-    alone, several = kept.where(F.col(n) == 1), kept.where(F.col(n) > 1).dropDuplicates([h, sha])
-    return alone.unionByName(several).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that stay, with all columns of df. The row with the smallest id goes through the aggregate by hash and
+    text, so texts are shuffled once, and copies within a task fold before that. The text as it came goes along only where
+    it differs from the normalised one. Among rows of the same id the one whose text as it came has the smallest hash stays."""
+    text, norm = F.col(f"`{text_col}`"), F.col("__norm")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() != text_col.lower()]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), normalised(text_col).alias("__norm"))
+    same = F.col("__text").eqNullSafe(norm)
+    whole = F.struct(F.col("__row").alias("others"), same.alias("same"), F.when(~same, F.col("__text")).alias("text"))
+    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.xxhash64("__text"))
+    stay = rows.withColumn("__h", content_hash(norm)).groupBy("__h", "__norm").agg(F.min_by(whole, order).alias("__stay"))
+    came = F.when(F.col("__stay.same"), norm).otherwise(F.col("__stay.text"))
+    return stay.select(*[came.alias(c) if c.lower() == text_col.lower() else F.col("__stay")["others"][c].alias(c) for c in df.columns])
