@@ -172,6 +172,10 @@ def test_exact_dedup_rows(spark, docs):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5, 6, 7, 8, 9, 10, 11, 12]
     nulls = frame(spark, [(None, "x", "a"), (None, "x", "a"), (None, "y", None), (3, "y", "b")])
     assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.exact_dedup(nulls).collect()) == [(0, "x"), (3, "y")]
+    spaced = spark.createDataFrame([(2, "a  b", 1), (2, "a b", 2), (3, "a b", 3), (4, "c\t\nd", 4), (5, "", 5), (6, None, 6)], "doc_id long, text string, __norm int")
+    got = sorted(tuple(r) for r in exact_dedup.exact_dedup(spaced).collect())
+    assert got[0][0] == 2 and got[0][1:] in (("a  b", 1), ("a b", 2)) and got[1:] == [(4, "c\t\nd", 4), (5, "", 5)]
+    assert [tuple(r) for r in exact_dedup.exact_dedup(spaced.where("doc_id = 6")).collect()] == [(6, None, 6)]
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0 and exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
@@ -338,8 +342,10 @@ def test_lines_are_removed(spark):
             lost = n - sum(len(WORD.findall(x)) for x in left)
             if n >= 10 and 100 * repeats <= 20 * n and not n - lost < limits.min_left * n:
                 want[i] = "\n".join(left)
-        got = {r.doc_id: r.text for r in quality_rules.quality_filter(frame(spark, rows), limits=limits).collect()}
-        assert above and got == want and any(t != dict((i, t) for i, t, _ in rows)[k] for k, t in got.items())
+        for near_lines in (0, quality_rules.NEAR_LINES):  # by a join of verdicts, and where rows lie
+            got = {r.doc_id: r.text for r in quality_rules.quality_filter(frame(spark, rows), limits=limits, near_lines=near_lines).collect()}
+            assert above and got == want
+        assert any(t != dict((i, t) for i, t, _ in rows)[k] for k, t in got.items())
 
 
 # --- n-gram join
