@@ -131,13 +131,15 @@ def without(text: Column, gone: str) -> Column:
 def filtered_in_place(df: DataFrame, above: DataFrame, text_col: str, host_col: str, limits: Limits) -> DataFrame:
     """quality_filter with the frequent lines (host, h) sent to executors; the caller has checked their number."""
     by_host = F.broadcast(above.groupBy(F.col("host").alias("__host")).agg(F.collect_set("h").alias("__above")))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{host_col}`").alias("__of"), text_or_empty(text_col).alias("__text"))
+    # A null text has no words and is never kept, so the text need not go along twice.
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() != text_col.lower()])
+    rows = df.select(others.alias("__row"), F.col(f"`{host_col}`").alias("__of"), text_or_empty(text_col).alias("__text"))
     rows = figures(rows.join(by_host, F.col("__of").eqNullSafe(F.col("__host")), "left"), "__text")
     hit = rows.withColumn("__hit", F.filter("lines", lambda x: F.coalesce(F.array_contains(F.col("__above"), x["h"]), F.lit(False))))
     hit = hit.withColumn("lost_words", F.aggregate("__hit", F.lit(0), lambda s, x: s + x["w"]))
     # A row number beside the figures keeps the filter above them; pushed down, it would hold every step's expression many times.
     kept = hit.withColumns({"__stays": ~base_failed() & ~depleted(limits), "__rid": F.monotonically_increasing_id()}).where("__stays AND __rid >= 0")
-    left = F.when(F.size("__hit") > 0, without(F.col("__text"), "__above")).otherwise(F.col("__row")[text_col])
+    left = F.when(F.size("__hit") > 0, without(F.col("__text"), "__above")).otherwise(F.col("__text"))
     return kept.select(*[left.alias(c) if c.lower() == text_col.lower() else F.col("__row")[c].alias(c) for c in df.columns])
 
 
