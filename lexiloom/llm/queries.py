@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_quality, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filter
+from . import alignment, crf_quality, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filter
 from .common import table
 
 
@@ -52,7 +52,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op4_crf_quality, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op8_pii, op9_quality_rules, op10_ngram_join)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op4_crf_quality, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op8_pii, op9_quality_rules, op10_ngram_join, op13_token_alignment)}
 
 WS = r"[\x20\x09-\x0D]+"
 _OP5 = rf"""
