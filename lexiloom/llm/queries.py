@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, crf_quality, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filter
+from . import alignment, crf_quality, exact_dedup, mixing, near_vectors, ngram_join, packing, phrases, pii, quality_rules, sharding, token_counts, url_filter
 from .common import table
 
 
@@ -52,11 +52,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op4_crf_quality, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op8_pii, op9_quality_rules, op10_ngram_join, op13_token_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_best_fit_packing, op4_crf_quality, op5_exact_dedup, op6_virtual_slots, op7_cube_mixing, op8_pii, op9_quality_rules, op10_ngram_join, op11_collocations, op12_near_vectors, op13_token_alignment)}
 
 WS = r"[\x20\x09-\x0D]+"
 _OP5 = rf"""
@@ -98,5 +106,28 @@ f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{WS
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words FROM w LEFT JOIN e USING (r) LEFT JOIN lost USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_words - lost_words < 0.2 * n_words AS kept FROM f"""
 
+_OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS ks(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::BIGINT AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT * FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, f AS a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS tail FROM c, (VALUES (1), (2), (3)) AS js(j) WHERE j < k),
+scored AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM cut JOIN f x ON cut.lang = x.lang AND head = x.phrase JOIN f y ON cut.lang = y.lang AND tail = y.phrase),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(f) AS longer FROM c, (VALUES (2), (3)) AS ms(m), (VALUES (1), (2), (3)) AS starts(i) WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT lowest.*, n FROM lowest JOIN sizes USING (lang) LEFT JOIN inside ON lowest.lang = inside.lang AND lowest.phrase = inside.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000"""
+
+_OP12 = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS MATERIALIZED (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE e IS NOT NULL AND list_aggregate(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0 AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON b = r GROUP BY a),
+n AS (SELECT a, count(*)::BIGINT AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN comp ON r = comp.a LEFT JOIN n ON r = n.a"""
+
 #: In order of the operators; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op5_exact_dedup": _OP5, "op9_quality_rules": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op5_exact_dedup": _OP5, "op9_quality_rules": _OP9, "op11_collocations": _OP11, "op12_near_vectors": _OP12}
