@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ from .common import blocks, text_or_empty, written
 from .tokenizer import byte_bpe, default_path
 
 #: A block ends at so many bytes of text or rows, or after one longer row.
-BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 8192
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 8192
 #: Postings (documents of pairs) of a bucket's part, on average at most.
 PART_POSTINGS = 8 << 20
 BUCKET_BYTES = 64 << 20
-#: Units that a worker remembers, and the bytes of the longest of them.
-KNOWN, KNOWN_BYTES = 60_000, 32
+#: Characters of units that are encoded in one call.
+TOGETHER = 1 << 15
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -55,7 +56,7 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_b = np.fromiter(map(len, self.bytes_b), np.int64, n)
         self.len_a = np.fromiter((len(x) for x in (self._bytes_a(i) for i in range(self.a.n_vocab))), np.int64, self.a.n_vocab)
-        self.known: dict[str, tuple[np.ndarray, np.ndarray, bool]] = {}
+        self.names = [str(i) for i in range(max(n, self.a.n_vocab))]
 
     def _bytes_a(self, i: int) -> bytes:
         try:
@@ -63,27 +64,34 @@ class Aligner:
         except KeyError:  # an id that no token has
             return b""
 
-    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """Both sides' ids of texts that begin with a space, and whether both give the bytes back."""
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        new = [u for u in units if u not in known]
-        found = {}
-        for u, b in zip(new, self.b.encode([u[1:] for u in new], num_threads=1) if new else (), strict=True):
-            a = self.a.encode_ordinary(u)
-            raw = u.encode()
-            same = b"".join(map(self.bytes_b.__getitem__, b)) == raw and self.a.decode_bytes(a) == raw
-            found[u] = np.array(a, np.int64), np.array(b, np.int64), same
-        out = [found[u] if u in found else known[u] for u in units]
-        known.update((u, x) for u, x in found.items() if len(u) <= KNOWN_BYTES)
-        return out
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids of a text that begins with a space; None if they don't give its bytes back."""
+        raw = text.encode()
+        a, b = self.a.encode_to_numpy(text, disallowed_special=()), self.b.encode(text[1:])
+        same = b"".join(map(self.bytes_b.__getitem__, b)) == raw and self.a.decode_bytes(a.tolist()) == raw
+        return (a.astype(np.int32), np.array(b, np.int32)) if same else None
+
+    def encode_all(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both sides' ids of units, and which units come back whole; the others have no tokens. Units are encoded many at a
+        time: where one ends without white space, both tokenizers have an end."""
+        same = np.ones(len(units), bool)
+        ids_a, ids_b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        ends = [i + 1 for i, n in enumerate(accumulate(map(len, units))) if n // TOGETHER != (n - len(units[i])) // TOGETHER or units[i][-1].isspace()]
+        todo = [(p, q) for p, q in zip([0, *ends], [*ends, len(units)], strict=True) if p < q][::-1]
+        while todo:
+            p, q = todo.pop()
+            if got := self.encode("".join(units[p:q])):
+                ids_a.append(got[0])
+                ids_b.append(got[1])
+            elif q - p == 1:
+                same[p] = False
+            else:
+                todo += [((p + q) // 2, q), (p, (p + q) // 2)]
+        return np.concatenate(ids_a), np.concatenate(ids_b), same
 
     def valid(self, parts: list[str]) -> bool:
         """Whether a text, given as its units, comes back whole from both sides' tokens."""
-        whole = "".join(parts)
-        raw = whole.encode()
-        return b"".join(map(self.bytes_b.__getitem__, self.b.encode(whole[1:]))) == raw and self.a.decode_bytes(self.a.encode_ordinary(whole)) == raw
+        return self.encode("".join(parts)) is not None
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,40 +109,29 @@ class Units:
     """Figures, links and digest parts of distinct units."""
 
     def __init__(self, known: Aligner, units: list[str]) -> None:
-        got = known.encode(units)
-        self.same = np.fromiter((x[2] for x in got), bool, len(got))
-        a, b = (np.concatenate([x[k] for x in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        n_a, n_b = (np.fromiter((len(x[k]) for x in got), np.int64, len(got)) for k in (0, 1))
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        size = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
-        if not self.same.all():  # such a unit has no tokens; a document that holds it is looked at as a whole
-            keep_a, keep_b = np.repeat(self.same, n_a), np.repeat(self.same, n_b)
-            a, b, n_a, n_b, size = a[keep_a], b[keep_b], n_a * self.same, n_b * self.same, size * self.same
-            first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        end_a, end_b = np.cumsum(known.len_a[a]), np.cumsum(known.len_b[b])
+        a, b, self.same = known.encode_all(units)
+        size = np.fromiter((len(u.encode()) for u in units), np.int64, len(units)) * self.same
+        end_a, end_b, unit_end = np.cumsum(known.len_a[a]), np.cumsum(known.len_b[b]), np.cumsum(size)
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-        of_a, of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        unit_end = np.cumsum(size)
-        self.n_groups = np.diff(np.searchsorted(cuts, unit_end, side="right"), prepend=0)
+        self.n_a, self.n_b, self.n_groups = (np.diff(np.searchsorted(ends, unit_end, side="right"), prepend=0) for ends in (end_a, end_b, cuts))
         low = np.searchsorted(end_b, end_a - known.len_a[a], side="right")  # the first B token that ends after A's start
         high = np.searchsorted(end_b - known.len_b[b], end_a, side="left")  # the first that starts at A's end or later
         n = high - low
-        unit_a = np.repeat(np.arange(len(units)), n_a)
-        self.n_a, self.n_b = n_a, n_b
+        unit_a = np.repeat(np.arange(len(units), dtype=np.int32), self.n_a)
         self.n_links = np.bincount(unit_a, weights=n, minlength=len(units)).astype(np.int64)
-        key = np.stack([np.repeat(unit_a, n), np.repeat(a, n), b[ranges(low, n)]])
+        key = np.stack([np.repeat(unit_a, n), np.repeat(a, n), b[ranges(low, n)]])  # 32 bits each
         order = np.lexsort(key[::-1])
         key = key[:, order]
         new = np.ones(key.shape[1], bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
         at = np.flatnonzero(new)
-        self.link_a, self.link_b = key[1, at], key[2, at]
-        self.times = np.diff(np.append(at, key.shape[1]))
+        self.link_a, self.link_b = key[1, at].astype(np.int64), key[2, at].astype(np.int64)
+        self.times = np.diff(np.append(at, key.shape[1])).astype(np.int32)
         self.first = np.searchsorted(key[0, at], np.arange(len(units) + 1))
         # Digest parts: A ids and B ids of a group, groups one after the other.
-        cut_a, cut_b = np.searchsorted(of_a, np.arange(len(cuts) + 1)), np.searchsorted(of_b, np.arange(len(cuts) + 1))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [f"{text_a[p]}|{text_b[r]}" if q - p == 1 == s - r else f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(cut_a[:-1].tolist(), cut_a[1:].tolist(), cut_b[:-1].tolist(), cut_b[1:].tolist(), strict=True)]
+        cut_a, cut_b = (np.concatenate([[0], np.searchsorted(ends, cuts, side="right")]).tolist() for ends in (end_a, end_b))
+        text_a, text_b = [known.names[i] for i in a.tolist()], [known.names[i] for i in b.tolist()]
+        groups = [f"{text_a[p]}|{text_b[r]}" if q - p == 1 == s - r else f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)]
         ends = np.cumsum(self.n_groups).tolist()
         self.digest = [groups[e - 1] if k == 1 else ";".join(groups[e - k : e]) for e, k in zip(ends, self.n_groups.tolist(), strict=True)]
 
@@ -153,12 +150,11 @@ def postings(rows: DataFrame, path_a: str, path_b: str, buckets: int) -> DataFra
         known = aligner(path_a, path_b)
         for batch in blocks(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
             block = batch.column("row")[0].as_py()
-            index: defaultdict[str, int] = defaultdict()
-            index.default_factory = index.__len__
+            index: defaultdict[str, int] = defaultdict(count().__next__)  # refers to nothing of its own, so it goes at once
             of_docs: list[np.ndarray] = []
-            for text in batch.column("text").to_pylist():
-                parts = UNIT.findall(" " + text) if text else []
-                of_docs.append(np.fromiter(map(index.__getitem__, parts), np.int64, len(parts)))
+            for text in batch.column("text"):
+                parts = UNIT.findall(" " + text.as_py()) if len(text.as_py()) else []
+                of_docs.append(np.fromiter(map(index.__getitem__, parts), np.int32, len(parts)))
             names = list(index)
             units = Units(known, names)
             digests: list[str] = []
@@ -171,20 +167,21 @@ def postings(rows: DataFrame, path_a: str, path_b: str, buckets: int) -> DataFra
                 else:
                     digests.append(hashlib.sha256(";".join(map(units.digest.__getitem__, found.tolist())).encode()).hexdigest())
             n_docs = len(of_docs)
-            doc = np.repeat(np.arange(n_docs), [len(x) for x in of_docs])
-            unit = np.concatenate(of_docs) if of_docs else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(x) for x in of_docs])
+            unit = np.concatenate(of_docs)
             figures = {f: np.bincount(doc, weights=getattr(units, f)[unit], minlength=n_docs).astype(np.int64) for f in FIGURES}
             own = pa.StructArray.from_arrays([batch.column("doc_id"), *(pa.array(figures[f]) for f in FIGURES), pa.array(digests, pa.string())], names=["doc_id", *FIGURES, "groups_sha256"])
             yield row_of([block], [None], None, own)
             if not len(unit):
                 continue
-            held, times = np.unique(doc * len(names) + unit, return_counts=True)  # a document's distinct units
+            held, times = np.unique(doc * np.int64(len(names)) + unit, return_counts=True)  # a document's distinct units
             doc, unit = np.divmod(held, len(names))
             n = units.first[unit + 1] - units.first[unit]
             at = ranges(units.first[unit], n)
-            doc, times = np.repeat(doc, n), np.repeat(times, n) * units.times[at]
+            times = np.repeat(times.astype(np.int32), n) * units.times[at]
             pair, place = np.unique((units.link_a % buckets << 48) | (units.link_a << 24) | units.link_b, return_inverse=True)
-            key = place[at] * n_docs + doc
+            key = place[at] * n_docs + np.repeat(doc, n)
+            del held, doc, unit, at
             order = np.argsort(key, kind="stable")
             key, times = key[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
