@@ -31,7 +31,7 @@ from .common import blocks, text_or_empty, written
 from .tokenizer import byte_bpe, default_path
 
 #: A block ends at so many bytes of text or rows, or after one longer row.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 8192
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 8192
 #: Postings (documents of pairs) of a bucket's part, on average at most.
 PART_POSTINGS = 8 << 20
 BUCKET_BYTES = 64 << 20
