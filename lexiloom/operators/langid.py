@@ -11,29 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
+from . import bytegrams
+from .bytegrams import ByteGrams
 
 Tokenizer = Callable[[Column], Column]
 #: Lengths of terms that are sorted one by one.
 MAX_ORDERS = 16
 
 
-def byte_ngrams(orders: tuple[int, ...] = (1, 2, 3, 4), least: int | None = None) -> Tokenizer:
+def byte_ngrams(orders: tuple[int, ...] = (1, 2, 3, 4), least: int | None = None) -> ByteGrams:
     """All n-grams of bytes as upper-case hexadecimal; texts shorter than the largest order less one have none."""
-    short = (max(orders) - 1) if least is None else least
-
-    def tokens(text: Column) -> Column:
-        raw = F.encode(text, "UTF-8")  # a slice of bytes costs the same wherever it starts
-        n = F.octet_length(text)
-
-        def order(k: int) -> Column:
-            found = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.hex(F.substring(raw, i + 1, F.lit(k))))
-            return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
-
-        grams = [order(k) for k in orders]
-        return F.when(n >= short, F.concat(*grams)).otherwise(F.array().cast("array<string>"))
-
-    return tokens
+    return ByteGrams(tuple(orders), (max(orders) - 1) if least is None else least)
 
 
 def words(text: Column) -> Column:
@@ -59,14 +48,32 @@ def presence(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.select("doc_id", "lang", "domain", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
 
 
+def cells(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(lang, domain, term, df): documents with a term by language and domain. Everything that selection asks for is a sum of these."""
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.totals(docs, tokenizer, ("lang", "domain"), distinct=True).withColumnRenamed("n", "df")
+    return presence(docs, tokenizer).groupBy("lang", "domain", "term").agg(F.count("*").alias("df"))
+
+
 def group_df(docs: DataFrame, tokenizer: Tokenizer, by: str) -> DataFrame:
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.totals(docs, tokenizer, (by,), distinct=True).select("term", by, F.col("n").alias("df"))
     return presence(docs, tokenizer).groupBy("term", by).agg(F.count("*").alias("df"))
 
 
 def term_df(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.totals(docs, tokenizer, distinct=True).withColumnRenamed("n", "df")
     return presence(docs, tokenizer).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_totals(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(term, n): all occurrences."""
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.totals(docs, tokenizer)
+    return docs.select(F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def select_df(dfs: DataFrame, per_order: int = 15000, unit: int = 1) -> DataFrame:
     """The per_order terms of highest document frequency of each length (in `unit` characters). Each order is a sort with a
     limit, which every task cuts for itself; lengths beyond MAX_ORDERS, as words may have, are ranked by a window."""
@@ -93,7 +100,7 @@ def information_gain(by_group: DataFrame, dist: DataFrame, by: str) -> DataFrame
     """(term, ig): entropy of the groups less what is left of it when a term's presence is known. by_group has (term, by,
     df), dist (by, n)."""
     total = dist.agg(F.sum("n").cast("double").alias("total"), (F.log(F.sum("n")) - F.sum(_plogp(F.col("n").cast("double"))) / F.sum("n")).alias("h"))
-    x = by_group.join(F.broadcast(dist), by)
+    x = by_group.join(dist, by)
     rest = F.col("n") - F.col("df")
     # Groups without the term add n ln n to the absent side: the whole sum less that of the groups that have it.
     agg = x.groupBy("term").agg(F.sum("df").cast("double").alias("s1"), F.sum(_plogp(F.col("df").cast("double"))).alias("e1"), F.sum(_plogp(rest.cast("double"))).alias("e0"), F.sum(_plogp(F.col("n").cast("double"))).alias("had"))
@@ -128,17 +135,26 @@ def select_ld(ig_lang: DataFrame, ig_domain: DataFrame | None, per_lang: int = 3
 
 def scan(docs: DataFrame, features: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(doc_id, term, n): occurrences of the features in each document, overlapping ones included."""
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.scan(docs, features, tokenizer)
     return docs.select("doc_id", F.explode(tokenizer(F.col("text"))).alias("term")).join(features.select("term").distinct(), "term").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+def feature_totals(docs: DataFrame, features: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(term, lang, n): occurrences of the features in each language."""
+    if isinstance(tokenizer, ByteGrams):
+        return bytegrams.scan_totals(docs, features, tokenizer, "lang")
+    return docs.select("lang", F.explode(tokenizer(F.col("text"))).alias("term")).join(features.select("term").distinct(), "term").groupBy("term", "lang").agg(F.count("*").alias("n"))
+
+
 def log_priors(docs: DataFrame) -> DataFrame:
     """(lang, log_pc): logarithm of each language's number of documents."""
     return docs.groupBy("lang").agg(F.log(F.count("*").cast("double")).alias("log_pc"))
 
 
-def log_likelihoods(found: DataFrame, docs: DataFrame, features: DataFrame) -> DataFrame:
-    """(term, lang, log_ptc): add-one estimates over all features and languages; both sets are of a chosen size."""
-    seen = found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("term", "lang").agg(F.sum("n").alias("n"))
+def log_likelihoods(seen: DataFrame, docs: DataFrame, features: DataFrame) -> DataFrame:
+    """(term, lang, log_ptc): add-one estimates over all features and languages, from the features' totals; both sets are of
+    a chosen size."""
     terms, langs = features.select("term").distinct(), docs.select("lang").distinct()
     full = terms.crossJoin(F.broadcast(langs)).join(seen, ["term", "lang"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     totals = full.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
@@ -159,15 +175,17 @@ def train(docs: DataFrame, tokenizer: Tokenizer | None = None, unit: int = 2, pe
     tokenizer = tokenizer or byte_ngrams()
     docs = docs.join(min_domain_langs(docs, least_domains).select("lang"), "lang", "left_semi")
     if ld_feats is None:
-        chosen = df_feats if df_feats is not None else select_df(term_df(docs, tokenizer), per_order, unit)
+        every = written(cells(docs, tokenizer), "langid-cells")
+        chosen = df_feats if df_feats is not None else select_df(every.groupBy("term").agg(F.sum("df").alias("df")), per_order, unit)
         chosen = written(chosen.select("term"), "langid-df")
-        seen = written(presence(docs, tokenizer).join(F.broadcast(chosen), "term", "left_semi").groupBy("term", "lang", "domain").agg(F.count("*").alias("df")), "langid-presence")
+        seen = written(every.join(chosen, "term", "left_semi"), "langid-presence")
+        dropped(every)
         by = lambda c: seen.groupBy("term", c).agg(F.sum("df").alias("df"))
         dist = lambda c: docs.groupBy(c).agg(F.count("*").alias("n"))
         ld_feats = select_ld(information_gain_each(by("lang"), dist("lang"), "lang"), information_gain(by("domain"), dist("domain"), "domain") if domain_ig else None, per_lang)
     features = written(ld_feats.select("term").distinct(), "langid-features")
-    found = written(scan(docs, features, tokenizer), "langid-found")
-    return LangidModel(written(log_priors(docs), "langid-pc"), written(log_likelihoods(found, docs, features), "langid-ptc"), tokenizer)
+    seen = written(feature_totals(docs, features, tokenizer), "langid-totals")
+    return LangidModel(written(log_priors(docs), "langid-pc"), written(log_likelihoods(seen, docs, features), "langid-ptc"), tokenizer)
 
 
 def save(model: LangidModel, path: str, orders: tuple[int, ...] | None = (1, 2, 3, 4)) -> None:
@@ -182,23 +200,37 @@ def load(spark: SparkSession, path: str) -> LangidModel:
     return LangidModel(spark.read.parquet(f"{path}/log_pc"), spark.read.parquet(f"{path}/log_ptc"), byte_ngrams(orders) if orders else words)
 
 
+def _grams(model: LangidModel) -> ByteGrams | None:
+    if isinstance(model.tokenizer, ByteGrams) or model.tokenizer is words:
+        return model.tokenizer if isinstance(model.tokenizer, ByteGrams) else None
+    raise ValueError("a model scores with byte n-grams or with words")
+
+
 def scores(docs: DataFrame, model: LangidModel) -> DataFrame:
     """(doc_id, lang, score) of every language, also for documents without features."""
-    found = scan(docs, model.log_ptc, model.tokenizer)
-    sums = found.join(model.log_ptc, "term").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("log_ptc")).alias("s"))
-    grid = docs.select("doc_id").crossJoin(F.broadcast(model.log_pc))  # a row a language
-    return grid.join(sums, ["doc_id", "lang"], "left").select("doc_id", "lang", (F.col("log_pc") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    w = bytegrams.weights(model.log_pc, model.log_ptc)
+    found = bytegrams.with_scores(docs.select("doc_id", "text"), w, _grams(model), best=None, scores="s")
+    langs = F.array(*map(F.lit, w.classes)) if w.classes else F.lit(None).cast("array<string>")
+    return found.select("doc_id", F.inline(F.arrays_zip(langs.alias("lang"), F.col("s").alias("score"))).alias("lang", "score"))
+
+
+def with_language(df: DataFrame, model: LangidModel, text: str = "text", out: str = "lang") -> DataFrame:
+    """df with the best language of each text, first in order among equals. One step without a shuffle, also on streams."""
+    return bytegrams.with_scores(df, bytegrams.weights(model.log_pc, model.log_ptc), _grams(model), text, out)
 
 
 def classify(docs: DataFrame, model: LangidModel) -> DataFrame:
     """(doc_id, lang): the best language, first in order among equals."""
-    s = scores(docs, model)
-    return s.groupBy("doc_id").agg(F.min(F.struct(-F.col("score"), "lang"))["lang"].alias("lang"))
+    return with_language(docs.select("doc_id", "text"), model).select("doc_id", "lang")
 
 
 def rank(docs: DataFrame, model: LangidModel) -> DataFrame:
-    s = scores(docs, model)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "lang")).cast("int"))
+    """(doc_id, lang, score, rank): all languages of a document in order, sorted in its own row."""
+    w = bytegrams.weights(model.log_pc, model.log_ptc)
+    found = bytegrams.with_scores(docs.select("doc_id", "text"), w, _grams(model), best=None, scores="s")
+    langs = F.array(*map(F.lit, w.classes)) if w.classes else F.lit(None).cast("array<string>")
+    order = F.array_sort(F.zip_with(langs, "s", lambda lang, s: F.struct((-s).alias("less"), lang.alias("lang"))))
+    return found.select("doc_id", F.posexplode(order).alias("i", "x")).select("doc_id", F.col("x.lang").alias("lang"), (-F.col("x.less")).alias("score"), (F.col("i") + 1).cast("int").alias("rank"))
 
 
 def softmax_ptc(log_ptc: DataFrame) -> DataFrame:

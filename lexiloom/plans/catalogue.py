@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import stem, text
 from ..operators import cluster, counts, evaluate, langid, plsa, similarity, summary, weights
 from ..sources import readers
-from ..sources.tables import table, written
+from ..sources.tables import shared_dir, table, written
 from ..streaming import filters
-from .sql import ALPHA, BETA, DF_CUT, K, TF_CUT, chain, folded, query, topic_text
+from .sql import ALPHA, BETA, CTES, DF_CUT, K, TF_CUT, chain, folded, query, topic_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -714,45 +715,78 @@ _SOFT = f"(SELECT term, lang, exp(log_ptc) / sum(exp(log_ptc)) OVER (PARTITION B
 register("bl_weights", f"WITH soft AS MATERIALIZED {_SOFT} SELECT a.term, a.lang AS lang_a, b.lang AS lang_b, {s6('abs(a.p - b.p) / s', 'weight')} FROM soft a JOIN soft b USING (term) JOIN (SELECT term, sum(p) AS s FROM soft GROUP BY term) USING (term) WHERE a.lang < b.lang".replace("WITH soft AS MATERIALIZED " + _SOFT + " ", "").replace("FROM soft", f"FROM {_SOFT}").replace("JOIN soft", f"JOIN {_SOFT}"))(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
 
 
+#: Folders of saved language models by session and folder of tables.
+MODELS: dict[tuple[str, str], str] = {}
+
+
 def byte_trained(spark: SparkSession, d: str) -> tuple[DataFrame, langid.LangidModel]:
-    """The whole chain as the reference has it: all byte n-grams of orders 1 to 4 of whole texts, 15,000 an order, 300 a language."""
-    c = corpus(spark, d)
-    return c, langid.train(c)
+    """The whole chain: all byte n-grams of orders 1 to 4 of whole texts, 15,000 an order, 300 a language. A session trains a
+    folder's model once and saves it; queries load it, as users of a model do."""
+    c, key = corpus(spark, d), (spark.sparkContext.applicationId, d)
+    if key not in MODELS:
+        path = f"{shared_dir(spark)}/langid-model-{uuid.uuid4().hex}"
+        langid.save(langid.train(c), path)
+        MODELS[key] = path
+    return c, langid.load(spark, MODELS[key])
 
 
-@register("langid_classify")
+# The queries above that SQL holds work on words or on orders 1 and 2; these are the same steps of the whole chain.
+BYTES = langid.byte_ngrams()
+CTES.update({
+    "b_docs": "SELECT row_number() OVER () AS r, doc_id, lang, source AS domain, text, hex(encode(text)) AS h FROM documents",
+    # Texts are cut into pieces first, since a substring's cost grows with its place.
+    "b_pieces": "SELECT r, length(h) // 2 - i AS bytes, substr(h, 2 * i + 1, 518) AS piece FROM (SELECT r, h, unnest(range(0, length(h) // 2, 256)) AS i FROM b_docs WHERE length(h) >= 6)",
+    "b_grams": "SELECT r, k, unnest(list_transform(range(0, least(256, bytes - k + 1)), lambda j: substr(piece, j::BIGINT * 2 + 1, 2 * k))) AS term FROM b_pieces, (SELECT unnest([1, 2, 3, 4]) AS k)",
+    "b_present": "SELECT DISTINCT r, k, term FROM b_grams",
+    "b_df": 'SELECT k::INTEGER AS "order", term, count(*)::BIGINT AS df FROM b_present GROUP BY k, term',
+    "b_chosen": 'SELECT "order", term, df FROM b_df QUALIFY row_number() OVER (PARTITION BY "order" ORDER BY df DESC, term) <= 15000',
+    "b_cells": "SELECT term, lang, domain, count(*)::DOUBLE AS df FROM b_present JOIN (SELECT term FROM b_chosen) USING (term) JOIN b_docs USING (r) GROUP BY term, lang, domain",
+    "b_domains": "SELECT domain, count(*)::DOUBLE AS n FROM b_docs GROUP BY domain",
+    "b_langs": "SELECT lang, count(*)::DOUBLE AS n FROM b_docs GROUP BY lang",
+    "b_gd": "SELECT term, n, coalesce(df, 0) AS df FROM (SELECT term FROM b_chosen) CROSS JOIN b_domains LEFT JOIN (SELECT term, domain, sum(df) AS df FROM b_cells GROUP BY term, domain) USING (term, domain)",
+    "b_ig_domain": f"SELECT term, ln(t) - sn / t - (s1 * (ln(s1) - e1 / s1) + CASE WHEN t - s1 > 0 THEN (t - s1) * (ln(t - s1) - e0 / (t - s1)) ELSE 0 END) / t AS ig FROM (SELECT term, sum(n) AS t, sum({plogp('n')}) AS sn, sum(df) AS s1, sum({plogp('df')}) AS e1, sum({plogp('(n - df)')}) AS e0 FROM b_gd GROUP BY term)",
+    "b_gl": "SELECT term, lang, coalesce(a, 0) AS a, n, s1, (SELECT count(*)::DOUBLE FROM b_docs) AS t FROM (SELECT term, df::DOUBLE AS s1 FROM b_chosen) CROSS JOIN b_langs LEFT JOIN (SELECT term, lang, sum(df) AS a FROM b_cells GROUP BY term, lang) USING (term, lang)",
+    "b_ig_lang": f"SELECT term, lang, {h2('n', '(t - n)')} - (s1 * {h2('a', '(s1 - a)')} + (t - s1) * {h2('(n - a)', '(t - s1 - n + a)')}) / t AS ig FROM b_gl",
+    "b_feats": "SELECT DISTINCT term FROM (SELECT lang, term FROM b_ig_lang l JOIN b_ig_domain o USING (term) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(l.ig - o.ig, 9) DESC, term) <= 300)",
+    "b_scan": "SELECT r, term, count(*)::BIGINT AS n FROM b_grams JOIN b_feats USING (term) GROUP BY r, term",
+    "b_seen": "SELECT term, lang, sum(n)::BIGINT AS n FROM b_scan JOIN b_docs USING (r) GROUP BY term, lang",
+    "b_ptc": "SELECT term, lang, ln(1.0 + coalesce(n, 0)) - ln(count(*) OVER (PARTITION BY lang) + sum(coalesce(n, 0)) OVER (PARTITION BY lang)) AS log_ptc FROM b_feats CROSS JOIN (SELECT lang FROM b_langs) LEFT JOIN b_seen USING (term, lang)",
+    "b_soft": "SELECT term, lang, exp(log_ptc) / sum(exp(log_ptc)) OVER (PARTITION BY lang) AS p FROM b_ptc",
+    "b_sums": "SELECT r, lang, sum(n * log_ptc) AS s FROM b_scan JOIN b_ptc USING (term) GROUP BY r, lang",
+    "b_scores": "SELECT doc_id, b_docs.r, text, b_langs.lang, ln(n) + coalesce(s, 0) AS score FROM b_docs CROSS JOIN b_langs LEFT JOIN b_sums ON b_sums.r = b_docs.r AND b_sums.lang = b_langs.lang",
+    "b_best": "SELECT doc_id, text, lang FROM b_scores QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, lang) = 1",
+})
+register("byte_ngrams", f"SELECT term, count(*)::BIGINT AS n FROM b_grams GROUP BY term")(lambda s, d: langid.term_totals(corpus(s, d), BYTES))
+register("byte_ngram_df", f"SELECT term, df FROM b_df")(lambda s, d: langid.term_df(corpus(s, d), BYTES))
+register("byte_df_select", f'SELECT "order", term, df FROM b_chosen')(lambda s, d: langid.select_df(langid.term_df(corpus(s, d), BYTES), unit=2))
+register("byte_nb_log_ptc", f"SELECT term, lang, {s6('log_ptc', 'log_ptc')} FROM b_ptc")(lambda s, d: byte_trained(s, d)[1].log_ptc.select("term", "lang", r6("log_ptc").alias("log_ptc")))
+register("byte_ptc_softmax", f"SELECT term, lang, round(p, 9) AS p FROM b_soft")(lambda s, d: langid.softmax_ptc(byte_trained(s, d)[1].log_ptc).select("term", "lang", F.round("p", 9).alias("p")))
+register("byte_bl_weights", f"SELECT a.term, a.lang AS lang_a, b.lang AS lang_b, {s6('abs(a.p - b.p) / s', 'weight')} FROM b_soft a JOIN b_soft b USING (term) JOIN (SELECT term, sum(p) AS s FROM b_soft GROUP BY term) USING (term) WHERE a.lang < b.lang")(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(byte_trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
+
+
+@register("langid_classify", f"SELECT doc_id, lang FROM b_best")
 def _langid_classify(spark: SparkSession, d: str) -> DataFrame:
     c, m = byte_trained(spark, d)
     return langid.classify(c, m)
 
 
-@register("langid_rank")
+@register("langid_rank", f"SELECT doc_id, lang, round(score, 4) AS score, row_number() OVER (PARTITION BY r ORDER BY score DESC, lang)::INTEGER AS rank FROM b_scores")
 def _langid_rank(spark: SparkSession, d: str) -> DataFrame:
     c, m = byte_trained(spark, d)
     return langid.rank(c, m).select("doc_id", "lang", F.round("score", 4).alias("score"), "rank")
 
 
-# The queries above that SQL holds work on words or on orders 1 and 2; these are the same steps of the whole chain.
-BYTES = langid.byte_ngrams()
-register("byte_ngrams")(lambda s, d: corpus(s, d).select(F.explode(BYTES(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
-register("byte_ngram_df")(lambda s, d: langid.term_df(corpus(s, d), BYTES))
-register("byte_df_select")(lambda s, d: langid.select_df(langid.term_df(corpus(s, d), BYTES), unit=2))
-register("byte_nb_log_ptc")(lambda s, d: byte_trained(s, d)[1].log_ptc.select("term", "lang", r6("log_ptc").alias("log_ptc")))
-register("byte_ptc_softmax")(lambda s, d: langid.softmax_ptc(byte_trained(s, d)[1].log_ptc).select("term", "lang", F.round("p", 9).alias("p")))
-register("byte_bl_weights")(lambda s, d: langid.blacklist_weights(langid.softmax_ptc(byte_trained(s, d)[1].log_ptc)).select("term", "lang_a", "lang_b", r6("weight").alias("weight")))
-
-
-@register("byte_scanner_counts")
+@register("byte_scanner_counts", f"SELECT doc_id, term, n FROM b_scan JOIN b_docs USING (r)")
 def _byte_scanner_counts(spark: SparkSession, d: str) -> DataFrame:
     c, m = byte_trained(spark, d)
     return langid.scan(c, m.log_ptc, m.tokenizer)
 
 
-@register("byte_feat_weights_table")
+@register("byte_feat_weights_table", f"SELECT term, (length(term) // 2)::INTEGER AS len, df, {s6('ig', 'ig_domain')} FROM b_feats JOIN b_df USING (term) JOIN b_ig_domain USING (term)")
 def _byte_feat_weights_table(spark: SparkSession, d: str) -> DataFrame:
     c, m = byte_trained(spark, d)
     f = m.log_ptc.select("term").distinct()
-    by = written(langid.presence(c, BYTES).join(F.broadcast(f), "term").groupBy("term", "domain").agg(F.count("*").alias("df")), "feature-df")
+    by = written(langid.group_df(c, BYTES, "domain").join(f, "term", "left_semi"), "feature-df")
     gains = langid.information_gain(by, dist(c, "domain"), "domain")
     return langid.feature_weights(f, {"df": by.groupBy("term").agg(F.sum("df").alias("value")), "ig_domain": gains.select("term", r6("ig").alias("value"))}, 2)
 
@@ -775,12 +809,15 @@ def _stream_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.by_language(kept, ["en", "de"])
 
 
-@register("stream_classified_filter")
+@register("stream_classified_filter", f"SELECT lang, text, lang || ': ' || text AS line FROM b_best WHERE text <> '' AND lang IN ('en', 'de')")
 def _stream_classified_filter(spark: SparkSession, d: str) -> DataFrame:
-    """The streaming filter's batch twin over every document as an original post, in the language that the classifier finds."""
-    lines = docs(spark, d).select(F.to_json(F.struct("text", F.lit(0).alias("retweet_count"))).alias("value"))
-    rows = written(filters.posts(lines).withColumn("doc_id", F.monotonically_increasing_id()), "posts")
-    return filters.by_language(rows.join(langid.classify(rows, byte_trained(spark, d)[1]), "doc_id"), ["en", "de"])
+    """The streaming filter over every document as an original post: the documents are written as JSON lines, and a stream
+    reads these, classifies by a saved model and writes what it keeps."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    model = byte_trained(spark, d)[1]
+    docs(spark, d).select(F.to_json(F.struct("text", F.lit(0).alias("retweet_count"))).alias("value")).write.text(f"{place}/in")
+    filters.run_language_filter(spark, f"{place}/in", model, f"{place}/out", f"{place}/checkpoint", ["en", "de"]).awaitTermination()
+    return spark.read.schema("lang string, text string, line string").parquet(f"{place}/out")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.tables import dropped, written
+from ..operators import langid
 
 SCHEMA = "text string, retweet_count int"
 
@@ -27,13 +27,14 @@ def stream_posts(spark: SparkSession, path: str) -> DataFrame:
     return posts(spark.readStream.text(path))
 
 
-def run_language_filter(spark: SparkSession, path: str, classifier, out: str, checkpoint: str, langs: list[str] | None = None) -> StreamingQuery:  # noqa: ANN001
-    """Classifies each micro-batch (a function from rows with doc_id and text to doc_id and lang) and keeps the chosen, as
-    Parquet under `out`. A batch has a folder of its own, which a retry of that batch overwrites, so no row comes twice."""
+def classified(lines: DataFrame, model: langid.LangidModel, langs: list[str] | None = None) -> DataFrame:
+    """`lang: text` lines of posts in the languages that the model finds. It works alike on batches and streams."""
+    return by_language(langid.with_language(posts(lines), model), langs)
 
-    def batch(df: DataFrame, n: int) -> None:
-        rows = written(df.withColumn("doc_id", F.monotonically_increasing_id()), "stream-batch")  # both sides of the join see one numbering
-        by_language(rows.join(classifier(rows), "doc_id"), langs).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        dropped(rows)
 
-    return stream_posts(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_language_filter(spark: SparkSession, path: str, model: langid.LangidModel, out: str, checkpoint: str, langs: list[str] | None = None) -> StreamingQuery:
+    """Filters the JSON lines of a folder into Parquet under `out` and ends with what is there. The plan keeps no state; the
+    checkpoint knows which files are read, and the sink's log which outputs count, so that a run after a stop or a failure
+    neither loses nor repeats a line."""
+    found = classified(spark.readStream.text(path), model, langs)
+    return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -300,7 +300,7 @@ def test_stream_sink_takes_each_row_once(spark, tmp_path):
     for i, t in enumerate(["the dog", "der hund", "the cat"]):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"text": t, "retweet_count": 0}))
     for _ in range(2):  # a second start finds nothing new
-        q = filters.run_language_filter(spark, str(tmp_path / "in"), lambda rows: langid.classify(rows, again), str(tmp_path / "out"), str(tmp_path / "ck"), ["en"])
+        q = filters.run_language_filter(spark, str(tmp_path / "in"), again, str(tmp_path / "out"), str(tmp_path / "ck"), ["en"])
         q.awaitTermination(120)
     assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["en: the cat", "en: the dog"]
 
