@@ -54,6 +54,18 @@ PUNCT_TO_SPACE: list[Rule] = [(r'[-,?!":;.()]', " ")]
 #: A break after each sentence end before a space, and after an end inside quotes.
 SENTENCE_BREAKS: list[Rule] = [(r"\. ", ".\n"), (r"\? ", "?\n"), (r"! ", "!\n"), (r'\."', '."\n')]
 
+#: The same replacements for patterns that would look at a run again from each of its places: here a match starts where its
+#: run does and gives nothing back, or looks at one character alone. tests/test_runs.py compares both.
+LINEAR: dict[str, Rule] = {
+    r"(\S+)\)": (r"(?<=\S)\)(?=[^\s)]*+(?:\s|\z))", ""),
+    r"(\S+)[.!?]$": (r"(?<=\S)[.!?]$", ""),
+    r"[!?]+\s*$": (r"(?<![!?])[!?]++\s*$", ""),
+    r",+([A-Za-z])": (r"(?<!,),++([A-Za-z])", r" \1"),
+    **{rf"{x}+$": (rf"(?<!{x}){x}++$", to) for x, to in (("'", ""), ("_", ""), (",", " "), (r"\*", ""))},
+    **{rf"{x}+{after}": (rf"(?<!{x}){x}++{after}", " ") for x, after in (("'", r"\s+"), ("_", r"\s"), (r"\*", r"\s"), (r"\s", "'+"), (r"\s", "`+"))},
+}
+_SPACE = " \t\n\x0b\f\r"
+
 # Characters that do not follow the rule of ascii_fold.
 WORDS_FOR = {
     "\u00a2": " cents ", "\u00a3": " pounds ", "\u00a5": " yen ", "\u00b0": " degrees ", "\u00b1": " plus-or-minus ", "\u00b5": " micro ",
@@ -94,7 +106,12 @@ def java_replacement(s: str) -> str:
 
 
 def apply(column: Column, rules: Sequence[Rule]) -> Column:
+    """The rules one after the other, each in time that grows with the text."""
     for pattern, replacement in rules:
+        if not replacement and pattern in (r"^\s+", r"\s+$"):
+            column = (F.ltrim if pattern.startswith("^") else F.rtrim)(column, F.lit(_SPACE))
+            continue
+        pattern, replacement = LINEAR.get(pattern, (pattern, replacement))
         column = F.regexp_replace(column, F.lit(pattern), F.lit(java_replacement(replacement)))
     return column
 
@@ -143,7 +160,7 @@ def normalize_topic(column: Column, steps: Sequence[Callable[[Column], Column]]
 
 def sentences(column: Column) -> Column:
     parts = F.split(apply(column, SENTENCE_BREAKS), "\n")
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"\s+$", ""), r"^\s+", ""))
+    trimmed = F.transform(parts, lambda s: F.btrim(s, F.lit(_SPACE)))
     return F.filter(trimmed, lambda s: s != "")
 
 

@@ -66,7 +66,7 @@ def true_topics(joint: DataFrame, at_least: float = 0.075) -> DataFrame:
 
 def best_documents(model: Model, labels: DataFrame) -> DataFrame:
     """(label, z, doc_id): the document of highest P(z|d), the smallest id among equals."""
-    return long(model.p_zd, "doc_id").join(labels, "doc_id").groupBy("label", "z").agg(F.max_by("doc_id", F.struct("p", -F.col("doc_id"))).alias("doc_id"))
+    return long(model.p_zd, "doc_id").join(labels, "doc_id").groupBy("label", "z").agg(F.min_by("doc_id", F.struct(-F.col("p"), F.col("doc_id"))).alias("doc_id"))
 
 
 def compare_stems(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,7 @@ def register_reader(name: str, columns: dict[str, int], needs: int) -> None:
 def parse_lines(lines: DataFrame, reader: str | Reader = "default", value: str = "value") -> DataFrame:
     """`fields` and `ok` of tab-delimited lines, after trailing white space is dropped (which also drops empty last fields)."""
     r = READERS[reader] if isinstance(reader, str) else reader
-    fields = F.split(F.regexp_replace(F.col(value), r"\s+$", ""), "\t")
+    fields = F.split(F.rtrim(F.col(value), F.lit(" \t\n\x0b\f\r")), "\t")  # a pattern bound to the end takes quadratic time on long runs
     return lines.withColumn("fields", fields).withColumn("ok", F.size("fields") >= r.needs)
 
 
@@ -43,8 +42,8 @@ def to_messages(lines: DataFrame, reader: str | Reader = "default", order: str |
     kept = parse_lines(lines, r).where("ok").select(*([order] if order else []), *[F.get(F.col("fields"), F.lit(i)).alias(c) for c, i in r.columns.items()])
     if not order:
         return kept
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))
-    return kept.withColumn("__last", last).where("__last = 1").drop("__last", order)
+    # An aggregate, so that rows of one id meet already before the shuffle; a lost id is an id like others.
+    return kept.groupBy("id").agg(F.max_by(F.struct(*r.columns), order).alias("m")).select("m.*")
 
 
 def read_messages(spark: SparkSession, path: str, reader: str = "default", debug_limit: int | None = None) -> DataFrame:
@@ -103,7 +102,7 @@ def parse_labelled_files(lines: DataFrame, value: str = "value") -> DataFrame:
     """path and labels of labelled file lists. No label, or a label twice, is an error."""
     parts = F.filter(F.split(F.col(value), r"\s+"), lambda x: x != "")
     labels = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    bad = (F.size(labels) == 0) | (F.size(F.array_distinct(labels)) < F.size(labels))
+    bad = (F.size(parts) > 0) & ((F.size(labels) == 0) | (F.size(F.array_distinct(labels)) < F.size(labels)))
     return lines.where(F.size(parts) > 0).select(parts[0].alias("path"), F.when(bad, F.raise_error(F.lit("labels are missing or repeated"))).otherwise(labels).alias("labels"))
 
 
