@@ -1,13 +1,17 @@
 """Probabilistic latent semantic analysis by EM. A model is two tables: p_wz (term, p) and p_zd (doc_id, p), with p an array
-over topics, and p_z, a list. A word or document is one row whatever the number of topics; an iteration is one join of
-counts with both tables and two aggregates of K sums each, which combine before their shuffle."""
+over topics, and p_z, a list. A word or document is one row whatever the number of topics. Counts are packed once into blocks
+of documents; an iteration sends each block the rows of both tables that it needs and takes both aggregates in one pass."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.tables import dropped, written
 
@@ -84,24 +88,118 @@ def log_likelihood(counts: DataFrame, model: Model) -> float:
     return float(row[0])
 
 
-def em_step(counts: DataFrame, model: Model) -> Model:
-    """One iteration, from two joins of counts with both tables, one for each aggregate; only rows of terms and of documents
-    are written, never a row a count. The likelihood it adds is that of the parameters it came from. Documents without counts stay or become
-    uniform by smoothing."""
+#: Counts of a block of documents; one longer document is a block of its own.
+BLOCK_COUNTS = 100_000
+
+
+def packed(counts: DataFrame) -> DataFrame:
+    """counts as a written table of blocks of documents: docs, where each one's counts start (first), the block's terms, and
+    for each count the term's place and the number. The only time that counts are dealt by document."""
+    kind = counts.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        held: pa.Table | None = None
+
+        def block(t: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            doc, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("doc_id", "term"))
+            at = doc.indices.to_numpy()
+            first = np.searchsorted(at, np.arange(len(doc.dictionary) + 1)).astype(np.int32)
+            number += 1
+            one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(doc.dictionary, arrow), one(first, pa.int32()), one(term.dictionary, pa.string()), one(term.indices.to_numpy().astype(np.int32), pa.int32()), one(t.column("cnt").to_numpy().astype(np.float64), pa.float64())], names=["block", "docs", "first", "terms", "place", "cnt"])
+
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
+            while held.num_rows > BLOCK_COUNTS:
+                ids = held.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
+                ends = np.flatnonzero(ids[1:] != ids[:-1]) + 1  # the last document may go on in the next batch
+                if not len(ends):
+                    break
+                cut = int(ends[max(0, np.searchsorted(ends, BLOCK_COUNTS, side="right") - 1)])
+                yield block(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield block(held)
+
+    by_doc = counts.select("doc_id", "term", F.col("cnt").cast("double").alias("cnt")).where("doc_id IS NOT NULL AND term IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id")
+    return written(by_doc.mapInArrow(pack, f"block long, docs array<{kind.simpleString()}>, first array<int>, terms array<string>, place array<int>, cnt array<double>"), "plsa-blocks")
+
+
+def _meeting(blocks: DataFrame, model: Model, p_zd: DataFrame) -> DataFrame:
+    """What a step needs of each block, in order: rows of P(w|z) for its terms, its documents' P(z|d), and the block itself.
+    Only terms of blocks are dealt by term, once a block, and counts go through one exchange, by block."""
+    none = lambda kind: F.lit(None).cast(kind)
+    words = blocks.select("block", F.posexplode("terms").alias("at", "term")).join(model.p_wz, "term").select("block", F.lit(0).alias("kind"), "at", "p", none("array<int>").alias("first"), none("array<string>").alias("terms"), none("array<int>").alias("place"), none("array<double>").alias("cnt"))
+    docs = blocks.select("block", F.posexplode("docs").alias("at", "doc_id")).join(p_zd.select("doc_id", "p"), "doc_id")
+    docs = docs.select("block", F.lit(1).alias("kind"), "at", "p", none("array<int>").alias("first"), none("array<string>").alias("terms"), none("array<int>").alias("place"), none("array<double>").alias("cnt"))
+    body = blocks.select("block", F.lit(2).alias("kind"), none("int").alias("at"), none("array<double>").alias("p"), "first", "terms", "place", "cnt")
+    return words.unionByName(docs).unionByName(body).repartition("block").sortWithinPartitions("block", "kind")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """(block, rows of P(w|z), rows of P(z|d), first, terms, place, cnt) of sorted rows of _meeting; missing rows are zero."""
+    last: int | None = None
+    got: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    for batch in batches:
+        block, kind, at = (batch.column(c).fill_null(-1).to_numpy() for c in ("block", "kind", "at"))
+        change = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+        for p, q in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
+            if block[p] != last:
+                last, got = int(block[p]), [[], []]
+            if kind[p] < 2:
+                got[kind[p]].append((at[p:q], batch.column("p").slice(p, q - p).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)))
+                continue
+            of = lambda c, p=p, batch=batch: batch.column(c)[p].values
+            first, terms, place, cnt = of("first").to_numpy(), of("terms"), of("place").to_numpy(), of("cnt").to_numpy()
+            tables = []
+            for n, found in zip((len(terms), len(first) - 1), got, strict=True):
+                x = np.zeros((n, k))
+                for i, rows in found:
+                    x[i] = rows
+                tables.append(x)
+            yield last, *tables, first, terms, place, cnt
+
+
+def em_step(counts: DataFrame, model: Model, blocks: DataFrame | None = None) -> Model:
+    """One iteration. Blocks of counts meet the rows of P(w|z) and P(z|d) that they need, and one pass over them gives both
+    aggregates: a row a document, and a row a block and term, which are added up by term. The likelihood it adds is that of
+    the parameters it came from. Documents without counts stay or become uniform by smoothing."""
     k, o = model.options.topics, model.options
-    e = posteriors(counts, model).withColumn("post", F.transform("joint", lambda x: F.col("cnt") * x / F.col("mix")))
-    share = lambda i: F.col("post")[i]
-    by_term = e.groupBy("term").agg(*_sums(k, of=share)).select("term", _array(k, o.beta).alias("p"))
+    own = blocks if blocks is not None else packed(counts)
+    kind = counts.schema["doc_id"].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, pw, pd, first, terms, place, cnt in _blocks(batches, k):
+            post = pw[place] * np.repeat(pd, np.diff(first), axis=0)
+            mix = post.sum(1)
+            used = (pw.any(1))[place] & (np.repeat(pd.any(1), np.diff(first)))  # counts of unknown terms or documents take no part
+            with np.errstate(divide="ignore", invalid="ignore"):
+                post *= np.where(used, cnt / mix, 0.0)[:, None]
+                ll = np.where(used, cnt * np.log(mix), 0.0).sum()
+            by_doc = np.add.reduceat(post, first[:-1], axis=0) + o.alpha
+            by_doc /= by_doc.sum(1, keepdims=True)
+            by_term = np.stack([np.bincount(place, weights=post[:, z], minlength=len(terms)) for z in range(k)], 1)
+            n = len(first) - 1
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(n + len(terms) + 1, dtype=np.int32) * k), pa.array(np.concatenate([by_doc, by_term]).reshape(-1)))
+            sums = lambda x: pa.array([x] + [None] * (n + len(terms) - 1), pa.float64())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + len(terms), block)), pa.array([*range(n), *[None] * len(terms)], pa.int32()), pa.concat_arrays([pa.nulls(n, pa.string()), terms]), rows, sums(float(ll)), sums(float(cnt[used].sum()))], names=["block", "at", "term", "p", "ll", "n"])
+
+    found = written(_meeting(own, model, model.p_zd).mapInArrow(step, "block long, at int, term string, p array<double>, ll double, n double"), "plsa-step")
+    by_term = found.where("term IS NOT NULL").groupBy("term").agg(*_sums(k, of=lambda i: F.col("p")[i])).select("term", _array(k, o.beta).alias("p"))
     by_term = written(by_term, "plsa-terms")
     p_wz = written(normalized_by_topic(by_term, k), "plsa-pwz")
     dropped(by_term)
-    by_doc = e.groupBy("doc_id").agg(*_sums(k, of=share), F.sum(F.col("cnt") * F.log("mix")).alias("ll"), F.sum("cnt").alias("n")).select("doc_id", _normalized(_array(k, o.alpha)).alias("q"), "ll", "n")
+    by_doc = own.select("block", F.posexplode("docs").alias("at", "doc_id")).join(found.where("at IS NOT NULL").select("block", "at", "p"), ["block", "at"]).select("doc_id", F.col("p").alias("q"))
     uniform = F.array(*[F.lit(1.0 / k)] * k)
-    whole = written(model.p_zd.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("q", uniform).alias("p"), "ll", "n"), "plsa-pzd")
-    likelihood = whole.agg(F.sum("ll") / F.sum("n")).first()[0]
-    p_zd = whole.select("doc_id", "p")
-    p_zd.table_path = whole.table_path
-    return replace(model, p_wz=p_wz, p_zd=p_zd, likelihoods=(*model.likelihoods, float(likelihood)))
+    p_zd = written(model.p_zd.select(F.col("doc_id").cast(kind).alias("doc_id")).join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("q", uniform).alias("p")), "plsa-pzd")
+    likelihood = found.agg(F.sum("ll") / F.sum("n")).first()[0]
+    dropped(found, *([own] if blocks is None else []))
+    return replace(model, p_wz=p_wz, p_zd=p_zd, likelihoods=(*model.likelihoods, float("nan") if likelihood is None else float(likelihood)))
 
 
 def fit(counts: DataFrame, labels: DataFrame, options: Options, held_out: DataFrame | None = None) -> Model:
@@ -109,17 +207,24 @@ def fit(counts: DataFrame, labels: DataFrame, options: Options, held_out: DataFr
     if held_out is not None:
         counts = counts.join(held_out.select("doc_id"), "doc_id", "left_anti")
     counts = written(counts, "plsa-counts")
-    model, slow = initialize(counts, labels, options), 0
+    model, slow, blocks = initialize(counts, labels, options), 0, packed(counts)
     for _ in range(options.max_iter):
-        before, model = model, em_step(counts, model)
+        before, model = model, em_step(counts, model, blocks)
         dropped(before.p_wz, before.p_zd)
-        if len(model.likelihoods) > 1:
-            slow = slow + 1 if model.likelihoods[-1] - model.likelihoods[-2] < options.tolerance else max(0, slow - 1)
-            if slow >= options.patience:
-                break
+        slow = patience(slow, model.likelihoods, options)
+        if slow >= options.patience:
+            break
+    dropped(blocks)
     return replace(model, p_z=topic_mass(counts, model))
 
 
+def patience(slow: int, likelihoods: tuple[float, ...], options: Options) -> int:
+    """The stop rule's count after an iteration: up for a gain below the tolerance, down to 0 for any other."""
+    if len(likelihoods) < 2:
+        return slow
+    return slow + 1 if likelihoods[-1] - likelihoods[-2] < options.tolerance else max(0, slow - 1)
+
+
 def topic_mass(counts: DataFrame, model: Model) -> list[float]:
     """P(z), smoothed, from words of documents and their posteriors."""
     k, alpha = model.options.topics, model.options.alpha
@@ -134,15 +239,30 @@ def p_w(model: Model) -> DataFrame:
 
 
 def fold_in(counts: DataFrame, model: Model, iterations: int = 20) -> DataFrame:
-    """Posteriors of new documents: EM on P(z|d) alone."""
+    """(doc_id, p) of new documents: EM on P(z|d) alone, from uniform. A block's counts meet their rows of P(w|z) once, and all
+    iterations run on them where they met. Words that the model does not know take no part."""
     k, alpha = model.options.topics, model.options.alpha
-    docs = counts.select("doc_id").distinct()
-    p_zd = docs.select("doc_id", F.array(*[F.lit(1.0 / k)] * k).alias("p"))
-    for _ in range(iterations):
-        e = posteriors(counts, replace(model, p_zd=p_zd))
-        got = e.groupBy("doc_id").agg(*_sums(k, of=lambda i: F.col("cnt") * F.col("joint")[i] / F.col("mix"))).select("doc_id", _normalized(_array(k, alpha)).alias("q"))
-        p_zd = written(docs.join(got, "doc_id", "left").select("doc_id", F.coalesce("q", F.array(*[F.lit(1.0 / k)] * k)).alias("p")), "plsa-fold")
-    return p_zd
+    blocks = packed(counts)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, pw, pd, first, _, place, cnt in _blocks(batches, k):
+            lengths, weight = np.diff(first), np.where(pw.any(1)[place], cnt, 0.0)
+            row = pw[place]
+            pd[:] = 1.0 / k
+            for _ in range(iterations):
+                joint = row * np.repeat(pd, lengths, axis=0)
+                mix = joint.sum(1)
+                joint *= np.divide(weight, mix, out=np.zeros_like(mix), where=weight > 0)[:, None]
+                pd = np.add.reduceat(joint, first[:-1], axis=0) + alpha
+                pd /= pd.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pd), block)), pa.array(np.arange(len(pd), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(pd) + 1, dtype=np.int32) * k), pa.array(pd.reshape(-1)))], names=["block", "at", "p"])
+
+    none = blocks.select(F.explode("docs").alias("doc_id"), F.lit(None).cast("array<double>").alias("p")).limit(0)
+    found = _meeting(blocks, model, none).mapInArrow(fold, "block long, at int, p array<double>")
+    got = blocks.select("block", F.posexplode("docs").alias("at", "doc_id")).join(found, ["block", "at"]).select("doc_id", "p")
+    out = written(got, "plsa-fold")
+    dropped(blocks)
+    return out
 
 
 def jackknife(counts: DataFrame, labels: DataFrame, folds: DataFrame, n: int, options: Options) -> list[float]:
