@@ -4,7 +4,7 @@ Lines are hashed after lower-casing, trimming and collapsing white space. For ea
 that hold a line are counted; copies of one text count as one document, so a copied clean text is left to deduplication.
 A line is above the limits when it is in more than `min_docs` documents and in more than `max_share` of the host's
 distinct documents, or in more than `max_docs` documents of a host of any size. Such lines are removed from the text, and a
-document that keeps less than `min_left` of its words is rejected; so is one that fails the base rules. Figures and base
+document that keeps less than `min_left` of its words (half: most of it is boilerplate) is rejected; so is one that fails the base rules. Figures and base
 rules are about the text as it came.
 
 Null and empty texts: all figures 0, base_failed. Null hosts are one host of their own. Rows are told apart by a row
@@ -71,7 +71,7 @@ class Limits:
     max_share: float = 0.1
     min_docs: int = 5
     max_docs: int = 10_000
-    min_left: float = 0.2
+    min_left: float = 0.5
 
 
 def depleted(limits: Limits) -> Column:

@@ -315,6 +315,16 @@ def test_frequent_lines(spark):
     assert kept.count() == 91 and kept.columns == ["doc_id", "text", "source"]
 
 
+def test_documents_that_are_mostly_shared_lines_are_rejected(spark):
+    """The verdict of the method alone, by brute force: base rules pass, and it hangs on the share of words that are left."""
+    line = "please subscribe to our weekly newsletter and never miss a story again"  # 12 words, in 31 of 131 texts
+    rows = [(i, line + "\n" + " ".join(f"own{i}x{k}" for k in range(i)), "h") for i in range(31)] + [(100 + i, " ".join(f"only{i}x{k}" for k in range(20)), "h") for i in range(100)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    rejected = {i for i in got if not got[i].kept}
+    assert rejected == {i for i in range(31) if i < 0.5 * (i + 12)} and not any(r.base_failed for r in got.values()) and 5 < len(rejected) < 31
+    assert {r.doc_id for r in quality_rules.quality_filter(frame(spark, rows)).collect()} == got.keys() - rejected
+
+
 def test_lines_are_removed(spark):
     """The filter's texts, by brute force over hosts, lines and distinct texts."""
     rng = np.random.default_rng(3)
