@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stem, text
 from ..operators import cluster, counts, evaluate, langid, plsa, similarity, summary, weights
-from ..sources import readers
+from ..sources import files, readers
 from ..sources.tables import shared_dir, table, written
 from ..streaming import filters
 from .sql import ALPHA, BETA, CTES, DF_CUT, K, TF_CUT, chain, folded, query, topic_text
@@ -534,7 +534,15 @@ def _ranked_words(spark: SparkSession, d: str) -> DataFrame:
 register("signature_words")(lambda s, d: summary.signature_words(model(s, d)[1]))
 register("summary_tsv")(lambda s, d: summary.summary_lines(summary.summary(model(s, d)[1])))
 register("package_topics")(lambda s, d: summary.package_topics(summary.summary(model(s, d)[1])))
-register("lm_matrix")(lambda s, d: summary.lm_matrix(model(s, d)[1]))
+register("lm_matrix", "SELECT z, string_agg(format('{:e}', p), ' ' ORDER BY term) AS line FROM wz1 GROUP BY z")(lambda s, d: summary.lm_matrix(model(s, d)[1]))
+
+
+@register("lm_matrix_file", "SELECT z, (row_number() OVER (PARTITION BY z ORDER BY term) - 1)::INTEGER AS idx, format('{:e}', p)::DOUBLE AS p FROM wz1")
+def _lm_matrix_file(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix as one file that tasks wrote value by value, and read back."""
+    path = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    files.write_lm_matrix(plsa.long(model(spark, d)[1].p_wz, "term"), K, path)
+    return files.read_lm_matrix(spark, path)
 
 
 @register("d2z", "SELECT doc_id, string_agg(printf('%.6f', zd1.p), chr(9) ORDER BY rank) AS line FROM zd1 JOIN sco USING (z) GROUP BY doc_id")
@@ -549,6 +557,15 @@ def _package_docs(spark: SparkSession, d: str) -> DataFrame:
     return summary.package_docs(m, summary.topic_scores(m)).select("doc_id", "top_topic", F.round(F.array_max("topic_probabilities"), 6).alias("top_p"))
 
 
+@register("topic_document", "SELECT doc_id, (arg_max(rank, (zd1.p, -rank)) - 1)::INTEGER AS top_topic, round(max(zd1.p), 6) AS top_p FROM zd1 JOIN sco USING (z) GROUP BY doc_id")
+def _topic_document(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the one JSON document of topics and documents, written and read back."""
+    m, path = model(spark, d)[1], f"{shared_dir(spark)}/topics-{uuid.uuid4().hex}.json"
+    files.write_topic_document(summary.package_topics(written(summary.summary(m), "topics")), summary.package_docs(m, summary.topic_scores(m)), path)
+    found = files.read_topic_document(spark, path)[1]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "top_topic", F.round(F.array_max("topic_probabilities"), 6).alias("top_p"))
+
+
 @register("topic_entropy", f"SELECT {s6('-sum(p * ln(p))', 'entropy')} FROM (SELECT z, avg(p) AS p FROM zd1 GROUP BY z)")
 def _topic_entropy(spark: SparkSession, d: str) -> DataFrame:
     return summary.topic_entropy(model(spark, d)[1]).select(r6("entropy").alias("entropy"))
@@ -572,7 +589,7 @@ register("joint_z_t", "SELECT z, label, round(n, 4) AS n FROM jc")(lambda s, d:
 register("p_t_given_z", f"SELECT z, label, {s6('n / sum(n) OVER (PARTITION BY z)', 'p')} FROM jc")(lambda s, d: evaluate.given(joint(s, d), "z").select("z", "label", r6("p").alias("p")))
 register("p_z_given_t", f"SELECT z, label, {s6('n / sum(n) OVER (PARTITION BY label)', 'p')} FROM jc")(lambda s, d: evaluate.given(joint(s, d), "label").select("z", "label", r6("p").alias("p")))
 register("z2t_counts", "SELECT label, string_agg(printf('%.4f', n), chr(9) ORDER BY rank) AS line FROM jc JOIN sco USING (z) GROUP BY label")(lambda s, d: z2t(s, d))
-register("true_topics_line")(lambda s, d: evaluate.true_topics(joint(s, d)))
+register("true_topics_line", "SELECT z, string_agg(printf('%s:%.1f', label, 100 * p), ' ' ORDER BY r) AS line FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY p DESC, label) AS r FROM (SELECT z, label, n / sum(n) OVER (PARTITION BY z) AS p FROM jc)) WHERE r = 1 OR p >= 0.075 GROUP BY z")(lambda s, d: evaluate.true_topics(joint(s, d)))
 
 
 def z2t(spark: SparkSession, d: str) -> DataFrame:
@@ -641,6 +658,23 @@ def dist(c: DataFrame, by: str) -> DataFrame:
     return c.groupBy(by).agg(F.count("*").alias("n"))
 
 
+@register("corpus_tree", "SELECT source AS domain, lang, count(*)::BIGINT AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY source, lang")
+def _corpus_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as lines of files in a folder tree by domain and language, and what the reader of such trees finds there."""
+    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    collapsed(spark, d).select(F.concat(F.lit("d-"), F.coalesce("source", F.lit("none"))).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), "text").write.partitionBy("domain", "lang").text(path)
+    found = files.read_corpus(spark, path, langs=["lang=en", "lang=de"]).select(F.substr("domain", F.lit(10)).alias("domain"), F.substr("lang", F.lit(6)).alias("lang"), (F.size(F.split("text", "\n")) - 1).alias("n"))
+    return found.groupBy("domain", "lang").agg(F.sum("n").cast("long").alias("n"))
+
+
+@register("line_counts", "SELECT count(*)::BIGINT AS lines, (max(strlen(text)) + 1)::BIGINT AS longest FROM doc")
+def _line_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts as lines of files, counted by byte ranges."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    collapsed(spark, d).select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return files.line_counts(spark, path).agg(F.sum("lines").alias("lines"), F.max("longest").alias("longest"))
+
+
 register("lang_dist", "SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang")(lambda s, d: dist(corpus(s, d), "lang"))
 register("domain_dist", "SELECT source AS domain, count(*)::BIGINT AS n FROM documents GROUP BY source")(lambda s, d: dist(corpus(s, d), "domain"))
 register("min_domain_langs", "SELECT lang, count(DISTINCT source)::BIGINT AS domains FROM documents GROUP BY lang HAVING count(DISTINCT source) >= 2")(lambda s, d: langid.min_domain_langs(corpus(s, d), 2))

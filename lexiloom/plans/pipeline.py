@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cluster, counts, evaluate, langid, plsa, summary, weights
-from ..sources import readers
+from ..sources import files, readers
 from ..sources.tables import written
 
 
@@ -37,7 +37,8 @@ def prepared(messages: DataFrame, lang_filter: str | None = None, lang: DataFram
 
 
 def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: float = 0.25, tf_cutoff: float = 3.0, seeds: str = "kmeans", seed: int = 1, stop: DataFrame | None = None, lang_filter: str | None = None, lang: DataFrame | None = None, lang_model: langid.LangidModel | None = None, truth: DataFrame | None = None) -> Result:
-    """With truth (doc_id, label) the report's lines have label purities and true topics."""
+    """With truth (doc_id, label) the report's lines have label purities and true topics. Every document that has counts needs a
+    label, and a label needs a message; otherwise it is an error."""
     options = options or plsa.Options()
     ready = prepared(messages, lang_filter, lang, lang_model)
     c = written(counts.term_counts(ready, text_col="msg_topic"), "counts")
@@ -49,7 +50,10 @@ def run(messages: DataFrame, options: plsa.Options | None = None, df_cutoff: flo
     labels = cluster.kmeans(kept, kept.select("term", "weight").distinct(), docs, options.topics, rounds, seed)
     model = plsa.fit(kept.select("doc_id", "term", "cnt"), labels, options)
     topics = written(summary.summary(model), "topics")
-    joint = evaluate.joint_counts(model, counts.doc_lengths(c), truth) if truth is not None else None
+    joint = None
+    if truth is not None:
+        silent = messages.select("doc_id").join(docs, "doc_id", "left_anti")  # messages without a word need no label
+        joint = evaluate.joint_counts(model, counts.doc_lengths(c), evaluate.checked_labels(model, truth.join(silent, "doc_id", "left_anti")))
     return Result(c, model, topics, summary.summary_lines(topics, joint), summary.d2z(model, topics))
 
 
@@ -70,15 +74,25 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-stop_list", help="file of words that are no features")
     p.add_argument("-lang_filter", default="none", help="language to keep")
     p.add_argument("-lang_model", help="folder of a saved language model, for -lang_filter")
+    p.add_argument("-truth", help="file with an id and its label on each line, for label purities and true topics in the summary")
+    p.add_argument("-lm_out", action="store_true", help="write the matrix of P(w|z) as one file")
+    p.add_argument("-json_out", action="store_true", help="write topics and documents as one JSON document")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     messages = readers.read_messages(spark, a.input_file, a.reader).withColumnRenamed("id", "doc_id")
     options = plsa.Options(a.num_topics, a.alpha, a.beta, a.max_iter, a.conv_threshold)
     stop = readers.parse_feature_lines(spark.read.text(a.stop_list)).select("term") if a.stop_list else None
     model = langid.load(spark, a.lang_model) if a.lang_model else None
-    got = run(messages, options, a.df_cutoff, a.tf_cutoff, a.seeds, a.seed, stop, a.lang_filter, lang_model=model)
+    truth = readers.parse_labelled_files(spark.read.text(a.truth)).select(F.col("path").alias("doc_id"), F.col("labels")[0].alias("label")) if a.truth else None
+    got = run(messages, options, a.df_cutoff, a.tf_cutoff, a.seeds, a.seed, stop, a.lang_filter, lang_model=model, truth=truth)
     readers.counts_lines(got.counts).select("line").write.mode("overwrite").text(f"{a.output_dir}/counts")
     got.lines.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{a.output_dir}/summary")
+    if truth is not None:
+        got.lines.orderBy("rank").select("true_topics").coalesce(1).write.mode("overwrite").text(f"{a.output_dir}/true_topics")
+    if a.lm_out:
+        files.write_lm_matrix(plsa.long(got.model.p_wz, "term"), a.num_topics, f"{a.output_dir}/lm")
+    if a.json_out:
+        files.write_topic_document(summary.package_topics(got.topics), summary.package_docs(got.model, got.topics), f"{a.output_dir}/topics.json")
     got.posteriors.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line")).write.mode("overwrite").text(f"{a.output_dir}/d2z")
     plsa.save(got.model, f"{a.output_dir}/model")
 

@@ -149,3 +149,69 @@ def test_lm_matrix_file(spark, tmp_path):
     text = (tmp_path / "lm").read_text()
     assert text == "".join(" ".join("%e" % p[z, f"w{i:03d}"] for i in range(150)) + "\n" for z in range(3))
     assert {(r.z, r.idx): r.p for r in files.read_lm_matrix(spark, path).collect()} == {(z, i): float("%e" % p[z, f"w{i:03d}"]) for z in range(3) for i in range(150)}
+
+
+def test_language_training_command(spark, tmp_path):
+    from lexiloom.operators import langid_train
+
+    for i in range(6):
+        for domain in ("news", "web"):
+            for lang, word in (("en", "thew"), ("de", "schö"), ("fr", "eaux")):
+                place = tmp_path / "corpus" / domain / lang
+                place.mkdir(parents=True, exist_ok=True)
+                (place / f"{i}").write_text(f"{word}{i} {word}, {word}'n\"\\{i}")
+    out = str(tmp_path / "out")
+    langid_train.main([str(tmp_path / "corpus"), out, "-ld_tokens", "30", "-langs", "en", "de"])
+    model = langid.load(spark, f"{out}/model")
+    assert {r.lang: r.n for r in langid_train.read_distribution(spark, f"{out}/languages").toDF("lang", "n").collect()} == {"en": 12, "de": 12}
+    assert {r.name: r.n for r in langid_train.read_distribution(spark, f"{out}/domains").collect()} == {"news": 12, "web": 12}
+    terms = {r.term for r in model.log_ptc.select("term").collect()}
+    assert {r.term for r in langid_train.read_features(spark, f"{out}/features").collect()} == terms and any("2C" in t or "27" in t for t in terms)
+    back = {r.term: (r.de, r.en) for r in langid_train.read_weights(spark, f"{out}/weights", ["de", "en"]).collect()}
+    want = {(r.term, r.lang): r.log_ptc for r in model.log_ptc.collect()}
+    assert back.keys() == terms and all(back[t] == (want[t, "de"], want[t, "en"]) for t in terms)
+    langid_train.main([str(tmp_path / "corpus"), f"{out}2", "-ld_feats", f"{out}/features", "-langs", "en", "de"])
+    again = {(r.term, r.lang): r.log_ptc for r in langid.load(spark, f"{out}2/model").log_ptc.collect()}
+    assert again == want
+    with pytest.raises(SystemExit, match="no files"):
+        langid_train.main([str(tmp_path / "corpus"), f"{out}3", "-langs", "xx"])
+
+
+def test_every_byte_has_a_literal(spark, tmp_path):
+    from lexiloom.operators import langid_train
+
+    terms = [f"{b:02X}" for b in range(256)] + ["2C2C2C", "272227", "5C6E"]
+    df = spark.createDataFrame([(t, float(i), None if i % 2 else 1.5) for i, t in enumerate(terms)], "term string, a double, b double")
+    langid_train.write_weights(df, str(tmp_path / "w"))
+    assert sorted(map(tuple, langid_train.read_weights(spark, str(tmp_path / "w"), ["a", "b"]).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert all(line.isprintable() for p in (tmp_path / "w").glob("part-*") for line in p.read_text().splitlines())
+
+
+def test_ingest_command(spark, tmp_path, capsys):
+    from lexiloom.sources import ingest, readers
+
+    (tmp_path / "in.txt").write_text("a\tone\nshort\nb\ttwo\na\tthree\n")
+    ingest.main([str(tmp_path / "in.txt"), str(tmp_path / "out")])
+    assert {tuple(r) for r in readers.load_messages(spark, str(tmp_path / "out")).collect()} == {("a", "three"), ("b", "two")}
+    assert "kept 75.00 percent" in capsys.readouterr().out
+    ingest.main([str(tmp_path / "in.txt"), str(tmp_path / "out"), "-debug", "1"])
+    assert capsys.readouterr().out.count('"msg"') == 1
+
+
+def test_analysis_command_with_truth(spark, tmp_path):
+    from lexiloom.plans import pipeline
+
+    lines = [f"d{i}\t" + ("the red apple tree grows tall near water. " if i % 2 else "some fast train line runs past stations. ") * (2 + i % 3) for i in range(16)]
+    (tmp_path / "in.txt").write_text("\n".join([*lines, "quiet\t.,;"]) + "\n")
+    (tmp_path / "truth.txt").write_text("".join(f"d{i} {'fruit' if i % 2 else 'rail'}\n" for i in range(16)) + "quiet none\n")
+    out = tmp_path / "out"
+    command = [str(tmp_path / "in.txt"), str(out), "-num_topics", "2", "-max_iter", "3", "-df_cutoff", "0.9", "-tf_cutoff", "1", "-truth", str(tmp_path / "truth.txt")]
+    pipeline.main([*command, "-lm_out", "-json_out"])
+    shown = [x for p in (out / "true_topics").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(s.split(":")[0] for s in shown) == ["fruit", "rail"]
+    whole = json.loads((out / "topics.json").read_text())
+    assert len(whole["topics"]) == 2 and set(whole["document_topics"]) >= {f"d{i}" for i in range(16)}
+    assert len((out / "lm").read_text().splitlines()) == 2
+    (tmp_path / "truth.txt").write_text("d0 rail\n")
+    with pytest.raises(ValueError, match="differ"):
+        pipeline.main(command)
