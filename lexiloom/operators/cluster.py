@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -203,3 +203,30 @@ def save_tree(spark: SparkSession, nodes: list[Node], path: str) -> None:
 def load_tree(spark: SparkSession, path: str) -> list[Node]:
     """The nodes of a saved tree, which has twice MAX_ITEMS at most."""
     return [Node(*r) for r in spark.read.parquet(path).select("node", "left", "right", "height", "leaves").orderBy("node").collect()]
+
+
+def scaled(nodes: list[Node]) -> list[Node]:
+    """The tree with heights as shares of the largest; a tree without height stays as it is."""
+    top = max((n.height for n in nodes), default=0.0)
+    return [replace(n, height=n.height / top) for n in nodes] if top > 0 else list(nodes)
+
+
+def sorted_heights(nodes: list[Node]) -> list[float]:
+    """Heights of the inner nodes, the largest first."""
+    return sorted((n.height for n in nodes[(len(nodes) + 1) // 2 :]), reverse=True)
+
+
+def printed(nodes: list[Node], labels: list[str]) -> list[str]:
+    """A line a node from the root down, indented by depth: an inner node's height and number of leaves, or a leaf's label,
+    padded to the longest one, and its number."""
+    if len(labels) != (len(nodes) + 1) // 2:
+        raise ValueError("labels and leaves differ")
+    width, out = max(map(len, labels), default=0), []
+    todo = [(len(nodes) - 1, 0)] if nodes else []
+    while todo:
+        i, depth = todo.pop()
+        n = nodes[i]
+        out.append("  " * depth + (f"{labels[i]:<{width}} {i}" if n.left < 0 else f"{n.height:.4f} ({n.leaves})"))
+        if n.left >= 0:
+            todo += [(n.right, depth + 1), (n.left, depth + 1)]
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,3 +90,23 @@ def topic_ranks(distances: DataFrame) -> DataFrame:
     """Each topic's ranks of all topics by distance, itself first among equals."""
     order = Window.partitionBy("i").orderBy("value", (F.col("i") != F.col("j")).cast("int"), "j")
     return distances.select("i", "j", F.row_number().over(order).cast("int").alias("rank"))
+
+
+def save_distances(distances: DataFrame, labels: DataFrame, path: str) -> None:
+    """Writes a complete matrix (i, j, value) and its items' labels (i, label)."""
+    distances.select("i", "j", "value").write.mode("overwrite").parquet(f"{path}/matrix")
+    labels.select("i", "label").write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def load_distances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables. A matrix that is not square, or labels that are not one for each of its items, are errors."""
+    matrix, labels = spark.read.parquet(f"{path}/matrix"), spark.read.parquet(f"{path}/labels")
+    sides = matrix.groupBy("i").agg(F.count("*").alias("n"), F.countDistinct("j").alias("others"))
+    named = labels.groupBy("i").agg(F.count("*").alias("named"))
+    met = sides.join(named, "i", "full").agg(F.count("n").alias("rows"), F.count("named").alias("labels"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("others").alias("others"), F.max("named").alias("twice"), F.sum((F.col("n").isNull() | F.col("named").isNull()).cast("int")).alias("lost")).first()
+    columns = matrix.select("j").distinct().count()
+    if met.rows and not (met.least == met.most == met.others == met.rows == columns):
+        raise ValueError("the matrix is not square")
+    if met.lost or (met.twice or 1) > 1:
+        raise ValueError("labels and items of the matrix differ")
+    return matrix, labels

@@ -464,7 +464,9 @@ register("tree_best")(lambda s, d: cluster.tree_table(s, topic_tree(s, d, "max")
 def _agglomerative_labels(spark: SparkSession, d: str) -> DataFrame:
     """Sources, each as one document of all its words, by average linkage of log cosine distances."""
     c = pc(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("doc_id"), "term").agg(F.sum(F.col("cnt") * F.col("weight")).alias("value"))
-    names = [r[0] for r in c.select("doc_id").distinct().orderBy("doc_id").collect()]
+    names = [r[0] for r in c.select("doc_id").distinct().orderBy("doc_id").limit(cluster.MAX_ITEMS + 1).collect()]  # more are an error of the tree's
+    if len(names) > cluster.MAX_ITEMS:
+        raise ValueError(f"more than {cluster.MAX_ITEMS} sources")
     at = {n: i for i, n in enumerate(names)}
     place = spark.createDataFrame(list(at.items()), "name string, at int")
     pairs = similarity.log_distance(similarity.square(c.select("doc_id").distinct(), similarity.cosine(c, c), "doc_id"))
