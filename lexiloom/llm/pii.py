@@ -1,10 +1,11 @@
 """Personal data: base spans by pattern, and spans that a character-level BiLSTM with CRF transitions adds.
 
 The tagger is trained in numpy from labelled spans; by default these are invented lines with e-mail addresses, IP
-addresses, card and phone numbers in several ways of writing, and with numbers that are none of these. A text is cut into
-overlapping windows over its whole length. A span of any kind holds a digit or an @, so windows without either can only
-decode to O and are passed over. Decoded spans are checked (digits, parts, Luhn) and reconciled over the whole text: base
-spans stay; of the others, those found far from a window's edge go first, and none may touch a span that stands.
+addresses, card and phone numbers in several ways of writing, also in those that the patterns miss (addresses spelled out or
+in brackets, phones without a plus, cards with dots), and with numbers that are none of these. A text is cut into overlapping
+windows over its whole length, and every window is decoded. Decoded spans are checked (digits, parts, Luhn, once marks in
+words or brackets are put back) and reconciled over the whole text: base spans stay; of the others, those found far from a
+window's edge go first, and none may touch a span that stands.
 
 Null and empty texts have no spans; repeated rows are searched each. Empty tables give empty results; other columns and
 their names don't matter."""
@@ -35,8 +36,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile("[0-9@]")
-WINDOW, STRIDE = 128, 64
+# Ways to write the marks of addresses out.
+AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+", re.IGNORECASE)
+DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", re.IGNORECASE)
+SAMPLE, WINDOW, STRIDE = 128, 512, 448
+AT_ONCE = 768  # windows of one call of the decoder
 
 Span = tuple[int, int, str]
 
@@ -50,6 +54,9 @@ def luhn(digits: str) -> bool:
 
 
 def valid(kind: str, s: str) -> bool:
+    given = s
+    if kind in ("email", "ip"):
+        s = DOT.sub(".", AT.sub("@", s) if kind == "email" else s)
     digits = re.sub("[^0-9]", "", s)
     if kind == "ip":
         parts = s.split(".")
@@ -58,7 +65,8 @@ def valid(kind: str, s: str) -> bool:
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    return bool(EMAIL.fullmatch(s)) or bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", s))
+    # Addresses in plain signs may hold any letters; those spelled out must give what the base pattern takes.
+    return bool(EMAIL.fullmatch(s)) or s == given and bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", s))
 
 
 def emails(text: str) -> list[Span]:
@@ -86,14 +94,9 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    found: set[int] = set()
-    for m in TRIGGER.finditer(text):
-        at = m.start() // STRIDE
-        found.update(k for k in (at - 1, at) if 0 <= k <= last)
-    return [k * STRIDE for k in sorted(found)]
+def windows_of(length: int) -> range:
+    """Starts of a text's windows; the last one reaches its end."""
+    return range(0, max(0, -(-(length - WINDOW) // STRIDE)) * STRIDE + 1, STRIDE) if length else range(0)
 
 
 def spans_of(labels: np.ndarray) -> list[Span]:
@@ -124,7 +127,7 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, Span]]) -> lis
         whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
         at = bisect.bisect_left(taken, (a, a))
         free = (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a)
-        if whole and free and TRIGGER.search(text, a, b) and valid(kind, text[a:b]):
+        if whole and free and valid(kind, text[a:b]):
             taken.insert(at, (a, b))
             out.append((a, b, kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
@@ -133,13 +136,15 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, Span]]) -> lis
 def tag(texts: list[str], tagger: bilstm.Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    places = [(i, a) for i, t in enumerate(texts) for a in windows_of(t)]
     found: list[list[tuple[int, Span]]] = [[] for _ in texts]
-    for low in range(0, len(places), 512):
-        part = places[low : low + 512]
-        x = np.full((len(part), WINDOW), PAD, np.int64)
+    points = [bilstm.codes(t) for t in texts]
+    places = [(i, a) for i, c in enumerate(points) for a in windows_of(len(c))]
+    places.sort(key=lambda p: -min(WINDOW, len(points[p[0]]) - p[1]))  # windows of one length go together, with little to fill
+    for low in range(0, len(places), AT_ONCE):
+        part = places[low : low + AT_ONCE]
+        x = np.full((len(part), min(WINDOW, len(points[part[0][0]]) - part[0][1])), PAD, np.uint8)
         for row, (i, a) in enumerate(part):
-            c = bilstm.codes(texts[i][a : a + WINDOW])
+            c = points[i][a : a + WINDOW]
             x[row, : len(c)] = c
         y = tagger.decode(x)
         for row in np.flatnonzero(y.any(axis=1)):
@@ -153,7 +158,7 @@ def tag(texts: list[str], tagger: bilstm.Tagger) -> list[tuple[list[Span], list[
     return [(b, reconcile(t, b, f)) for t, b, f in zip(texts, base, found, strict=True)]
 
 
-def labelled_samples(n: int = 1500, seed: int = 3) -> list[tuple[str, list[Span]]]:
+def labelled_samples(n: int = 2500, seed: int = 3) -> list[tuple[str, list[Span]]]:
     """Invented lines and their spans. Half of the numbers in them are no personal data."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -172,17 +177,26 @@ def labelled_samples(n: int = 1500, seed: int = 3) -> list[tuple[str, list[Span]
         a, b, c = digits(3), digits(3), digits(4)
         return pick([f"+{pick('123456789')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{pick(['44', '49', '33', '34'])} {a} {b} {c}", f"{a}.{b}.{c}"])
 
+    def spelled() -> str:
+        at = pick([" at ", " AT ", " [at] ", "[at]", " (at) ", "(at)", " {at} "])
+        dot = pick([" dot ", " DOT "] if at.strip().isalpha() else [" dot ", " [dot] ", "[dot]", " (dot) ", "(dot)", "."])
+        names = [plain(3, 9), *([plain(3, 7)] if rng.random() < 0.3 else [])]
+        return pick([".", "_", dot]).join(names) + pick(["", "", digits(2)]) + at + plain(3, 9) + dot + pick(["com", "org", "net", "de", f"co{dot}uk", "edu", "io"])
+
+    def address() -> str:
+        return pick([".", ".", ".", "[.]", "(.)", " dot "]).join(str(x) for x in rng.integers(0, 256, 4))
+
     make = {
-        "email": lambda: f"{plain()}{pick(['', '.', '_', '+'])}{plain(1, 6)}{pick(['', '.' + digits(2), digits(2)])}@{plain(3, 9)}{pick(['', digits(1)])}.{pick(['com', 'org', 'net', 'example.com', 'de'])}",
-        "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
+        "email": lambda: spelled() if rng.random() < 0.5 else f"{plain()}{pick(['', '.', '_', '+'])}{plain(1, 6)}{pick(['', '.' + digits(2), digits(2)])}@{plain(3, 9)}{pick(['', digits(1)])}.{pick(['com', 'org', 'net', 'example.com', 'de'])}",
+        "ip": address,
         "card": card,
         "phone": phone,
     }
-    none = [lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: "AKIA" + "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), lambda: "password=" + "".join(pick("0123456789abcdef") for _ in range(18)), lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"version {digits(1)}", lambda: f"CC BY-NC {digits(1)}.0.", lambda: digits(int(rng.integers(1, 7))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)} %", lambda: f"page={digits(3)}", lambda: f"@{plain()}", lambda: f"{digits(3)},{digits(3)}"]
+    none = [lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: "AKIA" + "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), lambda: "password=" + "".join(pick("0123456789abcdef") for _ in range(18)), lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"version {digits(1)}", lambda: f"CC BY-NC {digits(1)}.0.", lambda: digits(int(rng.integers(1, 7))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(1)}.{digits(2)} %", lambda: f"page={digits(3)}", lambda: f"@{plain()}", lambda: f"{digits(3)},{digits(3)}", lambda: f"at {word()}", lambda: f"a dot {word()}", lambda: f"{word()} at {word()}.\n{word().capitalize()}", lambda: f"({word()})", lambda: f"[{word()}]"]
     out = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW - 30:
+        while len(text) < SAMPLE - 30:
             r = rng.random()
             if r < 0.12:
                 kind = pick(KINDS)
@@ -195,27 +209,28 @@ def labelled_samples(n: int = 1500, seed: int = 3) -> list[tuple[str, list[Span]
                 w = word()
                 text += w.capitalize() if rng.random() < 0.15 else w
             text += pick([" ", " ", " ", " ", ", ", ". ", ".\n"])
-        spans = [s for s in spans if s[1] <= WINDOW]
-        out.append((text[:WINDOW], spans))
+        spans = [s for s in spans if s[1] <= SAMPLE]
+        out.append((text[:SAMPLE], spans))
     return out
 
 
 def train(samples: list[tuple[str, list[Span]]], **options: float) -> bilstm.Tagger:
-    """A tagger from texts and their labelled spans; of each text its windows that hold a digit or an @."""
+    """A tagger from texts and their labelled spans, in pieces of SAMPLE characters."""
     xs, ys = [], []
     for text, spans in samples:
-        y = np.zeros(max(len(text), WINDOW), np.int64)
+        y = np.zeros(len(text), np.int64)
         for a, b, kind in spans:
             k = KINDS.index(kind)
             y[a], y[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
-        for a in windows_of(text):
-            c = bilstm.codes(text[a : a + WINDOW])
-            part = y[a : a + WINDOW]
-            if part[0] and part[0] % 2 == 0:  # a span that began before the window is not its own
+        c = bilstm.codes(text)
+        for a in range(0, len(text), SAMPLE):
+            part = y[a : a + SAMPLE]
+            if part[0] and part[0] % 2 == 0:  # a span that began before the piece is not its own
                 part = part.copy()
                 part[: int(np.argmax(np.concatenate([part % 2 == 1, [True]]) | np.concatenate([part == 0, [True]])))] = 0
-            xs.append(np.pad(c, (0, WINDOW - len(c)), constant_values=PAD))
-            ys.append(np.pad(part, (0, WINDOW - len(part))))
+            fill = (0, SAMPLE - len(part))
+            xs.append(np.pad(c[a : a + SAMPLE], fill, constant_values=PAD))
+            ys.append(np.pad(part, fill))
     return bilstm.train(np.stack(xs), np.stack(ys), **options)
 
 

@@ -529,7 +529,7 @@ def test_gradient_is_the_slope():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.train(pii.labelled_samples(900), steps=250)
+    return pii.default_tagger()
 
 
 def test_tagger_finds_held_out_spans(tagger):
@@ -542,6 +542,68 @@ def test_tagger_finds_held_out_spans(tagger):
     assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9
 
 
+WRITTEN = {  # lines by hand, and what the base patterns miss in them
+    "Write to maria dot lopez at hospital dot org before noon.": [("maria dot lopez at hospital dot org", "email")],
+    "Reach us: support [at] widgets [dot] com or call (212) 555-0187 today.": [("support [at] widgets [dot] com", "email"), ("(212) 555-0187", "phone")],
+    "The server 192[.]168[.]10[.]4 answers; see john_smith(at)mailbox.net": [("192[.]168[.]10[.]4", "ip"), ("john_smith(at)mailbox.net", "email")],
+    "Pay with 4111.1111.1111.1111 please": [("4111.1111.1111.1111", "card")],
+    "call 415-555-2671 now, or 030.123.4567": [("415-555-2671", "phone"), ("030.123.4567", "phone")],
+    "we met at home. dot it down at once, at noon or at 10:30 on 2024-01-02": [],
+    "Look at the dot com boom, a dot on the map; version 2.0.1 came at 9.30.": [],
+}
+
+
+def test_tagger_adds_what_the_patterns_miss(tagger):
+    for (text, wanted), (base, found) in zip(WRITTEN.items(), pii.tag(list(WRITTEN), tagger), strict=True):
+        assert [(text[a:b], k) for a, b, k in found if (a, b, k) not in base] == wanted, text
+
+
+def plain_tags(text, tagger):
+    """All spans by one window at a time, every path kept by a table, every pair of spans compared."""
+    start, move = bilstm.allowed()
+    move = move + tagger.params["m"]
+    found = {}
+    a = 0
+    while text:
+        piece = text[a : a + pii.WINDOW]
+        x = np.array([[ord(c) if ord(c) < 128 else bilstm.LETTER if c.isalpha() else bilstm.OTHER for c in piece]])
+        both = np.concatenate([tagger.states(x, "f")[0], tagger.states(x, "b")[0]], axis=2)[0]
+        e = both @ tagger.params["v"] + tagger.params["c"]
+        score, came = [list(e[0] + start)], []
+        for t in range(1, len(piece)):
+            came.append([max(range(bilstm.N_LABELS), key=lambda i: (score[-1][i] + move[i, j], -i)) for j in range(bilstm.N_LABELS)])
+            score.append([score[-1][i] + move[i, j] + e[t, j] for j, i in enumerate(came[-1])])
+        y = [max(range(bilstm.N_LABELS), key=lambda i: (score[-1][i], -i))]
+        for back in reversed(came):
+            y.append(back[y[-1]])
+        y = y[::-1]
+        for s in [i for i, label in enumerate(y) if label % 2 == 1]:
+            e_ = s + 1
+            while e_ < len(y) and y[e_] and y[e_] % 2 == 0:
+                e_ += 1
+            far = min(s if a else pii.WINDOW, pii.WINDOW - e_ if a + pii.WINDOW < len(text) else pii.WINDOW)
+            span = (a + s, a + e_, pii.KINDS[(y[s] - 1) // 2])
+            found[span] = max(far, found.get(span, 0))
+        if a + pii.WINDOW >= len(text):
+            break
+        a += pii.STRIDE
+    out = pii.base_spans(text)
+    for (a, b, kind), _ in sorted(found.items(), key=lambda f: (-f[1], f[0])):
+        inside = (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
+        if not inside and all(b <= p or q <= a for p, q, _ in out) and pii.valid(kind, text[a:b]):
+            out.append((a, b, kind))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_tags_by_brute_force(tagger):
+    samples = [t for t, _ in pii.labelled_samples(60, 91)]
+    texts = ["", "x", *WRITTEN, *samples[:10], "\n".join(samples[10:24]), "é中\ud800 ".join(samples[24:40]), "q " * 225 + "anna at firma dot de " + "r " * 300, "+1 " * 500, "".join(samples[40:60])]
+    got = [spans for _, spans in pii.tag(texts, tagger)]
+    assert got == [plain_tags(t, tagger) for t in texts]
+    assert [spans for t in texts for _, spans in pii.tag([t], tagger)] == got  # whatever else is in the block
+    assert sum(len(set(g) - set(pii.base_spans(t))) for t, g in zip(texts, got, strict=True)) > 20
+
+
 def test_pii_digest(spark, tagger):
     texts = {1: "mail a.b+c@x-y.example.com, now 10.0.300.1 or 10.0.0.1 and 4111 1111-1111 1111 é +1 (886) 555-7964.", 2: None, 3: "", 4: "1234567890123 none @ here", 5: ("x" * 300) + " 10.0.0.2 " + ("y" * 500) + " +49 30 1234567"}
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tagger=tagger)).collect()}
