@@ -458,6 +458,44 @@ def test_word_hashes_follow_words():
 # --- quality classifier and personal data
 
 
+def plain_figures(line, earlier):
+    words = WORD.findall(line)
+    n, c = max(len(words), 1), max(len(line), 1)
+    letters = sum(ch.isascii() and ch.isalpha() or ord(ch) >= 0xC0 for ch in line)
+    some = lambda marks: sum(ch in marks for ch in line)
+    return [
+        np.log1p(len(line)), np.log1p(len(words)), sum("A" <= ch <= "Z" for ch in line) / max(letters, 1), some("0123456789") / c, some("#*$%&<>@^~=+\\{}[]_") / n, some("|") / n, some("!?") / n,
+        some(".,;:") / n, sum(v == w for v, w in zip(words, words[1:], strict=False)) / n, 1 - len(set(words)) / n, len(line) / n, sum(ord(ch) > 127 for ch in line) / c, letters / c, float(line in earlier), float(len(words) < 8),
+    ]
+
+
+def plain_score(field, text):
+    """A text's score from all labelings of its lines, one by one."""
+    import itertools
+
+    lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")] or [""]
+    x = [(np.array(plain_figures(line, lines[:i])) - field.mean) / field.scale for i, line in enumerate(lines)]
+    none = np.zeros(crf_quality.N_FIGURES)
+    e = []
+    for i in range(len(x)):
+        before, after = x[i - 1] if i else none, x[i + 1] if i + 1 < len(x) else none
+        e.append(float(np.concatenate([x[i], before, after, [i == 0, i + 1 == len(x), 1]]) @ field.weights))
+    weight = {y: np.exp(sum(v for v, good in zip(e, y, strict=True) if good) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False))) for y in itertools.product((0, 1), repeat=len(e))}
+    long = [max(len(line), 1) for line in lines]
+    good = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(len(e))]
+    return sum(g * n for g, n in zip(good, long, strict=True)) / sum(long)
+
+
+def test_quality_scores_by_brute_force():
+    rng = np.random.default_rng(12)
+    texts = ["", " \n\t\n", "one", "A line.\nA line.\nother | line!!\n\nA line.", "é ü 中文 字\nÀ la carte, 12 12 12 %\n<b> #tag = {x}", "buy buy buy NOW\n" * 7, "the quick brown fox jumps over the lazy dog today\n 3.14 \nend", "a\tb\vc\fd\re\nx"]
+    field = crf_quality.Field(rng.normal(0.5, 0.2, 15), rng.uniform(0.5, 2, 15), rng.normal(0, 0.4, 48), rng.normal(0, 1, (2, 2)))
+    want = [plain_score(field, t) for t in texts]
+    np.testing.assert_allclose(field.score([t.encode() for t in texts]), want, atol=1e-9)
+    for t, w in zip(texts, want, strict=True):
+        assert abs(field.score([t.encode()])[0] - w) < 1e-9
+
+
 def test_marginals_are_those_of_all_labelings():
     rng = np.random.default_rng(4)
     e, moves, bounds = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 4, 5, 7])
