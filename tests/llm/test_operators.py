@@ -237,6 +237,33 @@ def test_targets():
     assert sum(got.values()) == pytest.approx(210) and all(got[s] <= 3 * n + 1e-9 for s, n in [("b", 100), ("a", 10), (None, 100), ("c", 0)])
 
 
+def test_cube_draws_by_brute_force():
+    """Means of many draws are the fractions, sums hold in every draw, landings stand against all ways and all exchanges."""
+    rng = np.random.default_rng(21)
+    p, size = rng.uniform(0.05, 0.95, 12), rng.integers(1, 60, 12).astype(float)
+    draws = []
+    for seed in range(4000):
+        q = mixing.fly(p, size, np.random.default_rng(seed))
+        assert ((q > 0) & (q < 1)).sum() <= 2 and abs(q.sum() - p.sum()) < 1e-6 and abs(q @ size - p @ size) < 1e-4
+        draws.append(q)
+    assert np.abs(np.mean(draws, axis=0) - p).max() < 5 * 0.5 / np.sqrt(len(draws))
+    for q in draws[:200]:
+        left = np.flatnonzero((q > mixing.EDGE) & (q < 1 - mixing.EDGE))
+        off = lambda x: abs(float((x - q) @ size))  # noqa: B023, E731
+        ways = []
+        for w in range(1 << len(left)):
+            x = np.round(q)
+            x[left] = [(w >> k) & 1 for k in range(len(left))]
+            ways.append(off(x))
+        got = mixing.land(q, size)
+        assert set(got) <= {0.0, 1.0} and off(got) <= min(ways) + 1e-9
+        for gone in np.flatnonzero(got == 1):
+            for come in np.flatnonzero(got == 0):
+                other = got.copy()
+                other[gone], other[come] = 0, 1
+                assert off(other) >= off(got) - 1e-6
+
+
 def test_mixing(spark, docs):
     d = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id * id % 113 as int)) as text", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('s', id % 5) end as source")
     a, b = (sorted(map(tuple, mixing.mix(d, block=200).drop("row").collect()), key=str) for _ in range(2))
