@@ -130,3 +130,47 @@ def test_stop_rule_counts_down_too():
         slow = plsa.patience(slow, tuple(likelihoods[:i]), o)
         seen.append(slow)
     assert seen == [0, 1, 2, 3, 2, 3, 4, 5, 4, 3, 2]
+
+
+def test_rows_of_a_step_have_no_null_lists(spark):
+    rows = corpus()
+    counts = spark.createDataFrame(rows, "doc_id string, term string, cnt double")
+    m, _, _ = model_of(spark, rows)
+    met = plsa._meeting(plsa.packed(counts), m, m.p_zd)
+    assert met.where("p IS NULL OR first IS NULL OR terms IS NULL OR place IS NULL OR cnt IS NULL").isEmpty()
+
+
+def test_counts_are_packed_once_for_a_model_and_its_likelihood(spark, monkeypatch, tmp_path):
+    from lexiloom.plans import catalogue
+
+    texts = [(i, " ".join(f"word{'abcdefgh'[(i * j) % 7]}{'xyz'[i % 3]}" for j in range(30)), "en", "s", 1) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    calls = []
+    packed = plsa.packed
+    monkeypatch.setattr(plsa, "packed", lambda *a, **b: calls.append(1) or packed(*a, **b))
+    assert len(catalogue.model(spark, str(tmp_path), 3)[1].likelihoods) == 3 and len(calls) == 1
+    catalogue.QUERIES["plsa_loglik"](spark, str(tmp_path)).collect()
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("most", [1, 5, 100_000])
+def test_slices_of_a_block_change_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(plsa, "SLICE_COUNTS", most)
+    rows = corpus(4)
+    counts = spark.createDataFrame(rows, "doc_id string, term string, cnt double")
+    m, wz, zd = model_of(spark, rows)
+    got = tables(plsa.em_step(counts, m))
+    want = step_by_hand(rows, wz, zd)
+    assert close(got[0], want[0]) and all(np.allclose(got[1][d], want[1][d]) for d in want[1] if d != "none")
+    assert plsa.log_likelihood(counts, m) == pytest.approx(want[2])
+    names = sorted({r[0] for r in rows})
+    labels = spark.createDataFrame([(d, i % K) for i, d in enumerate(names)], "doc_id string, z int")
+    first = plsa.initialize(counts, labels, OPTIONS)
+    z, p_wz = {d: i % K for i, d in enumerate(names)}, {t: np.full(K, OPTIONS.beta) for t in wz}
+    for d, t, c in rows:
+        p_wz[t][z[d]] += c
+    total = sum(p_wz.values())
+    p_wz, q = {t: x / total for t, x in p_wz.items()}, {d: np.zeros(K) for d in names}
+    for d, t, c in rows:
+        q[d] += c * p_wz[t] * first.p_z
+    assert close(tables(first)[0], p_wz) and close(tables(first)[1], {d: x / x.sum() for d, x in q.items()})
