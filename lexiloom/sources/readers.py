@@ -74,8 +74,10 @@ def counts_lines(counts: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def parse_counts_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Long counts (doc_id string, term, cnt) of counts lines; a count that is not finite is an error."""
-    parts = F.split(F.trim(F.col(value)), r"\s+")
-    exploded = lines.select(parts[0].alias("doc_id"), F.explode(F.slice(parts, 2, F.size(parts))).alias("pair"))
+    # A line is split inside the generator, once. A column of its parts beside explode() is made again for each pair, and then
+    # a line takes time quadratic in its length.
+    parts = F.transform(F.array(F.split(F.trim(F.col(value)), r"\s+")), lambda p: F.struct(p[0].alias("doc_id"), F.slice(p, 2, F.size(p)).alias("pairs")))
+    exploded = lines.select(F.explode(parts).alias("line")).select("line.doc_id", F.explode("line.pairs").alias("pair"))
     cnt = F.regexp_extract("pair", r"\|([^|]*)$", 1).cast("double")
     bad = F.isnan(cnt) | (F.abs(cnt) == float("inf")) | cnt.isNull()
     return exploded.select("doc_id", F.regexp_extract("pair", r"^(.*)\|[^|]*$", 1).alias("term"), F.when(bad, F.raise_error(F.lit("count is not finite"))).otherwise(cnt).alias("cnt"))
