@@ -143,7 +143,7 @@ def test_rows_of_a_step_have_no_null_lists(spark):
 def test_counts_are_packed_once_for_a_model_and_its_likelihood(spark, monkeypatch, tmp_path):
     from lexiloom.plans import catalogue
 
-    texts = [(i, " ".join(f"word{'abcdefgh'[(i * j) % 7]}{'xyz'[i % 3]}" for j in range(30)), "en", "s", 1) for i in range(60)]
+    texts = [(i, " ".join(f"word{'abcdefgh'[(i * j) % 7]}{'uvwxyz'[i % 6]}" for j in range(30)), "en", "s", 1) for i in range(60)]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     calls = []
     packed = plsa.packed
