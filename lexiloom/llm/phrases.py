@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import blocks, dropped, text_or_empty, written
 
 #: Bytes of text in a block, and bytes whose lists meet in one bucket, on average.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _FROM, _TO = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n"
 #: A-Z to a-z, a tab to a space, what ends a piece to a line feed.
 SIMPLER = bytes.maketrans(_FROM, _TO)
@@ -50,18 +50,19 @@ def word_lists(rows: DataFrame) -> DataFrame:
             known: dict[str, defaultdict[bytes, int]] = {}
             found: dict[str, list[np.ndarray]] = {}
             number: dict[str, int] = {}
-            for lang, row, text in zip(batch.column("lang").to_pylist(), batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for lang, row, text in zip(batch.column("lang").to_pylist(), batch.column("row").to_pylist(), (x.as_py() for x in batch.column("text").cast(pa.binary())), strict=True):  # one text at a time
                 if lang not in known:
                     known[lang] = defaultdict(count().__next__, {GAP: -1})  # refers to nothing of its own, so it goes at once
                     found[lang], number[lang] = [], row
                 words = text.translate(SIMPLER).replace(b"\n", b" . ").split()
                 words.append(GAP)
                 found[lang].append(np.fromiter(map(known[lang].__getitem__, words), np.int32, len(words)))
-            for lang, d in known.items():
-                ids = np.concatenate(found.pop(lang))
+            for lang in list(known):
+                d, ids = known.pop(lang), np.concatenate(found.pop(lang))
                 order = np.argsort(ids, kind="stable").astype(np.int32)
                 n = np.bincount(ids + 1, minlength=len(d))
                 words = [w.decode() for w in d if w != GAP]
+                del d, ids  # nothing but the lists is held while Spark reads them
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array([number[lang]], pa.int64()), pa.array([lang], pa.string()), pa.array([words], pa.list_(pa.string())), one(n[1:]), one(order[n[0] :])], names=["block", "lang", "words", "n", "at"])
 
