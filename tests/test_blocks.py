@@ -62,3 +62,40 @@ def test_terms_are_dealt_in_lists(spark):
         if d < 40:
             sums[t][d % 2] += c
     assert {r.term: r.p for r in plsa.label_sums(blocks, labels, 2).collect()} == dict(sums)
+
+
+def kmeans_by_hand(rows, weight, docs, label, k, rounds):
+    """label: (doc, z) rows; docs may repeat, and each row counts."""
+    for _ in range(rounds):
+        value = defaultdict(lambda: [0.0] * k)
+        for d, z in label:
+            for t, c in rows[d].items():
+                value[t][z] += c * weight.get(t, 0.0)
+        norm = [sum(v[z] ** 2 for v in value.values()) ** 0.5 for z in range(k)]
+        new = []
+        for d in docs:
+            scores = [round(sum(c * value[t][z] / norm[z] * weight.get(t, 0.0) for t, c in rows[d].items()) if norm[z] else 0.0, 9) for z in range(k)]
+            new.append((d, scores.index(max(scores))))
+        if sorted(new) == sorted(label):
+            break
+        label = new
+    return sorted(label)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 20])
+def test_kmeans_runs_over_blocks_that_are_packed_once(spark, monkeypatch, rounds):
+    import random
+
+    from lexiloom.operators import cluster
+
+    monkeypatch.setattr(plsa, "BLOCK_COUNTS", 20)
+    rng = random.Random(3)
+    rows = defaultdict(dict) | {d: {f"t{t}": float(rng.randint(1, 5)) for t in rng.sample(range(25), rng.randint(1, 6))} for d in range(40)}
+    weight = {f"t{t}": 0.5 + t / 10 for t in range(22)}  # three terms have none
+    docs = [*range(42), 7, 7, 8]  # two without counts, some more than once
+    start = [(0, 0), (5, 1), (9, 3)]  # cluster 2 is empty
+    calls, packed = [], plsa.packed
+    monkeypatch.setattr(plsa, "packed", lambda *a, **b: calls.append(1) or packed(*a, **b))
+    counts = spark.createDataFrame([(d, t, c) for d, r in rows.items() for t, c in r.items()], "doc_id long, term string, cnt double")
+    got = cluster.kmeans(counts, spark.createDataFrame(list(weight.items()), "term string, weight double"), spark.createDataFrame([(d,) for d in docs], "doc_id long"), 4, rounds, start=spark.createDataFrame(start, "doc_id long, z int"))
+    assert sorted((r.doc_id, r.z) for r in got.collect()) == kmeans_by_hand(rows, weight, docs, start, 4, rounds) and len(calls) == 1
