@@ -23,7 +23,7 @@ def by_hand():
     return {(i, w): float(n) for i, c in out.items() for w, n in c.items()}
 
 
-@pytest.mark.parametrize(("block", "size"), [(2_000_000, 4 << 20), (3, 4 << 20), (2_000_000, 1), (1, 1)])
+@pytest.mark.parametrize(("block", "size"), [(1_000_000, 2 << 20), (3, 2 << 20), (1_000_000, 1), (1, 1)])
 def test_texts_are_counted_where_they_are_packed(spark, monkeypatch, block, size):
     monkeypatch.setattr(plsa, "BLOCK_COUNTS", block)
     monkeypatch.setattr(plsa, "TEXT_BYTES", size)
