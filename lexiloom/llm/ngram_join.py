@@ -26,6 +26,7 @@ and no part in links; rows that share an id are one node. Empty tables give empt
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,12 @@ CELLS = 64
 SKETCH = [f"s{i}" for i in range(CELLS // 4)]
 #: Classes, shingles and columns of a block's matrix.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 1 << 20, 8192
+#: Ids that may be looked up without a filter before, and bits of such a filter at most.
+FEW, MOST_BITS = 1 << 14, 1 << 27
+#: Sets are kept by ranges of hashes; pairs are compared a range at a time, so that a shuffle holds that part of the sets.
+PARTS = ["set0", "set1", "set2", "set3"]
+#: Blocks apart of the pairs of blocks that are compared at a time: a set is sent to twice as many pairs at most.
+APART = 4
 
 
 @dataclass(frozen=True)
@@ -352,48 +359,72 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (doc_id) less most of those whose id is not among wanted (rep), by one bit of an id's hash in a row of bits that
+    is broadcast, 16 to 32 for each id: a join of what is left with a large table shuffles few other texts."""
+    n = wanted.count()
+    if n <= FEW:
+        return docs
+    bits = min(MOST_BITS, 1 << (16 * n).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    set_ = wanted.select(place("rep").alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("mask")).toArrow()
+    words = np.zeros(-(-bits // 64), np.int64)
+    words[set_.column("word").to_numpy()] = set_.column("mask").to_numpy()
+    row = docs.sparkSession.createDataFrame([(words.tolist(),)], "bits array<long>")
+    at = place("doc_id")
+    return docs.crossJoin(F.broadcast(row)).where(F.getbit(F.get("bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1).drop("bits")
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """rep, k1 and set (sorted 64-bit hashes, packed) of some classes (k1, k2, rep), read again from their documents."""
+    """A written table of rep, k1, k2, n and the set (sorted 64-bit hashes, packed, by PARTS) of some classes (k1, k2, rep),
+    read again from their documents."""
     # A table's size is known to the planner: below Spark's threshold it is broadcast and no text is shuffled.
     wanted = written(classes.select("rep").distinct(), "join-wanted")
-    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text")
+    rows = likely(docs, wanted).join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text")
     kind = rows.schema["rep"].dataType.simpleString()
+    cuts = np.arange(1, len(PARTS), dtype=np.uint64) * np.uint64(2**64 // len(PARTS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
             bounds, hashes = shingle_sets(_binary(batch.column("text")), k)
             k1, k2 = set_keys(bounds, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(k1))], pa.binary())], names=["rep", "k1", "k2", "set"])
+            own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            edges = [[0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in own]
+            parts = [pa.array([x[e[i] : e[i + 1]].tobytes() for x, e in zip(own, edges, strict=True)], pa.binary()) for i in range(len(PARTS))]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(bounds)), *parts], names=["rep", "k1", "k2", "n", *PARTS])
 
-    made = rows.mapInArrow(make, f"rep {kind}, k1 long, k2 long, set binary")
+    made = rows.mapInArrow(make, f"rep {kind}, k1 long, k2 long, n long, " + ", ".join(f"{c} binary" for c in PARTS))
     # Rows that share an id may hold other sets; a class is read once.
-    return made.join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]).drop("k2")
+    out = written(made.join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]), "join-sets")
+    dropped(wanted)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b: representatives) among pairs (a, b: k1), by exact comparison. Both sides of each join are
-    scans, so AQE splits a class that many pairs name."""
+    """A written table of the linked pairs (a, b: representatives) among pairs (a, b: k1), by exact comparison. Common
+    shingles are counted in one range of hashes after the other: a set crosses two shuffles, which so hold a part of it.
+    Both sides of each join are scans, so AQE splits a class that many pairs name."""
+    names = [f"{c}{side}" for side in "ab" for c in ("r", "k", "x", "n")]
     kind = sets.schema["rep"].dataType.simpleString()
-    left = sets.select(F.col("k1").alias("ka"), F.col("rep").alias("ra"), F.col("set").alias("sa"))
-    right = sets.select(F.col("k1").alias("kb"), F.col("rep").alias("rb"), F.col("set").alias("sb"))
-    both = pairs.join(left, pairs["a"] == left["ka"]).join(right, F.col("b") == right["kb"]).where("ra <> rb").select("ra", "sa", "rb", "sb")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                common = int((t[at] == s).sum())
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("ra").filter(mask), batch.column("rb").filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(compare, f"a {kind}, b {kind}")
+    steps = []
+    for part in PARTS:
+        left, right = (sets.select(F.col("rep").alias(f"r{s}"), F.col("k1").alias(f"k{s}"), F.col("k2").alias(f"x{s}"), F.col("n").alias(f"n{s}"), F.col(part).alias(f"s{s}")) for s in "ab")
+        both = pairs.join(left, pairs["a"] == left["ka"]).join(right, F.col("b") == right["kb"]).where("ra <> rb").select(*names, "sa", "sb")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                common = []
+                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                    s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    at = np.searchsorted(t, s)
+                    common.append(int((t[at[at < len(t)]] == s[at < len(t)]).sum()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(common, pa.int64())], names=[*names, "common"])
+
+        steps.append(written(both.mapInArrow(compare, ", ".join(f"{c} {kind if c[0] == 'r' else 'long'}" for c in names) + ", common long"), "join-common"))
+    whole = functools.reduce(DataFrame.unionByName, steps).groupBy(*names).agg(F.sum("common").alias("common"))
+    out = written(whole.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "join-links")
+    dropped(*steps)
+    return out
 
 
 def join_classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -412,10 +443,11 @@ def join_classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int
     alike = classes.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("a"), F.col("k1").alias("b"))
     pairs = written(plausible(rows.where(F.col("kind") == PAIR).select("a", "b").unionByName(alike), classes, percent), "join-pairs")
     named = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, classes.join(named, "k1", "left_semi"), k), "join-sets")
-    links = written(verified(pairs, sets, percent), "join-links")
+    sets = sets_of(docs, classes.join(named, "k1", "left_semi"), k)
+    links = verified(pairs, sets, percent)
     dropped(pairs, sets)
     if rows.where(F.col("kind").isin(HOT_OWN, HOT_LOWER)).isEmpty():
+        dropped(rows)
         return found, classes, links
     more = hidden(docs, rows, classes, links, scheme, k)
     dropped(rows)
@@ -437,7 +469,7 @@ def hidden(docs: DataFrame, rows: DataFrame, classes: DataFrame, links: DataFram
     mixed = members.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("few").alias("any")).where("low <> high AND any").select("a")
     left = written(members.join(mixed, "a", "left_semi"), "join-mixed")
     groups = connected_lists(left)
-    sets = written(sets_of(docs, classes.join(groups.select("k1").distinct(), "k1", "left_semi"), k), "join-sets")
+    sets = sets_of(docs, classes.join(groups.select("k1").distinct(), "k1", "left_semi"), k)
     out = between_blocks(groups.join(classes.groupBy("k1").agg(F.max("n").alias("n")), "k1"), sets, scheme.percent)
     dropped(members, left, groups, sets, labels)
     return out
@@ -454,14 +486,18 @@ def connected_lists(members: DataFrame) -> DataFrame:
 def between_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of a group (k1, component, few, grp, n). A group is cut into blocks of `BLOCK` classes or
     `BLOCK_SHINGLES` shingles, and a task compares two blocks at a time: a product of two 0-1 matrices counts the common
-    shingles of all their pairs. It returns links that tie components together, one fewer than components at most, and
-    never the pairs themselves."""
+    shingles of all their pairs. Blocks that are near each other by number come first, so a step sends a set to few tasks.
+    It returns links that tie components together, one fewer than components at most, and never the pairs themselves."""
     kind = sets.schema["rep"].dataType.simpleString()
     sizes = groups.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    most = sizes.agg(F.max("blocks")).first()[0] or 0
     dealt = groups.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k1", "component", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(sets, "k1").select("grp", "i", "j", "own", "component", "rep", "set")
+    full = dealt.join(sets.select("k1", "rep", F.concat(*PARTS).alias("set")), "k1")
+
+    def near(low: int) -> DataFrame:
+        """Sets, once for each pair of blocks that are low to low + APART - 1 apart."""
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.abs(x - F.col("own")).between(low, low + APART - 1))
+        return full.where(F.col("blocks") > low).withColumn("other", F.explode(others)).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "rep", "set")
 
     def compare(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -494,7 +530,8 @@ def between_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["a", "b"]).astype(pdf["rep"].dtype)
 
-    return written(full.groupBy("grp", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "join-hidden")
+    steps = [written(near(low).groupBy("grp", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "join-hidden") for low in range(0, max(1, most), APART)]
+    return functools.reduce(DataFrame.unionByName, steps)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
